@@ -36,7 +36,7 @@ def pieces(df: DataFrame, piece_bytes: int) -> int:
 
     The estimate is Spark's own (files below a scan), so no job runs and it grows with the input.
     """
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return max(partitions(df), min(estimate // piece_bytes + 1, 1_000_000))
 
 

@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm.common import table
 from codestrata.llm.mixing import mix_sources
+from codestrata.llm.packing import pack
 from codestrata.llm.pii import BASE, digest, find_pii
 from codestrata.llm.sharding import shard_by_splitters
+from codestrata.llm.simhash import hexadecimal, near_duplicates
+from codestrata.llm.weighted import fingerprint_pairs
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +37,16 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_shard, op6_pii, op7_mix)}
+    return {f.__name__: f for f in (op2_simhash, op5_shard, op6_pii, op7_mix, op8_fingerprint, op10_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
