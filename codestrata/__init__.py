@@ -1 +1,10 @@
+"""Analytics over removed code, as Spark DataFrame plans.
 
+Functions that run in Python workers are shipped by value, so executors need not have this package installed.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
