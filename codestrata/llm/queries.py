@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm.common import table
+from codestrata.llm.language import held_out, identify
 from codestrata.llm.mixing import mix_sources
+from codestrata.llm.neighbours import search
 from codestrata.llm.packing import pack
 from codestrata.llm.pii import BASE, digest, find_pii
 from codestrata.llm.sharding import shard_by_splitters
@@ -17,11 +19,19 @@ from codestrata.llm.simhash import hexadecimal, near_duplicates
 from codestrata.llm.weighted import fingerprint_pairs
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents")).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_splitters(table(spark, sf_dir, "documents"), 24)
 
@@ -46,7 +56,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op5_shard, op6_pii, op7_mix, op8_fingerprint, op10_pack)}
+    return {f.__name__: f for f in (op1_neighbours, op2_simhash, op4_language, op5_shard, op6_pii, op7_mix, op8_fingerprint, op10_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
