@@ -14,6 +14,7 @@ from codestrata.llm.mixing import mix_sources
 from codestrata.llm.neighbours import search
 from codestrata.llm.packing import pack
 from codestrata.llm.pii import BASE, digest, find_pii
+from codestrata.llm.repeats import remove_repeats
 from codestrata.llm.sharding import shard_by_splitters
 from codestrata.llm.simhash import hexadecimal, near_duplicates
 from codestrata.llm.weighted import fingerprint_pairs
@@ -51,12 +52,16 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_pairs(table(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neighbours, op2_simhash, op4_language, op5_shard, op6_pii, op7_mix, op8_fingerprint, op10_pack)}
+    return {f.__name__: f for f in (op1_neighbours, op2_simhash, op4_language, op5_shard, op6_pii, op7_mix, op8_fingerprint, op9_repeats, op10_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
