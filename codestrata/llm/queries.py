@@ -13,6 +13,7 @@ from codestrata.llm.language import held_out, identify
 from codestrata.llm.mixing import mix_sources
 from codestrata.llm.neighbours import search
 from codestrata.llm.packing import pack
+from codestrata.llm.pages import extract_main_text
 from codestrata.llm.pii import BASE, digest, find_pii
 from codestrata.llm.repeats import remove_repeats
 from codestrata.llm.sharding import shard_by_splitters
@@ -29,6 +30,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents")).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
@@ -61,7 +66,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neighbours, op2_simhash, op4_language, op5_shard, op6_pii, op7_mix, op8_fingerprint, op9_repeats, op10_pack)}
+    return {f.__name__: f for f in (op1_neighbours, op2_simhash, op3_main_text, op4_language, op5_shard, op6_pii, op7_mix, op8_fingerprint, op9_repeats, op10_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
