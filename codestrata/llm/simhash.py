@@ -56,10 +56,6 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _near(x: Column | str, y: Column | str) -> Column:
-    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= RADIUS
-
-
 def _masks(bits: list[int]) -> Column:
     return F.from_json(F.lit("[" + ",".join(str(_signed(b)) for b in bits) + "]"), "array<bigint>")
 
@@ -76,10 +72,14 @@ def _variants(fp: Column) -> Column:
         erased = ((1 << (high - low)) - 1) << low
         kept = [0, *(1 << i for i in range(64) if not low <= i < high)]
         core = fp.bitwiseAND(F.lit(_signed(~erased & (2**64 - 1)))).bitwiseOR(F.lit(_signed(number << low)))
-        parts.append(F.transform(_masks(kept), lambda m, core=core: core.bitwiseXOR(m)))
+        parts.append(_flipped(core, kept))
     return F.concat(*parts)
 
 
+def _flipped(value: Column, bits: list[int]) -> Column:
+    return F.transform(_masks(bits), lambda m: value.bitwiseXOR(m))
+
+
 def _ball_links(hot: DataFrame) -> DataFrame:
     """Links among fingerprints that share crowded variants, by whole balls.
 
@@ -91,8 +91,8 @@ def _ball_links(hot: DataFrame) -> DataFrame:
     one = [0, *(1 << i for i in range(64))]
     two = [(1 << i) | (1 << j) for i, j in combinations(range(64), 2)]
     fp = F.col("fp")
-    close = hot.select("fp", F.explode(F.transform(_masks(one), lambda m: fp.bitwiseXOR(m))).alias("v"), F.lit(1).alias("by"))
-    wide = hot.filter(F.bit_count("fp") % 2 == 1).select("fp", F.explode(F.transform(_masks(two), lambda m: fp.bitwiseXOR(m))).alias("v"), F.lit(2).alias("by"))
+    close = hot.select("fp", F.explode(_flipped(fp, one)).alias("v"), F.lit(1).alias("by"))
+    wide = hot.filter(F.bit_count("fp") % 2 == 1).select("fp", F.explode(_flipped(fp, two)).alias("v"), F.lit(2).alias("by"))
     least = F.min(F.when(F.col("by") == 1, F.col("fp"))).over(W.partitionBy("v"))
     return close.union(wide).withColumn("b", least).filter("b <> fp").select(F.col("fp").alias("a"), "b").distinct()
 
