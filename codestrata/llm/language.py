@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: Hashed feature slots.
 SLOTS = 1 << 17
@@ -216,13 +217,13 @@ def sample(df: DataFrame, *, rows_per_label: int = 400, chars_per_row: int = 400
     return [(r.text, r.lang) for r in texts.filter("text IS NOT NULL").select("text", "lang").toLocalIterator()][: rows_per_label * 1000]
 
 
-def predict(df: DataFrame, field: Field, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Label whole texts: the label with the most letters by word posteriors, and its share as score.
+def annotate(df: DataFrame, field: Field, *, text_col: str = "text") -> DataFrame:
+    """``df`` with lang_pred and score (columns of these names are replaced): whole texts are labelled where they are.
 
-    Nulls: a null text, or one without a letter, is ``und`` with score 0; so is any text if no label was learned.
-    Repeated rows are labelled each; an empty table gives no rows; other columns are ignored.
+    The label with the most letters by word posteriors wins, and its share is the score.
 
-    Returns id_col, lang_pred, score.
+    Nulls: a null text, or one without a letter, is ``und`` with score 0; so is any text if no label was learned.
+    Repeated rows are labelled each; an empty table gives no rows.
     """
 
     def label(texts: list[str]) -> tuple[list[str], list[float]]:
@@ -245,9 +246,11 @@ def predict(df: DataFrame, field: Field, *, id_col: str = "doc_id", text_col: st
         sure[some] = np.minimum(share.max(axis=1), 1.0)
         return names.tolist(), sure.tolist()
 
+    columns = [c for c in df.columns if c not in ("lang_pred", "score")]
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            texts = batch.column(text_col).to_pylist()
             at = 0
             while at < len(texts):
                 end, size = at, 0
@@ -255,13 +258,21 @@ def predict(df: DataFrame, field: Field, *, id_col: str = "doc_id", text_col: st
                     size += len(texts[end] or "") + 1
                     end += 1
                 names, sure = label(texts[at:end])
-                yield pa.RecordBatch.from_arrays([ids.slice(at, end - at), pa.array(names, pa.string()), pa.array(sure, pa.float64())], names=["id", "lang_pred", "score"])
+                part = batch.slice(at, end - at)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(sure, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
                 at = end
 
-    found = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(walk, "id long, lang_pred string, score double")
-    return found.withColumnRenamed("id", id_col)
+    own = df.select(columns)
+    return own.mapInArrow(walk, StructType([*own.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def identify(df: DataFrame, **options) -> DataFrame:
-    """Learn from the labelled rows of ``df`` that aren't held out, and label all its rows."""
-    return predict(df, train(sample(df, **options)))
+    """Learn from the labelled rows of ``df`` that aren't held out, and label all its rows: (doc_id, lang_pred, score)."""
+    field = train(sample(df, **options))
+    return annotate(df.select("doc_id", "text"), field).select("doc_id", "lang_pred", "score")
+
+
+def known_language(df: DataFrame, least: float = 0.5, **options) -> DataFrame:
+    """The rows of ``df`` in a learned language, one that has at least the share ``least`` of a text's letters."""
+    found = annotate(df, train(sample(df, **options)))
+    return found.filter((F.col("lang_pred") != NONE) & (F.col("score") >= least)).select(df.columns)
