@@ -33,13 +33,16 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pieces(df: DataFrame, piece_bytes: int) -> int:
-    """Number of pieces of about ``piece_bytes`` that the plan's size estimate asks for; at least the shuffle partitions.
+def pieces(df: DataFrame, piece_bytes: int, text_col: str) -> int:
+    """Number of pieces of about ``piece_bytes`` that the input asks for; at least the shuffle partitions.
 
-    The estimate is Spark's own (files below a scan), so no job runs and it grows with the input.
+    Spark's own estimate (files below a scan) costs no job.  Where it has none, as for rows from the driver, the
+    texts are measured.
     """
     estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(partitions(df), min(estimate // piece_bytes + 1, 1_000_000))
+    if estimate >= 1 << 60:
+        estimate = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return max(partitions(df), estimate // piece_bytes + 1)
 
 
 def uniform(column: Column, seed: str) -> Column:

@@ -169,7 +169,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Returns id_col, n_bytes, n_removed, n_spans, kept_sha256, and kept (binary) if ``with_text``.
     """
-    groups = pieces(df, piece_bytes)
+    groups = pieces(df, piece_bytes, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = df.select(F.col(id_col).cast("long").alias("given"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("uid"), text.cast("binary").alias("text"))
     own = own.withColumn("bucket", F.pmod("uid", F.lit(groups)).cast("int"))

@@ -99,7 +99,7 @@ def fingerprint_pairs(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     least = -(2**63)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = pieces(df, piece_bytes)
+    n = pieces(df, piece_bytes, text_col)
     limits = sorted(set(rows.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0] or []))
     spark = df.sparkSession
     by_range = rows.select("k", range_of(F.col("k"), limits).alias("r"))
