@@ -11,16 +11,18 @@ as soon as it is settled, so almost all windows are done after the first digits.
    windows to the full depth.
 
 Each pass deals packed arrays to buckets by the digit; equal records are joined where they are made, before they are
-dealt.  Digits are hashes, of 80 bits or more together for stretches and 96 for windows.
+dealt.  Digits are hashes, of 72 bits and the bucket's number together for stretches and of 80 for windows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,34 +118,116 @@ def _least(order: np.ndarray, new: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _deal(key: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray]]:
+def _deal(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, rows in their order) for each bucket that has rows."""
-    bucket = (key % np.uint64(count)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(_groups(bucket[order])) if len(order) else []
     for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
         yield int(bucket[order[a]]), order[a:b]
 
 
-def _columns(table: pa.Table, **kinds: str) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(x.as_py() or b"" for x in table[name]), kind) for name, kind in kinds.items()]
-
-
-def _rows(schema: pa.Schema, rows: list[dict]) -> pa.Table:
-    return pa.Table.from_pylist(rows, schema)
-
-
-_BINARY = ("key", "low", "id", "uid", "at", "n", "kind")
-_SCHEMA = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in _BINARY)])
-_TYPE = "bucket int, " + ", ".join(f"{c} binary" for c in _BINARY)
+_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("count", pa.int32()), *((c, pa.binary()) for c in ("key", "low", "id", "tag", "at", "n"))])
+_TYPE = "bucket int, kind byte, count int, key binary, low binary, id binary, tag binary, at binary, n binary"
 #: Kinds of records: to be sorted, settled as repeated, or to be sorted by single windows.
 SORT, REPEATED, SINGLE = 0, 1, 2
 
 
-def _record(bucket: int, rows: np.ndarray, key, low, ids, uids, at, n, kind) -> dict:
-    told = {"key": key, "low": low, "id": ids, "uid": uids, "at": at, "n": n, "kind": kind}
-    types = {"key": "<u8", "low": "<u4", "id": "<i8", "uid": "<i8", "at": "<i4", "n": "<u4", "kind": "u1"}
-    return {"bucket": bucket} | {c: v[rows].astype(types[c]).tobytes() for c, v in told.items()}
+def _planes(values: np.ndarray) -> bytes:
+    """32-bit numbers, byte by byte: planes of zeros vanish when shuffles are compressed."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(4, count).T.copy().view("<u4")[:, 0].astype(np.int64)
+
+
+def _steps(values: np.ndarray) -> bytes:
+    """Long numbers as steps from one to the next, as wide as the longest step asks for."""
+    step = np.diff(values, prepend=np.int64(0))
+    step = ((step << 1) ^ (step >> 63)).view(np.uint64)
+    width = next(w for w in (1, 2, 4, 8) if not len(step) or int(step[1:].max(initial=0)) < 1 << 8 * w)
+    return step[:1].astype("<u8").tobytes() + step[1:].astype(f"<u{width}").tobytes()
+
+
+def _from_steps(data: bytes, count: int) -> np.ndarray:
+    width = (len(data) - 8) // max(count - 1, 1)
+    step = np.concatenate([np.frombuffer(data[:8], "<u8"), np.frombuffer(data[8:], f"<u{width}").astype(np.uint64) if count > 1 else np.zeros(0, np.uint64)])
+    return np.cumsum((step >> np.uint64(1)).view(np.int64) ^ -(step & np.uint64(1)).view(np.int64))
+
+
+class Records:
+    """Runs of windows: hash digits, document id and tag, place of the first window, number of windows."""
+
+    def __init__(self, key, low, ids, tags, at, n, kind):
+        self.all = (key.astype(np.uint64), low.astype(np.uint64), ids.astype(np.int64), tags.astype(np.int64), at.astype(np.int64), n.astype(np.int64), np.asarray(kind, np.int8))
+        self.key, self.low, self.ids, self.tags, self.at, self.n, self.kind = self.all
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def __getitem__(self, rows) -> Records:
+        return Records(*(c[rows] for c in self.all))
+
+    @staticmethod
+    def joined(parts: list[Records]) -> Records:
+        if not parts:
+            return Records(*(np.zeros(0, np.int64) for _ in range(7)))
+        return Records(*(np.concatenate(c) for c in zip(*(p.all for p in parts), strict=True)))
+
+    @staticmethod
+    def read(table: pa.Table) -> Records:
+        parts = []
+        for r in table.to_pylist():
+            n = r["count"]
+            if r["kind"] == SORT:
+                key = np.frombuffer(r["key"], "<u8")
+                low = np.frombuffer(r["low"], f"<u{len(r['low']) // n}")
+            else:
+                key = low = np.zeros(n, np.uint64)
+            tags = np.frombuffer(r["tag"], "<i8") if r["tag"] else np.zeros(n, np.int64)
+            parts.append(Records(key, low, _from_steps(r["id"], n), tags, _from_planes(r["at"], n), _from_planes(r["n"], n), np.full(n, r["kind"])))
+        return Records.joined(parts)
+
+    def told(self, bucket: int, low_bytes: int) -> list[dict]:
+        """A row for each kind; only records still to be sorted keep their digits."""
+        rows = []
+        for kind in (SORT, REPEATED, SINGLE):
+            own = self[self.kind == kind]
+            if len(own):
+                digits = kind == SORT
+                rows.append(
+                    {
+                        "bucket": bucket, "kind": kind, "count": len(own), "key": own.key.astype("<u8").tobytes() if digits else b"", "low": own.low.astype(f"<u{low_bytes}").tobytes() if digits else b"",
+                        "id": _steps(own.ids), "tag": own.tags.astype("<i8").tobytes() if own.tags.any() else b"", "at": _planes(own.at), "n": _planes(own.n),
+                    }
+                )
+        return rows
+
+    def merged(self) -> Records:
+        """Settled records in order, with those that follow or overlap each other in one."""
+        own = self[np.lexsort((self.at, self.tags, self.ids))]
+        if not len(own):
+            return own
+        new = _groups(own.ids, own.tags)
+        group = np.cumsum(new)
+        # Ends reach over a document's records only: a step between documents is longer than any text.
+        ends = np.maximum.accumulate(own.at + own.n + (group << 32)) - (group << 32)
+        new[1:] |= own.at[1:] > ends[:-1]
+        first = np.flatnonzero(new)
+        out = own[first]
+        return Records(out.key, out.low, out.ids, out.tags, out.at, ends[np.append(first[1:], len(own)) - 1] - out.at, out.kind)
+
+
+def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
+    """XXH64 of long numbers (seed 42, as in Spark SQL) modulo the number of groups."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    x = ids.astype(np.int64).view(np.uint64)
+    h = (p5 + np.uint64(42 + 8)) ^ (turn(x * p2, 31) * p1)
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))).view(np.int64) % groups
 
 
 def _settle(key: np.ndarray, low: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -152,10 +236,6 @@ def _settle(key: np.ndarray, low: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return ids > _least(order, _groups(key[order], low[order]), ids)
 
 
-def _read(table: pa.Table) -> list[np.ndarray]:
-    return _columns(table, key="<u8", low="<u4", id="<i8", uid="<i8", at="<i4", n="<u4", kind="u1")
-
-
 def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", piece_bytes: int = 4 << 20, with_text: bool = False) -> DataFrame:
     """Remove each byte covered by a window of LENGTH bytes that also starts in a document with a smaller id.
 
@@ -171,23 +251,34 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     groups = pieces(df, piece_bytes, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = df.select(F.col(id_col).cast("long").alias("given"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("uid"), text.cast("binary").alias("text"))
-    own = own.withColumn("bucket", F.pmod("uid", F.lit(groups)).cast("int"))
-    to_group = lambda uids: (uids.astype(np.int64) % groups).astype(np.uint64)
+    own = df.select(F.col(id_col).cast("long").alias("given"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), text.alias("text"))
+    # Rows are known by their ids; where some share an id, a hash of the text tells them apart.
+    shared = not own.groupBy("id").count().filter("count > 1").isEmpty()
+    own = own.withColumn("tag", F.xxhash64("text") if shared else F.lit(0).cast("long")).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).withColumn("text", F.col("text").cast("binary"))
+
+    def table_of(rows: list[dict]) -> pa.Table:
+        return pa.Table.from_pylist(rows, _SCHEMA)
+
+    def to_groups(found: Records) -> pa.Table:
+        return table_of([r for g, rows in _deal(group_of(found.ids, groups)) for r in found[rows].told(g, 1)])
 
     def first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[Records] = []
 
         def release() -> Iterator[pa.RecordBatch]:
-            key, low, ids, uids, at, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            found = Records.joined(held)
             held.clear()
-            kind = np.where(_settle(key, low, ids), REPEATED, SORT).astype(np.uint8)
-            out = [_record(b, rows, key, low, ids, uids, at, n, kind) for b, rows in _deal(key >> np.uint64(32), groups)]
+            repeated = _settle(found.key, found.low, found.ids)
+            done, rest = found[repeated], found[~repeated]
+            done.kind[:] = REPEATED
+            done = done.merged()
+            out = [r for g, rows in _deal(group_of(done.ids, groups)) for r in done[rows].told(g, 1)]
+            out += [r for b, rows in _deal(((rest.key >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)) for r in rest[rows].told(b, 1)]
             for i in range(0, len(out), 64):
-                yield from _rows(_SCHEMA, out[i : i + 64]).to_batches()
+                yield from table_of(out[i : i + 64]).to_batches()
 
         for batch in batches:
-            ids, uids = batch.column("id").to_numpy(), batch.column("uid").to_numpy()
+            ids, tags = batch.column("id").to_numpy(), batch.column("tag").to_numpy()
             texts = batch.column("text").to_pylist()
             begin = 0
             while begin < len(texts):
@@ -198,102 +289,119 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 length = np.fromiter(map(len, texts[begin:end]), np.int64, end - begin)
                 ends = np.cumsum(length)
                 gram, stretch, doc, at, n = runs(b"".join(texts[begin:end]), ends - length, ends)
-                # 64 bits: half of the piece's hash (its other bits pick the bucket) and half of the stretch's.
+                # Half of the piece's hash (its lower bits pick the bucket) and 40 bits of the stretch's.
                 key = (gram & ~np.uint64(0xFFFFFFFF)) | (stretch >> np.uint64(32))
-                held.append((key, (stretch & np.uint64(0xFFFFFFFF)).astype(np.uint32), ids[begin + doc], uids[begin + doc], at, n))
+                held.append(Records(key, stretch & np.uint64(0xFF), ids[begin + doc], tags[begin + doc], at, n, np.full(len(at), SORT)))
                 begin = end
-                if sum(len(h[0]) for h in held) > RECORDS:
+                if sum(map(len, held)) > RECORDS:
                     yield from release()
         if held:
             yield from release()
 
     def second_digits(table: pa.Table) -> pa.Table:
-        key, low, ids, uids, at, n, kind = _read(table)
-        if not len(key):
-            return _rows(_SCHEMA, [])
-        piece = key >> np.uint64(32)
-        order = np.lexsort((ids, low, key))
-        equal = _groups(key[order], low[order])
-        repeated = (kind == REPEATED) | (ids > _least(order, equal, ids))
-        edges = np.flatnonzero(_groups(piece[order]))
-        stretches = np.add.reduceat(equal, edges)
-        several = (stretches > 1) & (np.minimum.reduceat(ids[order], edges) < np.maximum.reduceat(ids[order], edges))
-        open_ = np.empty(len(key), bool)
-        open_[order] = np.repeat(several, np.diff(np.append(edges, len(key))))
-        kind = np.where(repeated, REPEATED, np.where(open_, SINGLE, SORT)).astype(np.uint8)
-        told = np.flatnonzero(kind != SORT)
-        nothing = np.zeros(len(key), np.uint64)
-        return _rows(_SCHEMA, [_record(g, told[rows], nothing, nothing, ids, uids, at, n, kind) for g, rows in _deal(to_group(uids[told]), groups)])
+        every = Records.read(table)
+        done, found = every[every.kind == REPEATED], every[every.kind == SORT]
+        if len(found):
+            piece = found.key >> np.uint64(32)
+            order = np.lexsort((found.ids, found.low, found.key))
+            equal = _groups(found.key[order], found.low[order])
+            repeated = found.ids > _least(order, equal, found.ids)
+            edges = np.flatnonzero(_groups(piece[order]))
+            several = np.add.reduceat(equal, edges, dtype=np.int64) > 1
+            by_piece = found.ids[np.lexsort((found.ids, piece))]
+            several &= by_piece[edges] < by_piece[np.append(edges[1:], len(piece)) - 1]
+            shared = np.empty(len(found), bool)
+            shared[order] = np.repeat(several, np.diff(np.append(edges, len(piece))))
+            found.kind[:] = np.where(repeated, REPEATED, np.where(shared, SINGLE, SORT))
+        told = Records.joined([done, found[found.kind != SORT]])
+        return to_groups(told[np.lexsort((told.at, told.ids))])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("given", "id", "tag", "text")), strict=True))
+            bucket = batch.column("bucket").to_numpy()
+            out = [(g, squeeze.compress(pickle.dumps([rows[i] for i in some], 5))) for g, some in _deal(bucket)]
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary())], names=["bucket", "data"])
+
+    def unpacked(docs: pa.Table) -> Iterator[tuple]:
+        loose = zstandard.ZstdDecompressor()
+        for data in docs["data"]:
+            yield from pickle.loads(loose.decompress(data.as_py()))
 
     def windows(docs: pa.Table, table: pa.Table) -> pa.Table:
-        _, _, ids, uids, at, n, kind = _read(table)
-        if not len(uids):
-            return _rows(_SCHEMA, [])
-        texts = dict(zip(docs["uid"].to_pylist(), docs["text"].to_pylist(), strict=True))
-        done = np.flatnonzero(kind == REPEATED)
-        out = [(np.zeros(len(done), np.uint64), np.zeros(len(done), np.uint32), ids[done], uids[done], at[done], n[done], kind[done])]
-        single = np.flatnonzero(kind == SINGLE)
-        single = single[np.lexsort((at[single], uids[single]))]
-        edges = np.flatnonzero(_groups(uids[single])) if len(single) else np.zeros(0, int)
-        begin = 0
-        bounds = np.append(edges, len(single))
-        while begin < len(edges):
-            end, size, parts = begin, 0, []
-            while end < len(edges) and (size == 0 or size < AT_ONCE):
-                parts.append(texts[int(uids[single[edges[end]]])])
-                size += len(parts[-1])
-                end += 1
-            offset = np.cumsum([0, *map(len, parts[:-1])])
-            rows = single[bounds[begin] : bounds[end]]
-            base = np.repeat(offset, np.diff(bounds[begin : end + 1]))
-            many = n[rows].astype(np.int64)
-            place = np.repeat(at[rows].astype(np.int64), many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
-            start = np.repeat(base, many) + place
-            data = b"".join(parts)
-            text = Stretches(data)
-            key = text.of(start, start + LENGTH)
-            more = _mix(text.eight[start] ^ (_ODD * text.eight[start + LENGTH // 2]) ^ (_INVERSE * text.eight[start + LENGTH - 8])).astype(np.uint32)
-            out.append((key, more, np.repeat(ids[rows], many), np.repeat(uids[rows], many), place.astype(np.int32), np.ones(len(place), np.uint32), np.full(len(place), SORT, np.uint8)))
-            begin = end
-        key, low, ids, uids, at, n, kind = (np.concatenate(c) for c in zip(*out, strict=True))
-        todo = np.flatnonzero(kind == SORT)
-        kind[todo[_settle(key[todo], low[todo], ids[todo])]] = REPEATED
-        spread = np.where(kind == SORT, key, uids.astype(np.uint64))
-        return _rows(_SCHEMA, [_record(b, rows, key, low, ids, uids, at, n, kind) for b, rows in _deal(spread, groups)])
+        every = Records.read(table)
+        if not len(every):
+            return table_of([])
+        parts = [every[every.kind == REPEATED].merged()]
+        single = every[every.kind == SINGLE]
+        single = single[np.lexsort((single.at, single.tags, single.ids))]
+        if len(single):
+            bounds = np.append(np.flatnonzero(_groups(single.ids, single.tags)), len(single))
+            named = {(int(single.ids[i]), int(single.tags[i])): k for k, i in enumerate(bounds[:-1])}
+            held: dict[int, bytes] = {}
+
+            def sorted_out() -> None:
+                numbers = sorted(held)
+                texts = [held[k] for k in numbers]
+                held.clear()
+                rows = np.concatenate([np.arange(bounds[k], bounds[k + 1]) for k in numbers])
+                base = np.repeat(np.cumsum([0, *map(len, texts[:-1])]), [bounds[k + 1] - bounds[k] for k in numbers])
+                many = single.n[rows]
+                place = np.repeat(single.at[rows], many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+                start = np.repeat(base, many) + place
+                text = Stretches(b"".join(texts))
+                more = _mix(text.eight[start] ^ (_ODD * text.eight[start + LENGTH // 2]) ^ (_INVERSE * text.eight[start + LENGTH - 8])) & np.uint64(0xFFFF)
+                found = Records(text.of(start, start + LENGTH), more, np.repeat(single.ids[rows], many), np.repeat(single.tags[rows], many), place, np.ones(len(place), np.int64), np.full(len(place), SORT))
+                repeated = _settle(found.key, found.low, found.ids)
+                found.kind[repeated] = REPEATED
+                parts.extend([found[~repeated], found[repeated].merged()])
+
+            size = 0
+            for _, i, tag, text in unpacked(docs):
+                if (k := named.get((i, tag))) is not None and k not in held:
+                    held[k] = text
+                    size += len(text)
+                    if size > AT_ONCE:
+                        sorted_out()
+                        size = 0
+            if held:
+                sorted_out()
+        found = Records.joined(parts)
+        bucket = np.where(found.kind == SORT, (found.key % np.uint64(groups)).astype(np.int64), group_of(found.ids, groups))
+        return table_of([r for b, rows in _deal(bucket) for r in found[rows].told(b, 2)])
 
     def last_digits(table: pa.Table) -> pa.Table:
-        key, low, ids, uids, at, n, kind = _read(table)
-        todo = np.flatnonzero(kind == SORT)
-        kind = kind.copy()
-        kind[todo[_settle(key[todo], low[todo], ids[todo])]] = REPEATED
-        told = np.flatnonzero(kind == REPEATED)
-        nothing = np.zeros(len(key), np.uint64)
-        return _rows(_SCHEMA, [_record(g, told[rows], nothing, nothing, ids, uids, at, n, kind) for g, rows in _deal(to_group(uids[told]), groups)])
+        every = Records.read(table)
+        found = every[every.kind == SORT]
+        found = found[_settle(found.key, found.low, found.ids)]
+        found.kind[:] = REPEATED
+        return to_groups(Records.joined([every[every.kind == REPEATED], found]).merged())
 
     kept_type = [("kept", pa.binary())] * with_text
     result = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *kept_type])
 
     def cover(docs: pa.Table, table: pa.Table) -> pa.Table:
-        _, _, _, uids, at, n, _ = _read(table)
-        order = np.argsort(uids, kind="stable")
-        uids, at, n = uids[order], at[order].astype(np.int64), n[order].astype(np.int64)
+        gone = Records.read(table).merged()
+        bounds = np.append(np.flatnonzero(_groups(gone.ids, gone.tags)), len(gone)) if len(gone) else np.zeros(1, np.int64)
+        named = {(int(gone.ids[i]), int(gone.tags[i])): (i, j) for i, j in zip(bounds[:-1], bounds[1:], strict=True)}
         out = []
-        for given, uid, text in zip(docs["given"].to_pylist(), docs["uid"].to_pylist(), docs["text"].to_pylist(), strict=True):
-            a, b = np.searchsorted(uids, uid, "left"), np.searchsorted(uids, uid, "right")
+        for given, i, tag, text in unpacked(docs):
             kept, spans = text, 0
-            if a < b:
+            if (i, tag) in named:
+                a, b = named[i, tag]
                 depth = np.zeros(len(text) + 1, np.int64)
-                np.add.at(depth, at[a:b], 1)
-                np.add.at(depth, at[a:b] + n[a:b] - 1 + LENGTH, -1)
-                gone = np.cumsum(depth[:-1]) > 0
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
+                np.add.at(depth, gone.at[a:b], 1)
+                np.add.at(depth, gone.at[a:b] + gone.n[a:b] - 1 + LENGTH, -1)
+                lost = np.cumsum(depth[:-1]) > 0
+                spans = int(lost[0]) + int((lost[1:] & ~lost[:-1]).sum())
+                kept = np.frombuffer(text, np.uint8)[~lost].tobytes()
             out.append({"id": given, "n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept})
         return pa.Table.from_pylist(out, result)
 
-    dealt = own.select("id", "uid", "text").mapInArrow(first_digits, _TYPE)
+    dealt = own.select("id", "tag", "text").mapInArrow(first_digits, _TYPE)
     sorted_ = dealt.groupBy("bucket").applyInArrow(second_digits, _TYPE)
-    docs = own.select("bucket", "given", "id", "uid", "text")
+    docs = own.mapInArrow(packed, "bucket int, data binary")
     fresh = lambda frame: frame.select(*[F.col(c).alias(c) for c in frame.columns])
     single = fresh(docs).groupBy("bucket").cogroup(fresh(sorted_).groupBy("bucket")).applyInArrow(windows, _TYPE)
     settled = single.groupBy("bucket").applyInArrow(last_digits, _TYPE)
