@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import importlib
+
+from codestrata.plans.registry import ORACLES, QUERIES
+
 FLAGSHIP = "dash_by_kind"
+PLANS = ("dashboard", "joins", "ranking", "search", "texts", "moves", "star")
+
+for _name in PLANS:
+    importlib.import_module(f"codestrata.plans.{_name}")
 
 
 def queries() -> dict:
-    return {}
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES
