@@ -1 +1,205 @@
-"""Plans."""
+"""Joins, filters, projections and set operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from codestrata.functions.ids import shard_name, shard_of
+from codestrata.functions.text import first_line, line_count, neutral_cell, raw_lines, reappearing
+from codestrata.operators.joins import attach, first_rule, first_source, overlapping
+from codestrata.plans.registry import query
+from codestrata.sources.adapters import DELETIONS, PATHS, deletions, paths, table
+
+
+@query(
+    """SELECT d.doc_id, CASE WHEN h.doc_id IS NOT NULL THEN 'HUMAN' WHEN m.doc_id IS NOT NULL THEN 'MODEL_LLM' ELSE 'NOT_CLASSIFIED' END AS class_source, CASE WHEN h.doc_id IS NOT NULL THEN h.label ELSE m.label END AS label
+    FROM documents d LEFT JOIN (SELECT doc_id, 'toxic' AS label FROM labels WHERE toxic = 1) h ON d.doc_id = h.doc_id LEFT JOIN (SELECT doc_id, 'quality' || quality AS label FROM labels) m ON d.doc_id = m.doc_id"""
+)
+def join_priority(spark, d):
+    labels = table(spark, d, "labels")
+    human = labels.filter("toxic = 1").select("doc_id", F.lit("toxic").alias("label"))
+    model = labels.select("doc_id", F.concat(F.lit("quality"), "quality").alias("label"))
+    return first_source(table(spark, d, "documents").select("doc_id"), [("HUMAN", human), ("MODEL_LLM", model)], "doc_id", "label", "NOT_CLASSIFIED")
+
+
+_RULES = [("src0", 1, "SRC", 2015, "MIT"), ("src0", 2, "", 2030, "GPL"), ("src1", 1, "", 2012, "BSD"), ("src3", 1, "T", 2020, "ISC"), ("src3", 2, "E", 2030, "ZLIB")]
+_RULES_SQL = "rules(repo, rule_order, prefix, before_year, license) AS (VALUES " + ", ".join(str(r) for r in _RULES) + ")"
+
+
+@query(
+    """SELECT d.doc_id, arg_min(r.license, r.rule_order) FILTER (r.repo IS NOT NULL AND starts_with(d.body, r.prefix) AND d.author_year < r.before_year) AS license FROM deletions d LEFT JOIN rules r ON d.repo = r.repo GROUP BY 1""",
+    (DELETIONS, _RULES_SQL),
+)
+def join_license_override(spark, d):
+    rules = spark.createDataFrame(_RULES, "repo string, rule_order int, prefix string, before_year int, license string")
+    own = deletions(spark, d).select("doc_id", "repo", "body", "author_year")
+    return first_rule(own, F.broadcast(rules), ["repo"], F.col("body").startswith(F.col("prefix")) & (F.col("author_year") < F.col("before_year")), "doc_id", "rule_order", "license").select("doc_id", "license")
+
+
+@query(
+    """SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.mark IS NULL THEN 'missing' WHEN a.mark IS NULL THEN 'orphan' WHEN a.mark = b.mark THEN 'attached' ELSE 'stale' END AS status
+    FROM (SELECT doc_id, n_chars % 7 AS mark FROM documents WHERE doc_id % 5 <> 0) a FULL JOIN (SELECT doc_id, CASE WHEN quality = 1 THEN n_chars % 7 ELSE -1 END AS mark FROM labels JOIN documents USING (doc_id)) b ON a.doc_id = b.doc_id"""
+)
+def join_attach_status(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    left = docs.filter("doc_id % 5 <> 0").select("doc_id", (F.col("n_chars") % 7).alias("mark"))
+    right = labels.join(docs, "doc_id").select("doc_id", F.when(F.col("quality") == 1, F.col("n_chars") % 7).otherwise(-1).alias("mark"))
+    return attach(left, right, "doc_id", "mark")
+
+
+@query("SELECT doc_id, source FROM documents SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) USING (doc_id)")
+def join_semi(spark, d):
+    return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").filter("quality = 1"), "doc_id", "left_semi")
+
+
+@query("SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)")
+def join_anti(spark, d):
+    return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels"), "doc_id", "left_anti")
+
+
+@query(
+    """SELECT a.l_orderkey, a.l_linenumber FROM lineitem a SEMI JOIN orders o ON a.l_orderkey = o.o_orderkey AND a.l_linenumber <= 1 + o.o_orderkey % 4 AND o.o_orderkey % 3 <= a.l_linenumber + 1"""
+)
+def join_interval(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").alias("low"), (F.col("l_linenumber") + 1).alias("high"))
+    spans = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 3).alias("first"), (1 + F.col("o_orderkey") % 4).alias("last"))
+    return overlapping(lines, spans, ["l_orderkey"], "low", "high", "first", "last").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT coalesce(a.repo, b.repo) AS repo, coalesce(n, 0) AS n, coalesce(noise, 0) AS noise FROM (SELECT repo, count(*) AS n FROM deletions WHERE lang = 'de' GROUP BY 1) a FULL JOIN (SELECT repo, count(*) AS noise FROM deletions WHERE filter_status <> 'KEPT' GROUP BY 1) b ON a.repo = b.repo", (DELETIONS,))
+def join_full_outer(spark, d):
+    own = deletions(spark, d)
+    left = own.filter("lang = 'de'").groupBy("repo").agg(F.count("*").alias("n"))
+    right = own.filter("filter_status <> 'KEPT'").groupBy("repo").agg(F.count("*").alias("noise"))
+    return left.join(right, "repo", "full_outer").na.fill(0, ["n", "noise"])
+
+
+@query("SELECT o_orderkey, arg_min(l_partkey, (l_shipdate, l_linenumber, l_partkey)) AS first_part, min(l_shipdate) AS shipped FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+def join_first_by(spark, d):
+    """The first of the rows a key joins with, as a commit takes its first merged request."""
+    first = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min_by("l_partkey", F.struct("l_shipdate", "l_linenumber", "l_partkey")).alias("first_part"), F.min("l_shipdate").alias("shipped"))
+    return table(spark, d, "orders").select("o_orderkey").join(first, "o_orderkey", "left")
+
+
+@query("SELECT conv_id, list(role || ':' || turn ORDER BY turn)[1:3] AS first_turns, count(*) AS turns FROM conversations GROUP BY 1")
+def join_ordered_comments(spark, d):
+    told = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(":", "role", F.col("turn").cast("string")).alias("t"))))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.slice(told, 1, 3), lambda x: x["t"]).alias("first_turns"), F.count("*").alias("turns"))
+
+
+@query("SELECT doc_id, 1 AS part FROM documents WHERE lang = 'de' UNION ALL SELECT doc_id, 2 FROM documents WHERE n_chars > 5000")
+def set_union_order(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.filter("lang = 'de'").select("doc_id", F.lit(1).alias("part")).unionByName(docs.filter("n_chars > 5000").select("doc_id", F.lit(2).alias("part")))
+
+
+@query("SELECT source, lang FROM documents WHERE n_chars > 500 EXCEPT SELECT source, lang FROM documents WHERE n_chars > 5000")
+def set_except(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.filter("n_chars > 500").select("source", "lang").subtract(docs.filter("n_chars > 5000").select("source", "lang"))
+
+
+@query("SELECT text FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT text FROM documents WHERE doc_id % 2 = 1")
+def set_intersect(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.filter("doc_id % 2 = 0").select("text").intersect(docs.filter("doc_id % 2 = 1").select("text"))
+
+
+@query("SELECT DISTINCT ON (text) doc_id, source FROM documents ORDER BY text, doc_id")
+def set_dedupe_first(spark, d):
+    first = F.min(F.struct("doc_id", "source")).alias("x")
+    return table(spark, d, "documents").groupBy("text").agg(first).select("x.doc_id", "x.source")
+
+
+@query("SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-02 00:00:00' AND event_type <> 'view'")
+def flt_window(spark, d):
+    return table(spark, d, "events").filter((F.col("ts") >= F.lit("2024-01-02 00:00:00").cast("timestamp")) & (F.col("event_type") != "view")).select("event_id", "user_id")
+
+
+@query("SELECT doc_id, len(string_split(rtrim(text, chr(10)), chr(10))) AS n_lines, deletion_kind = 'PARTIAL' AND len(string_split(rtrim(text, chr(10)), chr(10))) <= 4 AS trivial FROM (SELECT doc_id, body AS text, deletion_kind FROM deletions) ", (DELETIONS,))
+def flt_trivial(spark, d):
+    n = line_count(F.col("body"))
+    return deletions(spark, d).select("doc_id", n.alias("n_lines"), ((F.col("deletion_kind") == "PARTIAL") & (n <= 4)).alias("trivial"))
+
+
+_PATH_RULES = (("vendor", ("fr", "es")), ("generated", ("de",)))
+
+
+@query(
+    "SELECT page_id, file_path, list_filter(string_split(file_path, '/'), lambda x: x <> '')[1] AS first_dir, CASE WHEN list_has_any(string_split(file_path, '/'), ['fr', 'es']) THEN 'vendor' WHEN list_contains(string_split(file_path, '/'), 'de') THEN 'generated' END AS category FROM paths",
+    (PATHS,),
+)
+def flt_generated(spark, d):
+    """Category of a path by its directories; the first rule that matches wins."""
+    dirs = F.split("file_path", "/")
+    category = F.coalesce(*[F.when(F.arrays_overlap(dirs, F.array(*[F.lit(x) for x in names])), F.lit(c)) for c, names in _PATH_RULES])
+    return paths(spark, d).select("page_id", "file_path", F.get(F.filter(dirs, lambda x: x != ""), F.lit(0)).alias("first_dir"), category.alias("category"))
+
+
+@query(
+    """, x AS (SELECT doc_id, text, lead(text, 1, '') OVER (ORDER BY doc_id) AS added FROM documents WHERE doc_id < 1000000), y AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> '') AS lines,
+    regexp_replace(replace(regexp_replace(added, '\\s+', '', 'g'), '''', '"'), ',([)\\]}])', '\\1', 'g') AS hay FROM x)
+    SELECT doc_id, len(lines) AS n_lines, len(list_filter(lines, lambda l: contains(hay, regexp_replace(regexp_replace(replace(regexp_replace(l, '\\s+', '', 'g'), '''', '"'), ',([)\\]}])', '\\1', 'g'), ',$', '')))) AS reappeared FROM y""".replace(", x AS", "WITH x AS", 1)
+)
+def flt_reappearing_lines(spark, d):
+    """Deleted lines that occur in added text, here the next document's: ids are dense, so the next one is met by id."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    added = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("added"))
+    both = docs.join(added, "doc_id", "left")
+    return both.select("doc_id", F.size(raw_lines(F.col("text"))).alias("n_lines"), reappearing(F.col("text"), F.col("added")).alias("reappeared"))
+
+
+@query("SELECT doc_id, CASE WHEN filter_status <> 'KEPT' THEN filter_status WHEN n_chars < 200 THEN 'NOISE_TRIVIAL' WHEN contains(body, 'License') THEN 'NOISE_GENERATED' ELSE 'KEPT' END AS filter_status, 'v2' AS rule_version FROM deletions", (DELETIONS,))
+def flt_rule_chain(spark, d):
+    """Only kept rows are judged, the first judge that objects wins, and all rows get the version."""
+    judged = F.when(F.col("filter_status") != "KEPT", F.col("filter_status")).when(F.col("n_chars") < 200, "NOISE_TRIVIAL").when(F.contains("body", F.lit("License")), "NOISE_GENERATED").otherwise("KEPT")
+    return deletions(spark, d).select("doc_id", judged.alias("filter_status"), F.lit("v2").alias("rule_version"))
+
+
+@query("SELECT id, CAST(('0x' || sha256(id)[57:])::BIGINT % 8 AS INTEGER) AS shard FROM deletions", (DELETIONS,))
+def flt_hash_shard(spark, d):
+    return deletions(spark, d).select("id", shard_of(F.col("id"), 8).alias("shard"))
+
+
+@query("SELECT repo, lower(trim(license)) IN ('mit', 'bsd-3-clause', 'apache-2.0') AS permissive FROM (SELECT DISTINCT source AS repo, CASE WHEN source LIKE '%1%' THEN ' MIT ' WHEN source LIKE '%2%' THEN 'GPL-3.0' END AS license FROM documents) WHERE license IS NOT NULL UNION ALL SELECT DISTINCT source, false FROM documents WHERE source NOT LIKE '%1%' AND source NOT LIKE '%2%'")
+def flt_license_policy(spark, d):
+    given = F.when(F.col("source").contains("1"), " MIT ").when(F.col("source").contains("2"), "GPL-3.0")
+    allowed = F.coalesce(F.lower(F.trim(given)).isin("mit", "bsd-3-clause", "apache-2.0"), F.lit(False))
+    return table(spark, d, "documents").select(F.col("source").alias("repo"), allowed.alias("permissive")).distinct()
+
+
+@query("SELECT page_id, list_contains(string_split(file_path, '/'), 'en') AS is_test, string_split(url, '/')[-1] AS tail FROM paths", (PATHS,))
+def flt_path_flags(spark, d):
+    return paths(spark, d).select("page_id", F.array_contains(F.split("file_path", "/"), "en").alias("is_test"), F.element_at(F.split("url", "/"), -1).alias("tail"))
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'de' THEN NULL ELSE body END AS body, CASE WHEN lang = 'de' THEN 'LINK_ONLY' ELSE 'FULL' END AS code_policy FROM deletions", (DELETIONS,))
+def prj_redact(spark, d):
+    only = F.col("lang") == "de"
+    return deletions(spark, d).select("doc_id", F.when(~only, F.col("body")).alias("body"), F.when(only, "LINK_ONLY").otherwise("FULL").alias("code_policy"))
+
+
+@query("SELECT doc_id, substring(concat_ws(chr(10), repo, id, body), 1, 4000) AS text FROM deletions", (DELETIONS,))
+def prj_embedding_text(spark, d):
+    return deletions(spark, d).select("doc_id", F.substring(F.concat_ws("\n", "repo", "id", "body"), 1, 4000).alias("text"))
+
+
+@query("SELECT doc_id, trim(string_split(trim(text, ' ' || chr(10)), chr(10))[1]) AS first_line FROM documents")
+def prj_first_line(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.trim(first_line(F.col("text"))).alias("first_line"))
+
+
+@query("SELECT event_id, CASE WHEN regexp_matches(c, '^[=+@-]') THEN '''' || c ELSE c END AS cell FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '=' WHEN 1 THEN '-' ELSE '' END || event_type AS c FROM events)")
+def prj_spreadsheet_cell(spark, d):
+    cell = F.concat(F.element_at(F.array(F.lit("="), F.lit("-"), F.lit("")), (F.col("event_id") % 3 + 1).cast("int")), "event_type")
+    return table(spark, d, "events").select("event_id", neutral_cell(cell).alias("cell"))
+
+
+@query("SELECT repo, count(*) AS n, format('{}-{:05d}-of-{:05d}.parquet', replace(repo, '/', '__'), 0, 1) AS shard FROM deletions GROUP BY repo", (DELETIONS,))
+def export_shard_names(spark, d):
+    return deletions(spark, d).groupBy("repo").agg(F.count("*").alias("n")).select("repo", "n", shard_name(F.col("repo"), F.lit(0), F.lit(1), ".parquet").alias("shard"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def src_json_field(spark, d):
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
