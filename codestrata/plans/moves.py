@@ -1 +1,62 @@
-"""Plans."""
+"""Mining and move-detection queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from codestrata.operators.mining import attributed_deletions, body_lines, extract_functions, greedy_matches, move_candidates, normalise_body, parse_diff
+from codestrata.plans.registry import query
+from codestrata.sources.adapters import table
+
+
+def _sources(spark, d):
+    """One Python file for each part."""
+    p = table(spark, d, "part")
+    source = F.concat(F.lit("import os\n\n@cached\ndef size_"), "p_partkey", F.lit("(x, y=1):\n    # "), "p_brand", F.lit("\n    return x + "), F.col("p_size").cast("string"), F.lit("\n"))
+    return p.select(F.concat(F.lit("p"), "p_partkey", F.lit(".py")).alias("path"), source.alias("source"), "p_partkey", "p_size")
+
+
+def _diffs(spark, d):
+    p = table(spark, d, "part")
+    name = F.concat(F.lit("p"), F.col("p_partkey"), F.lit(".py"))
+    text = F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name, F.lit("\n--- a/"), name, F.lit("\n+++ b/"), name, F.lit("\n@@ -3,4 +3,1 @@\n-@cached\n-def f():\n--- not a header\n-    return "), F.col("p_size").cast("string"), F.lit("\n+new "), "p_brand", F.lit("\n"))
+    return p.select(name.alias("path"), text.alias("diff"))
+
+
+@query("SELECT 'p' || p_partkey || '.py' AS path, 'size_' || p_partkey AS name, 'def size_' || p_partkey || '(x, y=1)' AS signature, 3 AS start_line, 6 AS end_line FROM part")
+def mine_functions(spark, d):
+    found = _sources(spark, d).select("path", F.explode(extract_functions(F.col("source"))).alias("f"))
+    return found.select("path", "f.name", "f.signature", "f.start_line", "f.end_line")
+
+
+@query("SELECT p_partkey, ['def size_' || p_partkey || '(VAR, VAR=NUM):', '    return VAR + NUM'] AS lines FROM part")
+def mov_normalise(spark, d):
+    body = F.regexp_extract("source", r"(?s)(def .*)", 1)
+    return _sources(spark, d).select("p_partkey", normalise_body(body).alias("lines"))
+
+
+@query("SELECT 'p' || p_partkey || '.py' AS path, unnest(['deleted', 'deleted', 'deleted', 'deleted', 'added']) AS kind, unnest([3, 4, 5, 6, 3]) AS line, unnest(['@cached', 'def f():', '-- not a header', '    return ' || p_size, 'new ' || p_brand]) AS text FROM part")
+def diff_parse(spark, d):
+    found = _diffs(spark, d).select("path", F.explode(parse_diff(F.col("diff"))).alias("x"))
+    return found.select("path", "x.kind", "x.line", "x.text")
+
+
+@query("SELECT 'p' || p_partkey || '.py' AS path, 'size_' || p_partkey AS name, 3 AS start_line, 6 AS end_line, 'FULL_FUNCTION' AS deletion_kind, concat_ws(chr(10), '@cached', 'def f():', '-- not a header', '    return ' || p_size) AS deleted_body FROM part")
+def mine_deletions(spark, d):
+    """Deleted lines of a diff attributed to the functions of the old file."""
+    lines = _diffs(spark, d).select(F.explode(parse_diff(F.col("diff"))).alias("x")).filter("x.kind = 'deleted'").select(F.col("x.old_path").alias("path"), "x.line", "x.text")
+    return attributed_deletions(mine_functions(spark, d), lines)
+
+
+@query("SELECT sha256(text) AS body_hash, count(*) FILTER (doc_id % 2 = 0) AS deleted, count(*) FILTER (doc_id % 2 = 1) AS added FROM documents GROUP BY 1 HAVING count(*) FILTER (doc_id % 2 = 0) > 0 AND count(*) FILTER (doc_id % 2 = 1) > 0")
+def mov_exact_hash(spark, d):
+    """Bodies that were both deleted and added, by hash: classes, not pairs."""
+    by = table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("body_hash")).agg(F.count_if(F.col("doc_id") % 2 == 0).alias("deleted"), F.count_if(F.col("doc_id") % 2 == 1).alias("added"))
+    return by.filter("deleted > 0 AND added > 0")
+
+
+@query()
+def mov_greedy(spark, d):
+    """One-to-one moves between even (deleted) and odd (added) documents of a commit: a source and a hundred ids."""
+    docs = table(spark, d, "documents").select(F.concat_ws(":", "lang", F.floor(F.col("doc_id") / 100).cast("string")).alias("commit"), F.col("doc_id").alias("id"), body_lines(F.col("text")).alias("lines"))
+    return greedy_matches(move_candidates(docs.filter("id % 2 = 0"), docs.filter("id % 2 = 1")))
