@@ -120,8 +120,10 @@ def _least(order: np.ndarray, new: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def _deal(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, rows in their order) for each bucket that has rows."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
-    edges = np.flatnonzero(_groups(bucket[order])) if len(order) else []
+    edges = np.flatnonzero(_groups(bucket[order]))
     for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
         yield int(bucket[order[a]]), order[a:b]
 
