@@ -7,7 +7,7 @@ import importlib
 from codestrata.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "dash_by_kind"
-PLANS = ("dashboard", "joins", "ranking", "search", "texts", "moves", "star")
+PLANS = ("dashboard", "joins", "ranking", "search", "texts", "moves", "star", "history")
 
 for _name in PLANS:
     importlib.import_module(f"codestrata.plans.{_name}")

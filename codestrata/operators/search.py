@@ -81,3 +81,10 @@ def vector_topk(df: DataFrame, key: str, vector: str, query: list[float], k: int
     own = df if condition is None else df.filter(condition)
     wanted = F.array(*[F.lit(float(v)) for v in query])
     return own.select(key, dot(F.col(vector), wanted).alias("score")).orderBy(F.desc("score"), key).limit(k)
+
+
+def hashed_embeddings(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(key, vector): counts of a text's tokens by hash, the offline encoder; a text without tokens has a zero vector."""
+    own = df.select(key, F.explode_outer(tokens(F.col(text))).alias("token")).select(key, F.pmod(F.xxhash64("token"), F.lit(width)).cast("int").alias("slot"), F.col("token").isNotNull().cast("int").alias("there"))
+    counts = own.groupBy(key, "slot").agg(F.sum("there").cast("double").alias("n")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"))
+    return counts.select(key, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vector"))
