@@ -185,3 +185,29 @@ def test_files(spark, tmp_path):
     with pytest.raises(ValueError):
         files.read_csv(spark, str(tmp_path / "r.csv"), "repo string, n int", unique="repo")
     assert files.file_hashes(spark, str(tmp_path / "r.csv")).first().sha256 == hashlib.sha256(b"repo,n\na,1\na,2\n").hexdigest()
+
+
+def test_uuid5(spark):
+    import uuid
+
+    assert one(spark, ids.uuid5(str(uuid.NAMESPACE_URL), F.lit("a/ü"))) == str(uuid.uuid5(uuid.NAMESPACE_URL, "a/ü"))
+
+
+def test_partitions(spark):
+    from codestrata.operators.partitions import partition_accuracy, set_partitions
+
+    assert len(list(set_partitions("ABCDEFG", (3, 4)))) == 651
+    df = spark.createDataFrame([("A", "A"), ("A", "B"), ("C", "D"), ("U", "A")], "t string, g string")
+    best = partition_accuracy(df, list("ABCD"), (2,), "t", "g").orderBy(F.desc("hits"), "partition").first()
+    assert (best.partition, best.hits, best.n) == ("A+B|C+D", 3, 4)
+
+
+def test_log_and_shards(spark):
+    from codestrata.operators.history import commit_pairs, parse_log, size_bounded_shards
+
+    raw = "\x00".join(["a\x1fr\x1f5\x1fme\x1fone\x1ftwo", "b\x1fa r\x1f6\x1fme\x1fmerge", "c\x1f\x1f7\x1fme\x1froot", "a\x1fq\x1f5\x1fme\x1fagain", ""])
+    entries = spark.createDataFrame([(raw,)], "raw string").select(F.explode(parse_log(F.col("raw"))).alias("x")).select("x.*")
+    assert [(r.sha, r.parents, r.message) for r in entries.orderBy("position").collect()][:2] == [("a", ["r"], "one\x1ftwo"), ("b", ["a", "r"], "merge")]
+    assert [(r.sha, r.parent) for r in commit_pairs(entries).collect()] == [("a", "r")]
+    df = spark.createDataFrame([("k", i, n) for i, n in enumerate([4, 4, 4, 20, 1])], "k string, i int, n int")
+    assert [r.shard for r in size_bounded_shards(df, "k", "i", F.col("n"), 8).orderBy("i").collect()] == [0, 0, 1, 2, 3]
