@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import pickle
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import cut
+from codestrata.llm.common import cut, shared_folder
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -151,8 +150,7 @@ def low_importance(nodes: DataFrame) -> DataFrame:
 def extract_main_text(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The main text of each page: its blocks, white space made single, joined by two line feeds.
 
-    Pages are parsed once, their blocks kept compressed in the checkpoint folder, and only hashes of blocks are
-    gathered by host: counts of (host, path, content) are
+    Pages are parsed twice, and only hashes of blocks are kept in between and gathered by host: counts of (host, path, content) are
     partly summed before they are dealt, so a host with most pages is no hot spot.  Leaves of low importance go back
     to their pages by page, not by host.  Branches that name themselves as menus, headers, footers, sidebars,
     notices, adverts, forms, code or comments go at once: where these differ from page to page, entropy can't tell
@@ -165,38 +163,37 @@ def extract_main_text(df: DataFrame, *, id_col: str = "page_id", url_col: str =
     """
     own = df.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("uid", F.xxhash64("page", "url", "html"))
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
-        node = pa.list_(pa.struct([("path", pa.int64()), ("n", pa.int32()), ("contents", pa.list_(pa.int64()))]))
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("uid", pa.int64()), ("host", pa.string()), ("body", pa.int64()), ("path", pa.int64()), ("n", pa.int32()), ("contents", pa.list_(pa.int64()))])
         for batch in batches:
-            bodies, nodes, data = [], [], []
-            for html in batch.column("html").to_pylist():
-                found = [(p, xxhash.xxh64_intdigest(t) >> 1, t) for p, t in blocks(html)]
+            out = []
+            for uid, host, html in zip(*(batch.column(c).to_pylist() for c in ("uid", "host", "html")), strict=True):
+                found = [(p, xxhash.xxh64_intdigest(t) >> 1) for p, t in blocks(html)]
+                body = xxhash.xxh64_intdigest(" ".join(f"{c}" for _, c in found)) >> 1
                 by_path: dict[int, list[int]] = {}
-                for p, c, _ in found:
+                for p, c in found:
                     by_path.setdefault(p, []).append(c)
-                bodies.append(xxhash.xxh64_intdigest(" ".join(f"{c}" for _, c, _ in found)) >> 1)
-                nodes.append([{"path": p, "n": len(c), "contents": c} for p, c in by_path.items()])
-                data.append(squeeze.compress(pickle.dumps(found, 5)))
-            kept = [batch.column(c) for c in ("page", "url", "uid", "host")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(bodies, pa.int64()), pa.array(nodes, node), pa.array(data, pa.binary())], names=["page", "url", "uid", "host", "body", "nodes", "data"])
+                out += [{"uid": uid, "host": host, "body": body, "path": p, "n": len(c), "contents": c} for p, c in by_path.items()]
+            yield from pa.Table.from_pylist(out, schema).to_batches()
 
-    page_type = dict(own.dtypes)["page"]
-    schema = f"page {page_type}, url string, uid long, host string, body long, nodes array<struct<path:long,n:int,contents:array<long>>>, data binary"
-    parsed = cut(own.withColumn("host", host_of(F.col("url"))).select("page", "url", "uid", "host", "html").mapInArrow(parse, schema))
-    nodes = parsed.filter("host IS NOT NULL").select("uid", "host", "body", F.explode("nodes").alias("x")).select("uid", "host", "body", "x.*")
+    hosted = own.withColumn("host", host_of(F.col("url"))).filter("host IS NOT NULL").select("uid", "host", "html")
+    nodes = cut(hosted.mapInArrow(hashes, "uid long, host string, body long, path long, n int, contents array<long>"))
     common = low_importance(nodes)
     leaf = nodes.select("uid", "host", "path", F.explode(F.array_distinct("contents")).alias("content"))
     gone = leaf.join(common, ["host", "path", "content"]).groupBy("uid").agg(F.collect_set(F.struct("path", "content")).alias("gone"))
+    # Written out so that its size is known: the join below broadcasts it under Spark's threshold and shuffles beyond.
+    kept_at = f"{shared_folder(df.sparkSession)}/style-{uuid.uuid4().hex}"
+    gone.write.parquet(kept_at)
+    gone = df.sparkSession.read.parquet(kept_at)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loose = zstandard.ZstdDecompressor()
+        kind = pa.list_(pa.struct([("path", pa.int64()), ("content", pa.int64()), ("text", pa.string())]))
         for batch in batches:
-            out = []
-            for data, lost in zip(batch.column("data"), batch.column("gone").to_pylist(), strict=True):
-                without = {(x["path"], x["content"]) for x in lost or ()}
-                out.append("\n\n".join(t for p, c, t in pickle.loads(loose.decompress(data.as_py())) if (p, c) not in without))
-            yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("url"), pa.array(out, pa.string())], names=["page", "url", "text"])
+            found = [[{"path": p, "content": xxhash.xxh64_intdigest(t) >> 1, "text": t} for p, t in blocks(html)] for html in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("url"), batch.column("uid"), pa.array(found, kind)], names=["page", "url", "uid", "blocks"])
 
-    joined = parsed.select("page", "url", "uid", "data").join(gone, "uid", "left").select("page", "url", "data", "gone").mapInArrow(texts, f"page {page_type}, url string, text string")
-    return joined.select(F.col("page").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
+    page_type = dict(own.dtypes)["page"]
+    parsed = own.mapInArrow(texts, f"page {page_type}, url string, uid long, blocks array<struct<path:long,content:long,text:string>>")
+    kept = F.expr("transform(filter(blocks, b -> gone IS NULL OR NOT array_contains(gone, struct(b.path AS path, b.content AS content))), b -> b.text)")
+    joined = parsed.join(gone, "uid", "left").select(F.col("page").alias(id_col), F.col("url").alias(url_col), F.array_join(kept, "\n\n").alias("text"))
+    return joined.withColumn("n_chars", F.char_length("text").cast("long"))
