@@ -7,8 +7,10 @@ as soon as it is settled, so almost all windows are done after the first digits.
    windows agree in it.  Neighbouring windows share that piece, so one record stands for a run of windows.
 2. The second digit is the run's whole stretch of text.  Runs equal in both digits are equal windows throughout: all
    but those of the least document are repeats.  A piece met in one document only, or with one stretch only, is done.
-3. What is left (pieces that several stretches share: mostly the ends of repeated passages) is sorted by single
-   windows to the full depth.
+3. What is left (pieces that several stretches share, by chance or at the ends of repeated passages) is sorted by the
+   piece and the 15 bytes after it, and by the piece and the 15 before it: one of these lies in any window. A side
+   met in one document only is done.
+4. Windows that have only sides left that are shared are sorted one by one to the full depth.
 
 Each pass deals packed arrays to buckets by the digit; equal records are joined where they are made, before they are
 dealt.  Digits are hashes, of 72 bits and the bucket's number together for stretches and of 80 for windows.
@@ -29,6 +31,9 @@ from pyspark.sql import functions as F
 from codestrata.llm.common import pieces
 
 LENGTH, GRAM = 50, 20
+#: A window has half of what surrounds its piece on one side at least: the piece and that many bytes.
+SIDE = (LENGTH + GRAM) // 2
+RIGHT, LEFT = 1, 2
 #: Bytes of text worked on at once, and records after which a task passes on what it has.
 AT_ONCE, RECORDS = 1 << 19, 2_000_000
 
@@ -66,13 +71,13 @@ class Stretches:
 
 
 def runs(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(piece hash, stretch hash, document, first window's place in it, number of windows) of each run.
+    """(piece hash, stretch hash, document, first window's place in it, number of windows, piece's place after that) of each run.
 
     Documents are ``data[start:end]``.
     """
     long = np.flatnonzero(ends - starts >= LENGTH)
     if not len(long):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return *(np.zeros(0, np.uint64) for _ in range(2)), *(np.zeros(0, np.int64) for _ in range(4))
     text = Stretches(data)
     eight = text.eight
     n = len(data) - GRAM + 1
@@ -98,7 +103,7 @@ def runs(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray,
     piece = piece[new]
     stretch = _mix(text.of(low, low + count - 1 + LENGTH) + (piece - low).astype(np.uint64))
     doc = long[np.searchsorted(starts[long], low, side="right") - 1]
-    return gram[piece], stretch, doc, low - starts[doc], count
+    return gram[piece], stretch, doc, low - starts[doc], count, piece - low
 
 
 def _groups(*columns: np.ndarray) -> np.ndarray:
@@ -273,6 +278,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             repeated = _settle(found.key, found.low, found.ids)
             done, rest = found[repeated], found[~repeated]
             done.kind[:] = REPEATED
+            done.n[:] &= 255
             done = done.merged()
             out = [r for g, rows in _deal(group_of(done.ids, groups)) for r in done[rows].told(g, 1)]
             out += [r for b, rows in _deal(((rest.key >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)) for r in rest[rows].told(b, 1)]
@@ -290,10 +296,10 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                     end += 1
                 length = np.fromiter(map(len, texts[begin:end]), np.int64, end - begin)
                 ends = np.cumsum(length)
-                gram, stretch, doc, at, n = runs(b"".join(texts[begin:end]), ends - length, ends)
+                gram, stretch, doc, at, n, off = runs(b"".join(texts[begin:end]), ends - length, ends)
                 # Half of the piece's hash (its lower bits pick the bucket) and 40 bits of the stretch's.
                 key = (gram & ~np.uint64(0xFFFFFFFF)) | (stretch >> np.uint64(32))
-                held.append(Records(key, stretch & np.uint64(0xFF), ids[begin + doc], tags[begin + doc], at, n, np.full(len(at), SORT)))
+                held.append(Records(key, stretch & np.uint64(0xFF), ids[begin + doc], tags[begin + doc], at, n | off << 8, np.full(len(at), SORT)))
                 begin = end
                 if sum(map(len, held)) > RECORDS:
                     yield from release()
@@ -315,6 +321,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             shared = np.empty(len(found), bool)
             shared[order] = np.repeat(several, np.diff(np.append(edges, len(piece))))
             found.kind[:] = np.where(repeated, REPEATED, np.where(shared, SINGLE, SORT))
+            found.n[repeated] &= 255
         told = Records.joined([done, found[found.kind != SORT]])
         return to_groups(told[np.lexsort((told.at, told.ids))])
 
@@ -331,44 +338,81 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         for data in docs["data"]:
             yield from pickle.loads(loose.decompress(data.as_py()))
 
+    def by_document(docs: pa.Table, found: Records) -> Iterator[tuple[Records, np.ndarray, np.ndarray, Stretches]]:
+        """Records of some documents at a time, the place and length of each one's text, and the hashes of these texts."""
+        found = found[np.lexsort((found.at, found.tags, found.ids))]
+        if not len(found):
+            return
+        bounds = np.append(np.flatnonzero(_groups(found.ids, found.tags)), len(found))
+        named = {(int(found.ids[i]), int(found.tags[i])): k for k, i in enumerate(bounds[:-1])}
+        held: dict[int, bytes] = {}
+
+        def batch() -> tuple[Records, np.ndarray, np.ndarray, Stretches]:
+            numbers = sorted(held)
+            texts = [held[k] for k in numbers]
+            held.clear()
+            rows = np.concatenate([np.arange(bounds[k], bounds[k + 1]) for k in numbers])
+            sizes = [bounds[k + 1] - bounds[k] for k in numbers]
+            return found[rows], np.repeat(np.cumsum([0, *map(len, texts)]), [*sizes, 0]), np.repeat([len(t) for t in texts], sizes), Stretches(b"".join(texts))
+
+        size = 0
+        for _, i, tag, text in unpacked(docs):
+            if (k := named.get((i, tag))) is not None and k not in held:
+                held[k] = text
+                size += len(text)
+                if size > AT_ONCE:
+                    yield batch()
+                    size = 0
+        if held:
+            yield batch()
+
+    def sides(docs: pa.Table, table: pa.Table) -> pa.Table:
+        every = Records.read(table)
+        parts = [every[every.kind == REPEATED].merged()]
+        for found, base, length, text in by_document(docs, every[every.kind == SINGLE]):
+            piece = found.at + (found.n >> 8)
+            for side, start in ((RIGHT, piece), (LEFT, piece + GRAM - SIDE)):
+                own = np.flatnonzero((start >= 0) & (start + SIDE <= length))
+                at = (base + start)[own]
+                some = found[own]
+                parts.append(Records(text.of(at, at + SIDE) ^ np.uint64(side), some.low, some.ids, some.tags, some.at, some.n | side << 16, np.full(len(own), SORT)))
+        found = Records.joined(parts)
+        bucket = np.where(found.kind == SORT, (found.key % np.uint64(groups)).astype(np.int64), group_of(found.ids, groups))
+        return table_of([r for b, rows in _deal(bucket) for r in found[rows].told(b, 1)])
+
+    def shared_sides(table: pa.Table) -> pa.Table:
+        every = Records.read(table)
+        done, found = every[every.kind == REPEATED], every[every.kind == SORT]
+        if len(found):
+            order = np.lexsort((found.ids, found.key))
+            edges = np.flatnonzero(_groups(found.key[order]))
+            many = np.diff(np.append(edges, len(found)))
+            shared = found.ids[order][edges] < found.ids[order][edges + many - 1]
+            found = found[order[np.repeat(shared, many)]]
+            found.kind[:] = SINGLE
+        told = Records.joined([done, found])
+        return to_groups(told[np.lexsort((told.at, told.ids))])
+
     def windows(docs: pa.Table, table: pa.Table) -> pa.Table:
         every = Records.read(table)
-        if not len(every):
-            return table_of([])
         parts = [every[every.kind == REPEATED].merged()]
-        single = every[every.kind == SINGLE]
-        single = single[np.lexsort((single.at, single.tags, single.ids))]
-        if len(single):
-            bounds = np.append(np.flatnonzero(_groups(single.ids, single.tags)), len(single))
-            named = {(int(single.ids[i]), int(single.tags[i])): k for k, i in enumerate(bounds[:-1])}
-            held: dict[int, bytes] = {}
-
-            def sorted_out() -> None:
-                numbers = sorted(held)
-                texts = [held[k] for k in numbers]
-                held.clear()
-                rows = np.concatenate([np.arange(bounds[k], bounds[k + 1]) for k in numbers])
-                base = np.repeat(np.cumsum([0, *map(len, texts[:-1])]), [bounds[k + 1] - bounds[k] for k in numbers])
-                many = single.n[rows]
-                place = np.repeat(single.at[rows], many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
-                start = np.repeat(base, many) + place
-                text = Stretches(b"".join(texts))
-                more = _mix(text.eight[start] ^ (_ODD * text.eight[start + LENGTH // 2]) ^ (_INVERSE * text.eight[start + LENGTH - 8])) & np.uint64(0xFFFF)
-                found = Records(text.of(start, start + LENGTH), more, np.repeat(single.ids[rows], many), np.repeat(single.tags[rows], many), place, np.ones(len(place), np.int64), np.full(len(place), SORT))
-                repeated = _settle(found.key, found.low, found.ids)
-                found.kind[repeated] = REPEATED
-                parts.extend([found[~repeated], found[repeated].merged()])
-
-            size = 0
-            for _, i, tag, text in unpacked(docs):
-                if (k := named.get((i, tag))) is not None and k not in held:
-                    held[k] = text
-                    size += len(text)
-                    if size > AT_ONCE:
-                        sorted_out()
-                        size = 0
-            if held:
-                sorted_out()
+        for found, base, _, text in by_document(docs, every[every.kind == SINGLE]):
+            first = np.flatnonzero(_groups(found.ids, found.tags, found.at))
+            side = np.bitwise_or.reduceat(found.n >> 16, first)
+            found, base = found[first], base[first]
+            many, piece = found.n & 255, found.n >> 8 & 255
+            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            before = np.repeat(piece, many) - step  # bytes of the window before its piece
+            side = np.repeat(side, many)
+            fits = ((side & LEFT > 0) | (before < SIDE - GRAM)) & ((side & RIGHT > 0) | (LENGTH - GRAM - before < SIDE - GRAM))
+            row = np.repeat(np.arange(len(found)), many)[fits]
+            place = found.at[row] + step[fits]
+            start = base[row] + place
+            more = _mix(text.eight[start] ^ (_ODD * text.eight[start + LENGTH // 2]) ^ (_INVERSE * text.eight[start + LENGTH - 8])) & np.uint64(0xFFFF)
+            one = Records(text.of(start, start + LENGTH), more, found.ids[row], found.tags[row], place, np.ones(len(place), np.int64), np.full(len(place), SORT))
+            repeated = _settle(one.key, one.low, one.ids)
+            one.kind[repeated] = REPEATED
+            parts.extend([one[~repeated], one[repeated].merged()])
         found = Records.joined(parts)
         bucket = np.where(found.kind == SORT, (found.key % np.uint64(groups)).astype(np.int64), group_of(found.ids, groups))
         return table_of([r for b, rows in _deal(bucket) for r in found[rows].told(b, 2)])
@@ -405,7 +449,9 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     sorted_ = dealt.groupBy("bucket").applyInArrow(second_digits, _TYPE)
     docs = own.mapInArrow(packed, "bucket int, data binary")
     fresh = lambda frame: frame.select(*[F.col(c).alias(c) for c in frame.columns])
-    single = fresh(docs).groupBy("bucket").cogroup(fresh(sorted_).groupBy("bucket")).applyInArrow(windows, _TYPE)
+    sided = fresh(docs).groupBy("bucket").cogroup(fresh(sorted_).groupBy("bucket")).applyInArrow(sides, _TYPE)
+    open_ = sided.groupBy("bucket").applyInArrow(shared_sides, _TYPE)
+    single = fresh(docs).groupBy("bucket").cogroup(fresh(open_).groupBy("bucket")).applyInArrow(windows, _TYPE)
     settled = single.groupBy("bucket").applyInArrow(last_digits, _TYPE)
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return fresh(docs).groupBy("bucket").cogroup(fresh(settled).groupBy("bucket")).applyInArrow(cover, schema).withColumnRenamed("id", id_col)
