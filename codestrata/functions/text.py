@@ -43,7 +43,8 @@ def reappearing(deleted: Column, added: Column) -> Column:
     """How many non-blank deleted lines occur in the added text, both squeezed, trailing commas aside."""
     hay = squeezed(F.coalesce(added, F.lit("")))
     own = F.transform(raw_lines(deleted), lambda x: F.regexp_replace(squeezed(x), ",$", ""))
-    return F.size(F.filter(own, lambda x: (x != "") & F.contains(hay, x)))
+    # The added text is an argument of an outer lambda, else it would be squeezed again for each line.
+    return F.get(F.transform(F.array(hay), lambda h: F.size(F.filter(own, lambda x: (x != "") & F.contains(h, x)))), F.lit(0))
 
 
 def tokens(text: Column) -> Column:
