@@ -211,3 +211,13 @@ def test_log_and_shards(spark):
     assert [(r.sha, r.parent) for r in commit_pairs(entries).collect()] == [("a", "r")]
     df = spark.createDataFrame([("k", i, n) for i, n in enumerate([4, 4, 4, 20, 1])], "k string, i int, n int")
     assert [r.shard for r in size_bounded_shards(df, "k", "i", F.col("n"), 8).orderBy("i").collect()] == [0, 0, 1, 2, 3]
+
+
+def test_token_similarity_of_all_neighbours(spark):
+    from codestrata.plans.history import rpl_token_similarity
+
+    data = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    wanted = {i: round(difflib.SequenceMatcher(None, t.split(), texts[i + 1].split()).ratio(), 6) for i, t in texts.items() if i + 1 in texts}
+    assert max(map(len, texts.values())) >= 2000
+    assert {r.doc_id: r.similarity for r in rpl_token_similarity(spark, data).collect()} == pytest.approx(wanted)
