@@ -80,6 +80,15 @@ def test_pii_checksums_and_context(spark):
     assert got == {0: "iban:5:32", 1: "", 2: "ssn:10:21", 3: ""}
 
 
+def test_pii_ibans_among_capitals_and_digits(spark):
+    texts = {"DE89 3704 0044 0532 0130 00 BIC COBADEFF": "iban:0:27", "DE89370400440532013000 EUR 500": "iban:0:22", "to DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32.": "iban:3:30,iban:31:58", "REF 1234 AB12 DE89370400440532013000": "iban:14:36", "DE88 3704 0044 0532 0130 00 BIC": "", "NO93 8601 1117 947": "iban:0:18", "xDE89370400440532013000": "", "é\U0001f600 DE89370400440532013000\nEUR": "iban:3:25"}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.d for r in find_pii(df).select("doc_id", digest(F.expr("filter(spans, x -> x.kind = 'iban')")).alias("d")).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+    clean = {r.text for r in redact(df.filter("doc_id < 2")).collect()}
+    assert clean == {"<IBAN> BIC COBADEFF", "<IBAN> EUR 500"}
+
+
 def test_pii_edges(spark):
     rows = find_pii(odd(spark)).collect()
     assert len(rows) == len(ODD)
