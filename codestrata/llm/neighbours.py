@@ -68,10 +68,16 @@ def nearest(rows: DataFrame, queries: DataFrame, keys: list[str], k: int) -> Dat
         if own.num_rows and asked.num_rows:
             x, q = _matrix(own["vector"]), _matrix(asked["vector"])
             ids, names = own["id"].to_numpy(), asked["id"].to_numpy()
+            once = len(np.unique(ids)) == len(ids)
             square = (x * x).sum(axis=1)
             for i, one in enumerate(q):
                 rough = square - 2 * (x @ one)
                 others = np.flatnonzero(ids != names[i])
+                if not once:
+                    # Of rows with one id the nearest counts, before the cut to k.
+                    distance = np.sqrt(((x[others] - one) ** 2).sum(axis=1))
+                    others = others[np.lexsort((distance, ids[others]))]
+                    others = others[np.unique(ids[others], return_index=True)[1]]
                 if len(others) > k:
                     limit = np.partition(rough[others], k - 1)[k - 1]
                     others = others[rough[others] <= limit + 1e-9 * (abs(limit) + 2 * (one @ one))]

@@ -66,6 +66,16 @@ def test_neighbours_in_a_crowded_bucket(spark):
     assert [i for _, i in sorted(found[0])] == list(range(3, 33, 3))
 
 
+def test_neighbours_behind_many_copies_of_a_row(spark):
+    rng = np.random.default_rng(6)
+    vectors = {i: rng.normal(size=4).tolist() for i in range(40)}
+    near = exact(vectors, [0])[0][0][1]
+    rows = [(i, v) for i, v in vectors.items() for _ in range(30 if i == near else 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted((r.rank, r.vec_id) for r in search(df, F.col("vec_id") == 0, probes=8).collect())
+    assert found == list(enumerate((i for _, i in exact(vectors, [0])[0]), 1))
+
+
 def test_hadamard_rotation_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 6))
     assert np.allclose(np.linalg.norm(neighbours.signed_axes(x, 0, 0, 1)[:, ::2], axis=1), np.linalg.norm(x, axis=1))
