@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codestrata.operators.mining import attributed_deletions, body_lines, extract_functions, greedy_matches, move_candidates, normalise_body, parse_diff
+from codestrata.operators.mining import attributed_deletions, body_lines, extract_functions, move_matches, normalise_body, parse_diff
 from codestrata.plans.registry import query
 from codestrata.sources.adapters import table
 
@@ -57,6 +57,6 @@ def mov_exact_hash(spark, d):
 
 @query()
 def mov_greedy(spark, d):
-    """One-to-one moves between even (deleted) and odd (added) documents of a commit: a source and a hundred ids."""
-    docs = table(spark, d, "documents").select(F.concat_ws(":", "lang", F.floor(F.col("doc_id") / 100).cast("string")).alias("commit"), F.col("doc_id").alias("id"), body_lines(F.col("text")).alias("lines"))
-    return greedy_matches(move_candidates(docs.filter("id % 2 = 0"), docs.filter("id % 2 = 1")))
+    """One-to-one moves between even (deleted) and odd (added) documents of a commit, which is a language."""
+    docs = table(spark, d, "documents").select(F.coalesce("lang", F.lit("")).alias("commit"), F.col("doc_id").alias("id"), body_lines(F.col("text")).alias("lines"))
+    return move_matches(docs.filter("id % 2 = 0"), docs.filter("id % 2 = 1"))

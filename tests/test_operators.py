@@ -221,3 +221,16 @@ def test_token_similarity_of_all_neighbours(spark):
     wanted = {i: round(difflib.SequenceMatcher(None, t.split(), texts[i + 1].split()).ratio(), 6) for i, t in texts.items() if i + 1 in texts}
     assert max(map(len, texts.values())) >= 2000
     assert {r.doc_id: r.similarity for r in rpl_token_similarity(spark, data).collect()} == pytest.approx(wanted)
+
+
+def test_moves_of_a_whole_table(spark, tmp_path):
+    from codestrata.plans.moves import mov_greedy
+
+    rng = random.Random(8)
+    bodies = [[f"line {rng.randrange(60)}" for _ in range(n)] for n in (1, 3, 10, 11, 12, 20, 24, 40)]
+    texts = [b for b in bodies for _ in range(5)] + [b[:-1] + ["new"] for b in bodies for _ in range(3)] + [b[: len(b) - 2] for b in bodies] + [[]]
+    rng.shuffle(texts)
+    docs = {i * 77: x for i, x in enumerate(texts)}
+    spark.createDataFrame([(i, "\n".join(x), "en") for i, x in docs.items()], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {(r.deleted_id, r.added_id) for r in mov_greedy(spark, str(tmp_path)).collect()}
+    assert found == plain_moves({i: x for i, x in docs.items() if i % 2 == 0}, {i: x for i, x in docs.items() if i % 2}) and found
