@@ -27,13 +27,12 @@ def cls_keyword_evidence(spark, d):
     FROM documents WHERE NOT contains(text, '```') AND NOT contains(text, '<!--')"""
 )
 def cls_sentences(spark, d):
-    docs = table(spark, d, "documents").filter(~F.col("text").contains("```") & ~F.col("text").contains("<!--"))
-    return docs.select("doc_id", sentences(F.col("text")).alias("sentences"))
+    return table(spark, d, "documents").select("doc_id", sentences(F.col("text")).alias("sentences"))
 
 
 @query("SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '#([0-9]{1,9})', 1), lambda x: x::INT))) AS issues FROM documents WHERE NOT contains(text, '`')")
 def issue_refs(spark, d):
-    return table(spark, d, "documents").filter(~F.col("text").contains("`")).select("doc_id", issue_numbers(F.col("text")).alias("issues"))
+    return table(spark, d, "documents").select("doc_id", issue_numbers(F.col("text")).alias("issues"))
 
 
 @query(

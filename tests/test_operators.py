@@ -234,3 +234,12 @@ def test_moves_of_a_whole_table(spark, tmp_path):
     spark.createDataFrame([(i, "\n".join(x), "en") for i, x in docs.items()], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     found = {(r.deleted_id, r.added_id) for r in mov_greedy(spark, str(tmp_path)).collect()}
     assert found == plain_moves({i: x for i, x in docs.items() if i % 2 == 0}, {i: x for i, x in docs.items() if i % 2}) and found
+
+
+def test_sentences_and_references_of_documents_with_code(spark, tmp_path):
+    from codestrata.plans.texts import cls_sentences, issue_refs
+
+    rows = [(1, "First sentence. ```\ncode is no sentence.\n``` Second one #3."), (2, "Seen here <!-- not this one #9 --> and `#4` there #5."), (3, "Plain sentence #7.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.sentences for r in cls_sentences(spark, str(tmp_path)).collect()} == {1: ["First sentence.", "Second one #3."], 2: ["Seen here   and `#4` there #5."], 3: ["Plain sentence #7."]}
+    assert {r.doc_id: r.issues for r in issue_refs(spark, str(tmp_path)).collect()} == {1: [3], 2: [5, 9], 3: [7]}
