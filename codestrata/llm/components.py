@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import cut
+from codestrata.llm.common import cut, spare
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -36,3 +38,17 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+
+
+def keep_one(df: DataFrame, components: Callable[..., DataFrame], id_col: str = "doc_id") -> DataFrame:
+    """One row of each component: the one with the least id, null ids last; of rows with one id that of the least hash.
+
+    ``components`` gives (mark, root) among others for each row; rows are known by a hash of all their columns, so
+    reruns agree and rows that share an id but not their text are told apart.
+    """
+    mark, root = spare(df, "mark", "root")
+    own = df.withColumn(mark, F.xxhash64(*df.columns))
+    found = components(own, mark_col=mark).select(F.col(id_col).alias("id"), "mark", "root")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("m"))
+    kept = first.select(F.col("m.mark").alias(mark), F.col("root").alias(root))
+    return own.join(kept, mark).dropDuplicates([root]).select(*[own[c] for c in df.columns])

@@ -16,6 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from codestrata.llm.common import spare
+
 #: Hashed feature slots.
 SLOTS = 1 << 17
 #: Characters of text worked on at once: bounds a worker's memory.
@@ -64,13 +66,13 @@ class Field:
     labels: list[str]
     weights: np.ndarray
     lexicon: dict[str, int]
+    listed: np.ndarray  # a row for each lexicon word and a last one of zeros, a column for each label
     member: np.ndarray
     moves: np.ndarray
     starts: np.ndarray
 
     def membership(self, words: Sequence[str]) -> np.ndarray:
-        bits = np.fromiter((self.lexicon.get(w, 0) for w in words), np.int64, len(words))
-        return ((bits[:, None] >> np.arange(len(self.labels))) & 1).astype(np.float64)
+        return self.listed[np.fromiter((self.lexicon.get(w, -1) for w in words), np.int64, len(words))]
 
     def scores(self, words: Sequence[str]) -> np.ndarray:
         """One row of label scores for each distinct word."""
@@ -142,11 +144,14 @@ def train(rows: Sequence[tuple[str, str]], *, epochs: int = 4, lexicon_words: in
     for words, label in rows:
         if words:
             counts[label].update(words)
+    frequent = [(w, i) for i, label in enumerate(labels) for w, _ in sorted(counts[label].items(), key=lambda x: (-x[1], x[0]))[:lexicon_words]]
     lexicon: dict[str, int] = {}
-    for i, label in enumerate(labels):
-        for w, _ in sorted(counts[label].items(), key=lambda x: (-x[1], x[0]))[:lexicon_words]:
-            lexicon[w] = lexicon.get(w, 0) | 1 << i
-    field = Field(labels, np.zeros((SLOTS, max(k, 1))), lexicon, np.zeros((k, k)), np.zeros((k, k)), np.zeros(k))
+    for w, _ in frequent:
+        lexicon.setdefault(w, len(lexicon))
+    listed = np.zeros((len(lexicon) + 1, k))
+    for w, i in frequent:
+        listed[lexicon[w], i] = 1
+    field = Field(labels, np.zeros((SLOTS, max(k, 1))), lexicon, listed, np.zeros((k, k)), np.zeros((k, k)), np.zeros(k))
     if k < 2:
         return field
     rng = np.random.default_rng(seed)
@@ -204,21 +209,27 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def sample(df: DataFrame, *, rows_per_label: int = 400, chars_per_row: int = 4000) -> list[tuple[str, str]]:
-    """At most ``rows_per_label`` (text, lang) rows of each label, the first in order of a hash of the id.
+def sample(df: DataFrame, *, rows_per_label: int = 400, chars_per_label: int = 1_600_000) -> list[tuple[str, str]]:
+    """At most ``rows_per_label`` (text, lang) rows of each label, the first in order of a hash of id and text, whole texts.
 
-    Only rows that aren't held out.  ``chars_per_row`` bounds what the driver gets of a row.
+    Only rows that aren't held out.  Both parameters are the sample's bound: rows are taken as long as their characters
+    sum up to ``chars_per_label`` at most, and a row that is longer than that by itself isn't learned from.  Ids are
+    ranked in two levels, so the rows of a frequent label meet in no one task.
     """
-    own = df.filter(~held_out() & F.col("lang").isNotNull()).select(F.col("doc_id").alias("_pick"), "lang")
-    turn = W.partitionBy("lang").orderBy(F.xxhash64("_pick"), "_pick")
-    chosen = own.withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= rows_per_label).select("_pick", "lang").distinct()
+    pick = F.xxhash64("doc_id", "text").alias("_pick")
+    labelled = df.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= chars_per_label))
+    own = labelled.groupBy(pick, "lang").agg(F.first(F.char_length("text")).alias("_size"))
+    few = own.withColumn("_turn", F.row_number().over(W.partitionBy("lang", F.pmod("_pick", F.lit(64))).orderBy("_pick"))).filter(F.col("_turn") <= rows_per_label)
+    few = few.withColumn("_turn", F.row_number().over(W.partitionBy("lang").orderBy("_pick"))).filter(F.col("_turn") <= rows_per_label)
+    run = F.sum("_size").over(W.partitionBy("lang").orderBy("_turn").rowsBetween(W.unboundedPreceding, 0))
     # At most rows_per_label ids for each label: small enough to broadcast.
-    texts = df.filter(~held_out()).select(F.col("doc_id").alias("_pick"), "lang", F.substring("text", 1, chars_per_row).alias("text")).join(F.broadcast(chosen), ["_pick", "lang"], "left_semi")
-    return [(r.text, r.lang) for r in texts.filter("text IS NOT NULL").select("text", "lang").toLocalIterator()][: rows_per_label * 1000]
+    chosen = F.broadcast(few.withColumn("_run", run).filter(F.col("_run") <= chars_per_label).select("_pick", "lang"))
+    texts = labelled.select(pick, "lang", "text").join(chosen, ["_pick", "lang"], "left_semi").dropDuplicates(["_pick", "lang"])
+    return [(r.text, r.lang) for r in texts.select("text", "lang").toLocalIterator()]
 
 
-def annotate(df: DataFrame, field: Field, *, text_col: str = "text") -> DataFrame:
-    """``df`` with lang_pred and score (columns of these names are replaced): whole texts are labelled where they are.
+def annotate(df: DataFrame, field: Field, *, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``df`` with the columns ``names``, label and score (columns of these names are replaced): whole texts are labelled where they are.
 
     The label with the most letters by word posteriors wins, and its share is the score.
 
@@ -241,12 +252,12 @@ def annotate(df: DataFrame, field: Field, *, text_col: str = "text") -> DataFram
         after = field.posteriors(field.scores(known)[flat], first) * np.fromiter(map(len, known), np.float64, len(known))[flat][:, None]
         share = np.add.reduceat(after, starts, axis=0)
         share /= share.sum(axis=1, keepdims=True)
-        names, sure = np.full(len(texts), NONE, object), np.zeros(len(texts))
-        names[some] = np.array(field.labels, object)[share.argmax(axis=1)]
+        best, sure = np.full(len(texts), NONE, object), np.zeros(len(texts))
+        best[some] = np.array(field.labels, object)[share.argmax(axis=1)]
         sure[some] = np.minimum(share.max(axis=1), 1.0)
-        return names.tolist(), sure.tolist()
+        return best.tolist(), sure.tolist()
 
-    columns = [c for c in df.columns if c not in ("lang_pred", "score")]
+    columns = [c for c in df.columns if c not in names]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,13 +268,13 @@ def annotate(df: DataFrame, field: Field, *, text_col: str = "text") -> DataFram
                 while end < len(texts) and (size == 0 or size < AT_ONCE):
                     size += len(texts[end] or "") + 1
                     end += 1
-                names, sure = label(texts[at:end])
+                told, sure = label(texts[at:end])
                 part = batch.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(sure, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(told, pa.string()), pa.array(sure, pa.float64())], names=[*part.schema.names, *names])
                 at = end
 
     own = df.select(columns)
-    return own.mapInArrow(walk, StructType([*own.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return own.mapInArrow(walk, StructType([*own.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 
 
 def identify(df: DataFrame, **options) -> DataFrame:
@@ -273,6 +284,11 @@ def identify(df: DataFrame, **options) -> DataFrame:
 
 
 def known_language(df: DataFrame, least: float = 0.5, **options) -> DataFrame:
-    """The rows of ``df`` in a learned language, one that has at least the share ``least`` of a text's letters."""
-    found = annotate(df, train(sample(df, **options)))
-    return found.filter((F.col("lang_pred") != NONE) & (F.col("score") >= least)).select(df.columns)
+    """The rows of ``df`` in a learned language, one that has at least the share ``least`` of a text's letters.
+
+    All columns stay as they are, whatever their names.  Null texts and texts without a letter go; repeated rows are
+    judged each; an empty table gives no rows, and one without labelled rows none either, as no language is known.
+    """
+    language, score = spare(df, "lang_pred", "score")
+    found = annotate(df, train(sample(df, **options)), names=(language, score))
+    return found.filter((F.col(language) != NONE) & (F.col(score) >= least)).select(df.columns)

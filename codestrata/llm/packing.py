@@ -8,9 +8,13 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codestrata.llm.common import cut
+
 #: Words remembered by a worker; both caches are emptied when full, which bounds memory and changes no result.
 REMEMBERED = 400_000
 
@@ -42,11 +46,12 @@ class WordTokenizer(dict):
 
     def __missing__(self, chunk: bytes) -> bytes:
         text = chunk.decode()
-        if "<|" in text or _OTHER.search(text):
+        small = text.lower()  # some simple capitals have small letters that aren't simple
+        if "<|" in text or _OTHER.search(text) or _OTHER.search(small):
             ids = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
         else:
             words = self.words
-            ids = b"".join([words.get(w) or self.word(w) for w in _PIECES.findall(text.lower())])
+            ids = b"".join([words.get(w) or self.word(w) for w in _PIECES.findall(small)])
         if len(self) >= REMEMBERED:
             self.clear()
         self[chunk] = ids
@@ -77,45 +82,55 @@ def binary_pieces(n: int, longest: int) -> list[tuple[int, int]]:
 
 
 def pack(df: DataFrame, tokenizer: str, *, longest: int = 2048, end: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Cut each document's ids into pieces whose lengths are powers of two, at most ``longest``.
+    """Cut each document's ids into pieces whose lengths are powers of two, at most ``longest``, and bucket equal lengths.
 
-    A piece is a sequence of its own: it is never padded, no sequence crosses documents, and ``bucket`` (the length's
-    logarithm) names the sequences that can form a batch without padding.  ``end`` is put after each document.
-    ``tokenizer`` is the path of a tokenizers file that every executor has.  Documents are cut where they are read;
-    nothing is shuffled, and memory is bounded by a batch of texts and the word caches.
+    A piece is a sequence of its own: it is never padded, and no sequence crosses documents.  ``bucket`` is the length's
+    logarithm; the sequences of a bucket have consecutive numbers, shorter buckets first, so any stretch of
+    sequence_id inside a bucket is a batch without padding.  ``end`` is put after each document.  ``tokenizer`` is the
+    path of a tokenizers file that every executor has.  Documents are cut where they are read; nothing is shuffled but
+    one count for each task and bucket, and memory is bounded by a batch of texts and the word caches.
 
     Nulls: a null text is an empty one, that is one piece with ``end`` alone; a null id is kept.  Repeated rows are
-    packed each.  An empty table gives no rows.  sequence_id is unique; other columns are ignored.
+    packed each.  An empty table gives no rows.  sequence_id is gapless from 0; other columns are ignored.
 
     Returns id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket, and ids if asked for.
     """
-    schema = "id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+    schema = "id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, task int, place long" + ", ids array<int>" * with_ids
+    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "bucket", "task", "place"] + ["ids"] * with_ids
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokenizer(tokenizer)
         last = end.to_bytes(4, "little")
+        task = TaskContext.get().partitionId()
+        seen = [0] * 64
 
         def table(columns: list[list], ids: list) -> pa.RecordBatch:
-            arrays = [pa.array(c, pa.int64()) for c in columns] + [pa.array(ids, pa.list_(pa.int32()))] * with_ids
-            return pa.RecordBatch.from_arrays(arrays, names=["id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
+            kinds = [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.int64()]
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)] + [pa.array(ids, pa.list_(pa.int32()))] * with_ids
+            return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for batch in batches:
-            columns, ids = [[] for _ in range(5)], []
+            columns, ids = [[] for _ in range(8)], []
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 data = memoryview(words.ids(text.as_py()) + last)
                 n, doc = len(data) // 4, doc.as_py()
                 for start, length in binary_pieces(n, longest):
                     piece = data[4 * start : 4 * (start + length)]
-                    for column, value in zip(columns, (doc, start, length, zlib.crc32(piece), n), strict=True):
+                    bucket = length.bit_length() - 1
+                    for column, value in zip(columns, (doc, start, length, zlib.crc32(piece), n, bucket, task, seen[bucket]), strict=True):
                         column.append(value)
+                    seen[bucket] += 1
                     if with_ids:
                         ids.append(piece.cast("i").tolist())
                 if len(columns[0]) >= 50_000 or with_ids and len(ids) >= 1000:
                     yield table(columns, ids)
-                    columns, ids = [[] for _ in range(5)], []
+                    columns, ids = [[] for _ in range(8)], []
             yield table(columns, ids)
 
-    cut = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut_up, schema)
-    return cut.select(
-        F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.log2("length").cast("int").alias("bucket"), *["ids"] * with_ids
-    )
+    # Numbers within a task are made once and written out, so a lost executor doesn't change them.
+    pieces = cut(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut_up, schema))
+    own = pieces.groupBy("bucket", "task").agg(F.count("*").alias("n"))
+    # A row for each task and bucket, of which there are at most 64: some bytes for each piece of input that a task reads.
+    before = F.coalesce(F.sum("n").over(W.orderBy("bucket", "task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    numbered = pieces.join(own.select("bucket", "task", before.alias("first")), ["bucket", "task"])
+    return numbered.select(F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "bucket", *["ids"] * with_ids)

@@ -15,7 +15,7 @@ from codestrata.llm.mixing import mix_sources
 from codestrata.llm.neighbours import search
 from codestrata.llm.packing import pack
 from codestrata.llm.pages import extract_main_text
-from codestrata.llm.pii import BASE, digest, find_pii
+from codestrata.llm.pii import BASE, digest, find_pii, scores
 from codestrata.llm.repeats import remove_repeats
 from codestrata.llm.sharding import shard_by_splitters
 from codestrata.llm.simhash import hexadecimal, near_duplicates
@@ -47,7 +47,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda x: x["k"] < len(BASE))
     counts = [F.expr(f"cast(size(filter(spans, x -> x.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"), scores(F.col("spans")).alias("scores"))
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import cut
-from codestrata.llm.components import connected_components
+from codestrata.llm.common import cut, partitions
+from codestrata.llm.components import connected_components, keep_one
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 #: A variant shared by more fingerprints than this is not paired off but hashed by whole balls.
@@ -41,15 +41,17 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(counts * 2 > len(values), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp) of each row."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark_col: str | None = None) -> DataFrame:
+    """(id_col, mark, fp) of each row; mark is null unless a column is named."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
+            fps = [fingerprint(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["id", "mark", "fp"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(of, "id long, fp long").withColumnRenamed("id", id_col)
+    mark = F.lit(None) if mark_col is None else F.col(mark_col)
+    own = df.select(F.col(id_col).cast("long").alias("id"), mark.cast("long").alias("mark"), F.col(text_col).cast("string").alias("text"))
+    return own.mapInArrow(of, "id long, mark long, fp long").withColumnRenamed("id", id_col)
 
 
 def _signed(x: int) -> int:
@@ -103,7 +105,9 @@ def links(fps: DataFrame) -> DataFrame:
     Rows grow in proportion to the fingerprints: 131 variants each, pairs only inside variants shared by at most
     PAIRED of them, whole balls for members of more crowded ones.
     """
-    spread = fps.select("fp").distinct().select("fp", F.explode(_variants(F.col("fp"))).alias("v"))
+    # A fingerprint is 8 bytes and makes 131 variants, so it is dealt by their number and not by its own size.
+    some = fps.select("fp").distinct().repartition(partitions(fps), "fp")
+    spread = some.select("fp", F.explode(_variants(F.col("fp"))).alias("v"))
     shared = cut(spread.withColumn("n", F.count("*").over(W.partitionBy("v"))).filter("n > 1"))
     pairs = F.expr(
         f"""flatten(transform(l, (x, i) -> transform(filter(slice(l, i + 2, {PAIRED}), y -> bit_count(x ^ y) <= {RADIUS}),
@@ -113,8 +117,8 @@ def links(fps: DataFrame) -> DataFrame:
     return few.union(_ball_links(shared.filter(F.col("n") > PAIRED).select("fp").distinct())).distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp, root, component_id) of each row.
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark_col: str | None = None) -> DataFrame:
+    """(id_col, mark, fp, root, component_id) of each row.
 
     Rows whose fingerprints differ in at most 3 bits are linked; component_id is the least id reachable and root the
     component's least fingerprint.  Texts are turned to fingerprints where they are read, and equal fingerprints
@@ -123,11 +127,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Nulls: a null or wordless text has fingerprint 0, linked like any other; a row with a null id is linked too and
     never is the least.  Repeated rows are kept.  An empty table gives no rows.
     """
-    own = cut(fingerprints(df, id_col, text_col))
+    own = cut(fingerprints(df, id_col, text_col, mark_col))
     roots = connected_components(links(own))
-    rooted = own.join(roots, own["fp"] == roots["node"], "left").select(id_col, "fp", F.coalesce("root", "fp").alias("root"))
+    rooted = own.join(roots, own["fp"] == roots["node"], "left").select(id_col, "mark", "fp", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min(id_col).alias("component_id"))
-    return rooted.join(least, "root").select(id_col, "fp", "root", "component_id")
+    return rooted.join(least, "root").select(id_col, "mark", "fp", "root", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -135,7 +139,5 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def one_of_each(df: DataFrame) -> DataFrame:
-    """The row with the least id of each component."""
-    columns = df.columns
-    kept = near_duplicates(df).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"), F.col("root").alias("_root")).dropDuplicates(["_root"])
-    return df.join(kept, df["doc_id"].eqNullSafe(kept["_kept"])).dropDuplicates(["_root"]).select(*[df[c] for c in columns])
+    """The row with the least id of each component, all columns as they are."""
+    return keep_one(df, near_duplicates)
