@@ -78,7 +78,7 @@ def test_neighbours_behind_many_copies_of_a_row(spark):
 
 def test_hadamard_rotation_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 6))
-    assert np.allclose(np.linalg.norm(neighbours.signed_axes(x, 0, 0, 1)[:, ::2], axis=1), np.linalg.norm(x, axis=1))
+    assert np.allclose(np.linalg.norm(neighbours.signed_axes(x, 0, 0, 1, 16)[:, ::2], axis=1), np.linalg.norm(x, axis=1))
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>";</script></head><body class="with-sidebar">
