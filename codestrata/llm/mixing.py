@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import WORD, cut, uniform
+from codestrata.llm.common import WORD, cut, spare, uniform
 
 
 def quality(text: Column) -> Column:
@@ -91,14 +91,18 @@ def mixed_documents(df: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of ``df`` as often as taken, the last document of a source cut after its last taken word.
 
     Rows that agree in id, source and text count as one document whose copies add up.  A document without words is
-    never taken.
+    never taken.  Other columns go along, whatever their names; an empty table gives no rows.
     """
-    ident = {"_mix_id": F.col("doc_id"), "_mix_hash": F.xxhash64("text", "source")}
-    taken = mix_sources(df, keep=ident, **options).filter("taken > 0").groupBy("_mix_id", "_mix_hash").agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size"))
     columns = df.columns
-    own = df.withColumn("_mix_id", F.col("doc_id")).withColumn("_mix_hash", F.xxhash64("text", "source")).dropDuplicates(["_mix_id", "_mix_hash"])
-    joined = own.join(taken, own["_mix_id"].eqNullSafe(taken["_mix_id"]) & (own["_mix_hash"] == taken["_mix_hash"]))
-    rest = F.col("_taken") % F.col("_size")
-    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), F.floor(F.col("_taken") / F.col("_size")).cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    cut_text = F.when(F.col("_part") == 0, F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_part").cast("int")), " "))
-    return joined.select(*[own[c] for c in columns], F.explode(copies).alias("_part")).select(*[cut_text.alias("text") if c == "text" else F.char_length(cut_text).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in columns])
+    ident, digest, part = spare(df, "mix_id", "mix_hash", "mix_part")
+    known = {"mix_id": F.col("doc_id"), "mix_hash": F.xxhash64("text", "source")}
+    taken = mix_sources(df, keep=known, **options).filter("taken > 0").groupBy("mix_id", "mix_hash").agg(F.sum("taken").alias("mix_taken"), F.first("size").alias("mix_size"))
+    taken = taken.select(F.col("mix_id").alias("_i"), F.col("mix_hash").alias("_h"), F.struct("mix_taken", "mix_size").alias("_t"))
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id").alias(ident), F.xxhash64("text", "source").alias(digest)).dropDuplicates([ident, digest])
+    joined = own.join(taken, own[ident].eqNullSafe(taken["_i"]) & (own[digest] == taken["_h"]))
+    words, size = F.col("_t.mix_taken"), F.col("_t.mix_size")
+    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), F.floor(words / size).cast("int")), F.when(words % size > 0, F.array(words % size)).otherwise(F.array().cast("array<bigint>")))
+    given = joined.select("row", F.explode(copies).alias(part))
+    text = F.col("row").getField("text")
+    cut_text = F.when(F.col(part) == 0, text).otherwise(F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col(part).cast("int")), " "))
+    return given.select(*[cut_text.alias("text") if c == "text" else F.char_length(cut_text).cast("long").alias("n_chars") if c == "n_chars" else F.col("row").getField(c).alias(c) for c in columns])

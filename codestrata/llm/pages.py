@@ -1,19 +1,23 @@
-"""Main text of web pages by site style trees."""
+"""Main text of web pages by site style trees.
+
+The pages of a host are merged to one tree: nodes are tags with their classes below their parents, and each has the
+styles (sequences of children) and contents that the pages show there.  Entropy says how much of a node is a page's own.
+"""
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import cut, shared_folder
+from codestrata.llm.common import cut, scratch
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -21,179 +25,236 @@ BLOCK = frozenset(
 )
 #: An open one ends where another of its kind begins.
 ENDS_ITSELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-#: What is never main text, by tag, role and word of a class or id.
+#: What HTML itself calls something else than main text.
 NOISE_TAGS = frozenset("aside button canvas dialog embed footer form head iframe input menu nav noscript object script select style svg template textarea title".split())
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices popup promo promoted related replies reply respond share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split()
-)
-#: On an article itself only these count.
-ARTICLE_NOISE = frozenset("ad ads advert advertisement comment comments promo promoted reply related sponsored".split())
+#: Branches that can't hold an article: one that begins inside shows that its end tag is missing.
+SHUT = frozenset("form head menu nav noscript select".split())
+#: Names that, as a whole class or id, weaken a box of the page.
+HINTS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comments cookie-banner cookie-notice cookies disqus footer menu navbar navigation newsletter promo sidebar sponsored toolbar".split())
+BOXES = frozenset("center div dl figure ol section table ul".split())
 _WORDS = re.compile(r"[a-z]+")
+_NAMES = re.compile(r"[a-z]+(?:[-_][a-z]+)*")
+
+#: The base of a node's share that its content has: with l styles it is GAMMA to the power of l, the rest is presentation's.
+GAMMA = 0.9
+#: The least importance that stays, what is left of it in a weakened box, and of the lack of it in an article.
+LEAST, HINTED, TRUSTED = 0.5, 0.4, 0.4
+
 
-#: Share of a node's importance that its content has (presentation has the rest), the least importance that stays,
-#: and the least number of pages that make a site.
-CONTENT, LEAST, PAGES = 0.9, 0.1, 5
+class Leaf(NamedTuple):
+    """A block of text: its branch from the root down, whether its branch is weakened, and an article's, and the text."""
+
+    chain: tuple[int, ...]
+    hinted: bool
+    trusted: bool
+    text: str
 
 
 class _Page(HTMLParser):
-    """Collects blocks as (depth of container kind, path, text) in page order."""
+    """Collects a page's leaves in order, and the presentations (sequences of children) of each branch."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, int]] = []  # tag, path, noise, container (0 none, 1 main, 2 article)
+        self.open: list[tuple[str, tuple[int, ...], bool, bool, bool, list[str]]] = [("", (), False, False, False, [])]
         self.count: Counter[str] = Counter()
-        self.blocks: list[tuple[int, int, str]] = []
+        self.leaves: list[Leaf] = []
+        self.styles: dict[int, set[int]] = {}
         self.text: list[str] = []
-        self.path, self.noise, self.container = 0, False, 0
 
-    def _flush(self) -> None:
+    def flush(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             self.text = []
             if text:
-                self.blocks.append((self.container, self.path, text))
+                _, chain, _, hinted, trusted, children = self.open[-1]
+                self.leaves.append(Leaf(chain, hinted, trusted, text))
+                children.append("#")
 
-    def _pop(self, depth: int) -> None:
-        for tag, *_ in self.open[depth:]:
+    def close_to(self, depth: int) -> None:
+        for tag, chain, noise, _, _, children in self.open[depth:]:
             self.count[tag] -= 1
+            if tag in BLOCK and not noise:
+                self.styles.setdefault(chain[-1], set()).add(xxhash.xxh64_intdigest(" ".join(children)) >> 1)
+            elif children:
+                self.open[depth - 1][5].extend(children)
         del self.open[depth:]
-        _, self.path, self.noise, self.container = self.open[-1] if self.open else ("", 0, False, 0)
 
-    def _last(self, tags: tuple[str, ...], stop: frozenset[str] | tuple = ()) -> int:
-        for i in range(len(self.open) - 1, -1, -1):
+    def last(self, tags: Collection[str], stop: Collection[str] = ()) -> int:
+        for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] in tags:
                 return i
             if self.open[i][0] in stop:
                 break
-        return -1
+        return 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
-            self._flush()
+            self.flush()
             if self.count["p"]:
-                self._pop(self._last(("p",)))
+                self.close_to(self.last(("p",)))
         elif tag == "br":
             self.text.append(" ")
         if tag in VOID:
             return
-        if any(self.count[t] for t in ENDS_ITSELF.get(tag, ())):
-            at = self._last(ENDS_ITSELF[tag], ("ul", "ol", "dl", "table", "select", "div", "section", "article"))
-            if at >= 0:
-                self._pop(at)
         own = {k: (v or "").lower() for k, v in attrs if k in ("class", "id", "role", "itemprop")}
-        words = frozenset(_WORDS.findall(f"{own.get('class', '')} {own.get('id', '')}")) if own else frozenset()
-        container, noise = self.container, self.noise
-        if tag == "article":
-            if container < 2:
-                noise = False  # an unclosed branch before it doesn't swallow the article
-            container, noise = 2, noise or bool(words & ARTICLE_NOISE)
-        elif tag == "main" or own.get("role") == "main" or "articlebody" in own.get("itemprop", ""):
-            if not container:
-                container, noise = 1, False
-        elif tag not in ("html", "body"):
-            noise = noise or tag in NOISE_TAGS or tag == "header" and container < 2 or own.get("role") in NOISE_ROLES or tag in BLOCK and bool(words & NOISE_WORDS)
-        path = self.path
+        part = tag in ("article", "main") or own.get("role") in ("article", "main") or "articlebody" in own.get("itemprop", "")
+        if part and (at := next((i for i, x in enumerate(self.open) if x[0] in SHUT), 0)):
+            self.close_to(at)
+        if any(self.count[t] for t in ENDS_ITSELF.get(tag, ())):
+            at = self.last(ENDS_ITSELF[tag], ("ul", "ol", "dl", "table", "select", "div", "section", "article"))
+            if at:
+                self.close_to(at)
+        _, chain, noise, hinted, trusted, children = self.open[-1]
+        named = f"{own.get('class', '')} {own.get('id', '')}" if own else ""
+        noise = noise or tag in NOISE_TAGS or tag == "header" and not trusted or own.get("role") in NOISE_ROLES
+        hinted = hinted or tag in BOXES and bool(named) and not HINTS.isdisjoint(_NAMES.findall(named))
+        trusted = trusted or part and not noise
         if tag in BLOCK:
-            path = xxhash.xxh64_intdigest(f"{self.path} {tag} {' '.join(sorted(words))}") >> 1
-        self.open.append((tag, path, noise, container))
+            words = " ".join(sorted(set(_WORDS.findall(named))))
+            chain = (*chain, xxhash.xxh64_intdigest(f"{chain[-1] if chain else 0} {tag} {words}") >> 1) if len(chain) < DEPTH else chain
+            children.append(tag)
+        self.open.append((tag, chain, noise, hinted, trusted, []))
         self.count[tag] += 1
-        self.path, self.noise, self.container = path, noise, container
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
-            self._flush()
+            self.flush()
         if self.count[tag] > 0:
-            self._pop(self._last((tag,)))
+            self.close_to(self.last((tag,)))
 
     def handle_data(self, data: str) -> None:
-        if not self.noise:
+        if not self.open[-1][2]:
             self.text.append(data)
 
 
-def blocks(html: str | None) -> list[tuple[int, str]]:
-    """(path, text) of a page's blocks outside noise branches; inside its articles, or else its main part, if it has any."""
+#: Branches are told apart down to this depth; what lies deeper belongs to the node there.
+DEPTH = 24
+
+
+def parsed(html: str | None) -> tuple[list[Leaf], dict[int, set[int]]]:
+    """The leaves of a page outside of what HTML itself sets apart, and the styles of its branches.
+
+    Where all there is lies in weakened boxes, these are the page, and their names don't count.
+    """
     page = _Page()
     page.feed(html or "")
     page.close()
-    page._flush()
-    most = max((c for c, _, _ in page.blocks), default=0)
-    return [(p, t) for c, p, t in page.blocks if c == most]
+    page.flush()
+    page.close_to(1)
+    if page.leaves and all(x.hinted for x in page.leaves):
+        return [Leaf(x.chain, False, x.trusted, x.text) for x in page.leaves], page.styles
+    return page.leaves, page.styles
+
+
+def place_of(leaf: Leaf) -> int:
+    """Number of a leaf's branch, with what is known of it besides its tags."""
+    return xxhash.xxh64_intdigest(f"{leaf.chain[-1] if leaf.chain else 0} {leaf.hinted} {leaf.trusted}") >> 1
 
 
 def host_of(url: Column) -> Column:
     return F.nullif(F.regexp_extract(F.lower(url), r"^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))
 
 
-def low_importance(nodes: DataFrame) -> DataFrame:
-    """(host, path, content) of the site style tree's leaves whose importance is under LEAST.
+def low_importance(nodes: DataFrame, salts: int = 16) -> DataFrame:
+    """(host, place, content) of the leaves of each host's style tree that have too little importance.
+
+    ``nodes`` has a row for each branch of a page: host, body, path (its last node), chain (its nodes from the root),
+    style, place, hinted, trusted, contents and lengths.  A host's pages with the same body count once, so mirrors of a
+    page make nothing common.  With m bodies:
+
+    * a leaf's content that is on k of them has the importance 1 - (1 - 1/m) log_m k: 1 if it is one page's own, 1/m if
+      all have it, so what two pages share is no noise yet, and what three share is;
+    * a node's presentation has the entropy, to base m, of its styles; with l styles, the node has the importance
+      (1 - GAMMA^l) presentation + GAMMA^l content, where content is the mean over all leaves below it, by length;
+    * a leaf has its own importance and that of its branch (the lesser one of the last two nodes): the shorter it is, the
+      more the branch decides, so a menu's one link of its own goes with the menu and a paragraph stays by itself.
 
-    ``nodes`` has host, body, path, n (leaves at that path in the page) and contents.  A host's pages with the same
-    body count once, so mirrors of a page make nothing common.  With m bodies, a content on k of them has the
-    importance 1 - log_m k, 1 if it is one page's own and 0 if it is on all; a path's presentation has the entropy,
-    to base m, of its number of leaves.
+    A box that calls itself a menu, advert or the like keeps HINTED of its leaves' importance; in an article only
+    TRUSTED of what they lack counts.  Leaves with less than LEAST go.
     """
-    once = nodes.groupBy("host", "body", "path").agg(F.max("n").alias("n"), F.first("contents").alias("contents"))
-    pages = nodes.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("m")).filter(F.col("m") >= PAGES)
-    styles = once.groupBy("host", "path", "n").agg(F.count("*").alias("k"))
-    total = styles.groupBy("host", "path").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.log("k")).alias("e"))
-    presentation = total.select("host", "path", (F.log("s") - F.col("e") / F.col("s")).alias("entropy"))
-    leaves = once.select("host", "path", F.explode(F.array_distinct("contents")).alias("content")).groupBy("host", "path", "content").agg(F.count("*").alias("k")).filter("k > 1")
-    weighed = leaves.join(pages, "host").join(presentation, ["host", "path"])
-    importance = (1 - CONTENT) * F.least(F.lit(1.0), F.col("entropy") / F.log("m")) + CONTENT * (1 - F.log("k") / F.log("m"))
-    return weighed.filter(importance < LEAST).select("host", "path", "content")
+    once = nodes.groupBy("host", "body", "path", "place").agg(*[F.first(c).alias(c) for c in ("chain", "style", "hinted", "trusted", "contents", "lengths")])
+    pages = nodes.select("host", "body").distinct().groupBy("host").agg(F.count("*").cast("double").alias("m"))
+    styles = once.groupBy("host", "path", "style").agg(F.count_distinct("body").alias("k"))
+    entropy = styles.groupBy("host", "path").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.log("k")).alias("e"), F.count("*").alias("l"))
+    # A row for each host and branch; few, but a host with most pages has most rows of what it is joined with.
+    shown = entropy.join(pages, "host").select("host", "path", "m", "l", F.when(F.col("m") > 1, F.least(F.lit(1.0), (F.log("s") - F.col("e") / F.col("s")) / F.log("m"))).otherwise(1.0).alias("shown"))
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    leaves = once.select("host", "path", "place", "chain", "hinted", "trusted", F.explode(F.array_distinct(F.arrays_zip(F.col("contents").alias("content"), F.col("lengths").alias("length")))).alias("x"))
+    leaves = leaves.groupBy("host", "path", "place", F.col("x.content").alias("content")).agg(F.count("*").alias("k"), F.first("x.length").alias("length"), *[F.first(c).alias(c) for c in ("chain", "hinted", "trusted")])
+    leaves = cut(leaves.withColumn("salt", F.pmod(F.xxhash64("content"), F.lit(salts)).cast("int")).join(salted(shown.select("host", "path", "m")), ["host", "path", "salt"]).withColumn("own", F.when(F.col("m") > 1, 1 - (1 - 1 / F.col("m")) * F.log("k") / F.log("m")).otherwise(1.0)))
+    weight = F.col("length") * F.col("k")
+    sums = leaves.groupBy("host", "path").agg(F.first("chain").alias("chain"), F.sum(weight * F.col("own")).alias("a"), F.sum(weight).alias("b"))
+    below = sums.select("host", F.explode("chain").alias("path"), "a", "b").groupBy("host", "path").agg((F.sum("a") / F.sum("b")).alias("content"))
+    part = F.pow(F.lit(GAMMA), F.col("l"))
+    nodes_of = shown.join(below, ["host", "path"]).select("host", "path", ((1 - part) * F.col("shown") + part * F.col("content")).alias("node"))
+    above = sums.select("host", "path", F.get("chain", F.size("chain") - 2).alias("up"))
+    up = nodes_of.select("host", F.col("path").alias("up"), F.col("node").alias("over"))
+    branch = above.join(nodes_of, ["host", "path"]).join(up, ["host", "up"], "left").select("host", "path", F.least("node", F.coalesce("over", "node")).alias("branch"))
+    share = (F.col("length") + 20) / (F.col("length") + 60)
+    judged = lambda importance: F.when(F.col("trusted"), 1 - (1 - importance) * TRUSTED).otherwise(importance) * F.when(F.col("hinted"), HINTED).otherwise(1.0)
+    # What stays even in a branch of no importance needs no look at it.
+    doubtful = leaves.filter(judged(share * F.col("own")) < LEAST).select("host", "path", "place", "content", "salt", "length", "own", "hinted", "trusted")
+    weighed = doubtful.join(salted(branch), ["host", "path", "salt"])
+    return weighed.filter(judged(share * F.col("own") + (1 - share) * F.col("branch")) < LEAST).select("host", "place", "content")
 
 
 def extract_main_text(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The main text of each page: its blocks, white space made single, joined by two line feeds.
 
-    Pages are parsed twice, and only hashes of blocks are kept in between and gathered by host: counts of (host, path, content) are
-    partly summed before they are dealt, so a host with most pages is no hot spot.  Leaves of low importance go back
-    to their pages by page, not by host.  Branches that name themselves as menus, headers, footers, sidebars,
-    notices, adverts, forms, code or comments go at once: where these differ from page to page, entropy can't tell
-    them from content.  The part of a page that names itself an article, or else its main part, stands for the page.
+    Pages are parsed twice, and only hashes of blocks are kept in between and gathered by host: counts of (host, branch,
+    content) are partly summed before they are dealt, so a host with most pages is no hot spot.  Leaves of low importance
+    go back to their pages by page, not by host.  What HTML itself sets apart (nav, aside, footer, form, script and the
+    like, a header outside of articles, and their roles) goes at once.
 
-    Nulls: a null or empty page has the text "".  A page without a host takes no part in a style tree.  Repeated
-    rows give one row each; an empty table gives none; other columns are ignored.
+    Nulls: a null or empty page has the text "".  A page without a host is a site of its own.  Repeated rows give one
+    row each; an empty table gives none; other columns are ignored, whatever their names.
 
     Returns id_col, url_col, text, n_chars.
     """
     own = df.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("uid", F.xxhash64("page", "url", "html"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("uid", pa.int64()), ("host", pa.string()), ("body", pa.int64()), ("path", pa.int64()), ("n", pa.int32()), ("contents", pa.list_(pa.int64()))])
+        schema = pa.schema([("uid", pa.int64()), ("host", pa.string()), ("body", pa.int64()), ("path", pa.int64()), ("chain", pa.list_(pa.int64())), ("style", pa.int64()), ("place", pa.int64()), ("hinted", pa.bool_()), ("trusted", pa.bool_()), ("contents", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32()))])
         for batch in batches:
             out = []
             for uid, host, html in zip(*(batch.column(c).to_pylist() for c in ("uid", "host", "html")), strict=True):
-                found = [(p, xxhash.xxh64_intdigest(t) >> 1) for p, t in blocks(html)]
-                body = xxhash.xxh64_intdigest(" ".join(f"{c}" for _, c in found)) >> 1
-                by_path: dict[int, list[int]] = {}
-                for p, c in found:
-                    by_path.setdefault(p, []).append(c)
-                out += [{"uid": uid, "host": host, "body": body, "path": p, "n": len(c), "contents": c} for p, c in by_path.items()]
+                leaves, styles = parsed(html)
+                told = [xxhash.xxh64_intdigest(x.text) >> 1 for x in leaves]
+                body = xxhash.xxh64_intdigest(" ".join(map(str, told))) >> 1
+                shown = {p: xxhash.xxh64_intdigest(" ".join(map(str, sorted(s)))) >> 1 for p, s in styles.items()}
+                by_place: dict[int, dict] = {}
+                for leaf, content in zip(leaves, told, strict=True):
+                    path = leaf.chain[-1] if leaf.chain else 0
+                    row = by_place.setdefault(place_of(leaf), {"path": path, "chain": leaf.chain or (0,), "hinted": leaf.hinted, "trusted": leaf.trusted, "contents": [], "lengths": []})
+                    row["contents"].append(content)
+                    row["lengths"].append(len(leaf.text))
+                    # Inner nodes of the branch have a row too, for their style alone.
+                    for depth, node in enumerate(leaf.chain[:-1], 1):
+                        by_place.setdefault(-node, {"path": node, "chain": leaf.chain[:depth], "hinted": False, "trusted": False, "contents": [], "lengths": []})
+                out += [{"uid": uid, "host": host, "body": body, "place": place, "style": shown.get(row["path"], 0), **row} for place, row in by_place.items()]
             yield from pa.Table.from_pylist(out, schema).to_batches()
 
-    hosted = own.withColumn("host", host_of(F.col("url"))).filter("host IS NOT NULL").select("uid", "host", "html")
-    nodes = cut(hosted.mapInArrow(hashes, "uid long, host string, body long, path long, n int, contents array<long>"))
+    site = F.coalesce(host_of(F.col("url")), F.concat(F.lit(" "), F.col("uid").cast("string")))
+    found = own.select("uid", site.alias("host"), "html").mapInArrow(hashes, "uid long, host string, body long, path long, chain array<long>, style long, place long, hinted boolean, trusted boolean, contents array<long>, lengths array<int>")
+    nodes = cut(found)
     common = low_importance(nodes)
-    leaf = nodes.select("uid", "host", "path", F.explode(F.array_distinct("contents")).alias("content"))
-    gone = leaf.join(common, ["host", "path", "content"]).groupBy("uid").agg(F.collect_set(F.struct("path", "content")).alias("gone"))
+    leaf = nodes.select("uid", "host", "place", F.explode(F.array_distinct("contents")).alias("content"))
+    gone = leaf.join(common, ["host", "place", "content"]).groupBy("uid").agg(F.collect_set(F.struct("place", "content")).alias("gone"))
     # Written out so that its size is known: the join below broadcasts it under Spark's threshold and shuffles beyond.
-    kept_at = f"{shared_folder(df.sparkSession)}/style-{uuid.uuid4().hex}"
-    gone.write.parquet(kept_at)
-    gone = df.sparkSession.read.parquet(kept_at)
+    gone = scratch(gone, "style")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("path", pa.int64()), ("content", pa.int64()), ("text", pa.string())]))
+        kind = pa.list_(pa.struct([("place", pa.int64()), ("content", pa.int64()), ("text", pa.string())]))
         for batch in batches:
-            found = [[{"path": p, "content": xxhash.xxh64_intdigest(t) >> 1, "text": t} for p, t in blocks(html)] for html in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("url"), batch.column("uid"), pa.array(found, kind)], names=["page", "url", "uid", "blocks"])
+            blocks = [[{"place": place_of(x), "content": xxhash.xxh64_intdigest(x.text) >> 1, "text": x.text} for x in parsed(html)[0]] for html in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("url"), batch.column("uid"), pa.array(blocks, kind)], names=["page", "url", "uid", "blocks"])
 
     page_type = dict(own.dtypes)["page"]
-    parsed = own.mapInArrow(texts, f"page {page_type}, url string, uid long, blocks array<struct<path:long,content:long,text:string>>")
-    kept = F.expr("transform(filter(blocks, b -> gone IS NULL OR NOT array_contains(gone, struct(b.path AS path, b.content AS content))), b -> b.text)")
-    joined = parsed.join(gone, "uid", "left").select(F.col("page").alias(id_col), F.col("url").alias(url_col), F.array_join(kept, "\n\n").alias("text"))
+    told = own.mapInArrow(texts, f"page {page_type}, url string, uid long, blocks array<struct<place:long,content:long,text:string>>")
+    kept = F.expr("transform(filter(blocks, b -> gone IS NULL OR NOT array_contains(gone, struct(b.place AS place, b.content AS content))), b -> b.text)")
+    joined = told.join(gone, "uid", "left").select(F.col("page").alias(id_col), F.col("url").alias(url_col), F.array_join(kept, "\n\n").alias("text"))
     return joined.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -184,3 +184,17 @@ def test_mix_edges(spark):
     assert len(sharded(mix_sources(odd(spark)))) == len(ODD)
     assert mix_sources(odd(spark).limit(0)).count() == 0
     assert mixed_documents(odd(spark)).columns == odd(spark).columns
+
+
+def test_pii_many_spans_in_a_long_text(spark):
+    text = "x 10.0.0.1 write a@b.co " * 3000 + "é" * 3000 + " a@b.co"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = find_pii(df).first().spans
+    assert len(spans) == 6001 and all(text[x.s : x.e] == ("a@b.co" if x.kind == "email" else "10.0.0.1") for x in spans)
+    assert redact(df).first().text == text.replace("10.0.0.1", "<IP>").replace("a@b.co", "<EMAIL>")
+
+
+def test_pii_context_moves_scores(spark):
+    rows = [(1, "call +1 555 010 9999"), (2, "order +1 555 010 9999"), (3, "so +1 555 010 9999")]
+    got = {r.doc_id: r.spans[0].score for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] > got[3] > got[2]

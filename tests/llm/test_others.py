@@ -1,7 +1,11 @@
 """Neighbours, pages and the pipeline."""
 
+import html
 import math
+import random
+import re
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -10,11 +14,11 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from codestrata.llm import neighbours
 from codestrata.llm.neighbours import search
-from codestrata.llm.pages import blocks, extract_main_text
+from codestrata.llm.pages import extract_main_text
 from codestrata.llm.queries import op1_neighbours, op3_main_text
 
 from .test_native import base_spans, check_mix
-from .test_texts import plain_components, plain_fingerprint
+from .test_nearcopies import plain_least
 
 DATA = "/root/testdata/sf0.001"
 
@@ -87,20 +91,108 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <ul><li>a<li>b</ul><div class="ad">buy</div>loose <span>text</span><section id="comments"><p>first!</p></section></article><div id="sidebar">x</div><footer>end</footer></body></html>"""
 
 
-def test_page():
-    assert [t for _, t in blocks(PAGE)] == ["Head & tail", "One two three", "Four five <p> ©", "a", "b", "loose text"]
-    assert blocks(None) == blocks("") == blocks("<script>x") == []
-    assert [t for _, t in blocks("<div class='ad'>buy <article><p>kept</article>")] == ["kept"]
-    assert [t for _, t in blocks("plain &amp; <b>bold</b> text<nav>x</nav>")] == ["plain & bold text"]
-    assert len(blocks("<div>" * 20000 + "deep" + "</div>" * 20000)) == 1
+def extracted(spark, pages):
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    rows = sorted(extract_main_text(df).collect(), key=lambda r: r.page_id)
+    assert all(r.n_chars == len(r.text) for r in rows)
+    return [r.text.split("\n\n") if r.text else [] for r in rows]
+
+
+def test_page(spark):
+    pages = {
+        PAGE: ["Head & tail", "One two three", "Four five <p> ©", "a", "b", "loose text"],
+        "plain &amp; <b>bold</b> text<nav>x</nav>": ["plain & bold text"],
+        "<nav>menu <article><p>kept</article>": ["kept"],
+        "<div id=x><p>The whole story of the day, told in full</p></div><div class=cards><article>teaser</article></div>": ["The whole story of the day, told in full", "teaser"],
+        "<aside><article>related</article></aside><div class=sidebar><article>more</article></div><p>Text": ["Text"],
+        '<h1 class="header">Title</h1><section class="reply-letters">Letters</section><div class="share-price-table">12.5</div>': ["Title", "Letters", "12.5"],
+        "<div class=ad>all there is</div>": ["all there is"],
+        "<div>" * 20000 + "deep" + "</div>" * 20000: ["deep"],
+        "<script>x": [],
+        "": [],
+    }
+    assert extracted(spark, [(f"http://h{i}.example/", h) for i, h in enumerate(pages)]) == list(pages.values())
+    assert extracted(spark, [(None, None), ("http://x.example", None)]) == [[], []]
 
 
 def test_pages(spark):
+    """The fixtures' pages have one article each, read here by patterns alone."""
     rows = op3_main_text(spark, DATA).collect()
-    html = {r.page_id: r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
-    assert {r.page_id for r in rows} == set(html)
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    assert {r.page_id for r in rows} == set(pages)
     for r in rows:
-        assert r.text == "\n\n".join(t for _, t in blocks(html[r.page_id])) and r.n_chars == len(r.text) > 0
+        body = re.search(r"(?s)<article>(.*?)</article>", pages[r.page_id]).group(1).replace("<br>", " ")
+        lines = re.sub(r"<[^>]+>", "", re.sub(r"</?(?:p|h1)>", "\n", body)).split("\n")
+        assert r.text == "\n\n".join(t for line in lines if (t := " ".join(html.unescape(line).split())))
+
+
+class Tree(HTMLParser):
+    """A well-formed page as (path, text) leaves and the child lists of each path."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.stack, self.leaves, self.styles = [("", [])], [], {}
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        name = f"{self.stack[-1][0]}/{tag}.{dict(attrs).get('class', '')}"
+        self.stack[-1][1].append(tag)
+        self.stack.append((name, []))
+
+    def handle_endtag(self, tag):
+        name, children = self.stack.pop()
+        self.styles.setdefault(name, set()).add(" ".join(children))
+
+    def handle_data(self, data):
+        if data.strip():
+            self.stack[-1][1].append("#")
+            self.leaves.append((self.stack[-1][0], data.strip()))
+
+
+def plain_main(pages):
+    """What a site's style tree leaves of its pages, by the docstring of low_importance, without weakened boxes and articles."""
+    trees = [Tree(p) for p in pages]
+    m = len(trees)
+    on = Counter(x for t in trees for x in set(t.leaves))
+    own = {x: 1 - (1 - 1 / m) * math.log(k, m) for x, k in on.items()}
+
+    def node(path):
+        styles = Counter(tuple(sorted(t.styles[path])) for t in trees if path in t.styles)
+        total = sum(styles.values())
+        shown = -sum(k / total * math.log(k / total, m) for k in styles.values())
+        below = [(len(x[1]) * on[x], own[x]) for x in on if x[0] == path or x[0].startswith(path + "/")]
+        content = sum(w * v for w, v in below) / sum(w for w, _ in below)
+        return (1 - 0.9 ** len(styles)) * min(1, shown) + 0.9 ** len(styles) * content
+
+    def stays(x):
+        path, up = x[0], x[0].rpartition("/")[0]
+        branch = min(node(path), node(up) if up else 1)
+        share = (len(x[1]) + 20) / (len(x[1]) + 60)
+        return share * own[x] + (1 - share) * branch >= 0.5
+
+    return [[x[1] for x in t.leaves if stays(x)] for t in trees]
+
+
+def test_style_tree_against_a_plain_one(spark):
+    rng = random.Random(5)
+    words = lambda n: " ".join(rng.choices(["ash", "birch", "cedar", "elm", "fir", "hazel", "oak", "pine", "rowan", "yew"], k=n))
+    sites = {}
+    for host, m in (("a", 14), ("b", 5), ("c", 3), ("d", 2)):
+        menu = [words(2) + str(i) for i in range(6)]
+        pages = []
+        for i in range(m):
+            links = "".join(f"<li>{x}</li>" for x in [*menu, f"page {i}"])
+            story = "".join(f"<p>{words(rng.randrange(3, 30))} {i}</p>" for _ in range(rng.randrange(1, 6)))
+            shared = "<p>Subscribe to our letter for more of this</p>" if i % 2 else ""
+            pages.append(f"<body><div><ul>{links}</ul></div><div><h2>{words(3)} {i}</h2>{story}{shared}</div><div><p>All rights reserved {host}</p><p>{words(1)}</p></div></body>")
+        sites[host] = pages
+    found = extracted(spark, [(f"http://{h}.example/{i}", p) for h, pages in sites.items() for i, p in enumerate(pages)])
+    wanted = [x for pages in sites.values() for x in plain_main(pages)]
+    assert found == wanted
+    every = [x for pages in sites.values() for p in pages for x in Tree(p).leaves]
+    kept = sum(map(len, found))
+    assert 0.3 < kept / len(every) < 0.8  # the tree removes a good part of the leaves
+    assert all("All rights" not in x and "page" not in x for page in found[:14] for x in page)
 
 
 def test_style_tree_removes_what_a_site_repeats(spark):
@@ -125,7 +217,7 @@ def test_pipeline(spark):
     rows = known.collect()
     assert known.columns == docs.columns and {r.doc_id for r in docs.collect()} - {r.doc_id for r in rows} == {10_000, 10_001}
     single = stages["near_duplicates"](spark, known, DATA).collect()
-    least = plain_components({r.doc_id: plain_fingerprint(r.text) for r in rows})
+    least = plain_least({r.doc_id: r.text for r in rows})
     assert sorted(r.doc_id for r in single) == sorted(set(least.values()))
     df = spark.createDataFrame(single, docs.schema)
     clean = stages["personal_data"](spark, df, DATA).collect()
@@ -154,3 +246,35 @@ def _target(sizes, source):
 
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 200
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred string, spans string, _text string, _email string, mark string, root string, _size long, _source string, _mix_id string, _id string"
+
+
+def test_stages_keep_clashing_columns_and_bear_empty_tables(spark):
+    rows = [(i, f"the story of {i} and the others {w}", "en" if i % 2 else "de", "s", 9, "7.5", "mine", "a@b.co", "t", "e", "m", "r", i, "x", "y", "z") for i, w in enumerate(["one"] * 5 + ["two a@b.co"] * 5)]
+    df = spark.createDataFrame(rows, CLASHING)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), DATA).count() == 0
+        out = stage(spark, df, DATA)
+        if name != "pack":
+            assert out.columns == df.columns, name
+            told = {r.doc_id: r for r in out.collect()}
+            assert told, name
+            before = {r[0]: r for r in rows}
+            assert all(tuple(r)[5:] == before[i][5:] for i, r in told.items()), name
+
+
+def test_neighbours_of_huge_and_tiny_vectors(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.normal(size=6) * 10.0 ** e).tolist()) for i, e in enumerate([200] * 8 + [-200] * 8 + [0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in search(df, F.lit(True), k=5).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(found) == set(range(24)) and all(len(v) == 5 for v in found.values())
+    far = lambda a, b: math.hypot(*(x - y for x, y in zip(a, b, strict=True)))
+    vectors = dict(rows)
+    for q, near in found.items():
+        wanted = sorted((far(vectors[q], v), i) for i, v in vectors.items() if i != q)[:5]
+        assert [s for _, _, s in sorted(near)] == pytest.approx([d for d, _ in wanted], rel=1e-9)

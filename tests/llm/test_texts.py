@@ -281,3 +281,40 @@ def test_pack_edges(spark):
     assert sum(r.doc_id == 3 and r.start == 0 for r in rows) == 2
     assert [r.length for r in rows if r.doc_id == 1] == [1]
     assert pack(odd(spark).limit(0), TOKENIZER).count() == 0
+
+
+def test_pack_every_code_point(spark):
+    """Capitals, marks and letters in and beyond the simple range, alone and in words."""
+    points = [chr(i) for i in [*range(0x21, 0x700), *range(0x1E00, 0x2100), 0xFB01, 0x1F600] if not 0xD800 <= i < 0xE000]
+    rows = [(i, f"{c} a{c} {c}b A{c}B 1{c}") for i, c in enumerate(points)] + [(9000, "\u018fli QARABA\u011e \u018f\u014a\u0186")]
+    wanted = plain_packed(rows)
+    got = {}
+    for r in pack(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER, with_ids=True).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.ids))
+    assert {i: [x for _, ids in sorted(p) for x in ids] for i, p in got.items()} == {i: ids.tolist() for i, (_, ids) in wanted.items()}
+
+
+def test_pack_numbers_sequences_by_bucket(spark):
+    rows = sorted(op10_pack(spark, DATA).collect(), key=lambda r: r.sequence_id)
+    assert [r.sequence_id for r in rows] == list(range(len(rows)))
+    assert [r.bucket for r in rows] == sorted(r.bucket for r in rows) and all(r.length == 1 << r.bucket for r in rows)
+
+
+def test_language_of_many_labels():
+    rows = [(" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}word{j}" for j in range(8)), f"l{i}") for i in range(70)]
+    field = language.train(rows, epochs=2)
+    assert len(field.labels) == 70 and field.membership(language.words_of(rows[69][0])[:1])[0].argmax() == field.labels.index("l69")
+
+
+def test_language_learns_from_whole_rows_within_its_bound(spark):
+    rows = [(i, "wort " * 2000 + f"ende{i}", "de") for i in range(40)] + [(100 + i, f"one two {i}", "en") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taken = language.sample(df, rows_per_label=10, chars_per_label=50_000)
+    assert 3 <= sum(lang == "de" for _, lang in taken) <= 5 and sum(lang == "en" for _, lang in taken) == 10
+    assert all("ende" in t for t, lang in taken if lang == "de")
+
+
+def test_one_of_each_is_the_same_for_rows_that_share_an_id(spark):
+    rows = [(1, "a b c d"), (1, "e f g h"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in one_of_each(df).collect()) == [(1, "a b c d"), (1, "e f g h")]
