@@ -131,11 +131,12 @@ def forward_backward(scores: np.ndarray, first: np.ndarray, moves: np.ndarray, s
     return both / both.sum(axis=1, keepdims=True), forward, backward
 
 
-def train(rows: Sequence[tuple[str, str]], *, epochs: int = 4, lexicon_words: int = 2000, sequence: int = 100, batch: int = 64, rate: float = 0.2, seed: int = 7) -> Field:
+def train(rows: Sequence[tuple[str, str]], *, epochs: int = 4, words_per_row: int = 300, lexicon_words: int = 2000, sequence: int = 100, batch: int = 64, rate: float = 0.2, seed: int = 7) -> Field:
     """Fit a field to (text, label) rows by AdaGrad on the log-likelihood.
 
     Stretches of 3 to 40 words of differently labelled texts are put in a row at random, so transitions are learned
-    from code-switched sequences.
+    from code-switched sequences.  The lexicon is counted over whole rows; of a row with more than ``words_per_row``
+    words, stretches from all over it are drawn at random until they have that many.
     """
     rows = [(words_of(t), label) for t, label in sorted(rows)]
     labels = sorted({label for w, label in rows if w})
@@ -159,11 +160,20 @@ def train(rows: Sequence[tuple[str, str]], *, epochs: int = 4, lexicon_words: in
     stretches = []
     for words, label in rows:
         codes = [vocabulary.setdefault(w, len(vocabulary)) for w in words]
-        at = 0
+        cuts, at = [], 0
         while at < len(codes):
             size = int(rng.integers(3, 41))
-            stretches.append((labels.index(label), codes[at : at + size]))
+            cuts.append((at, size))
             at += size
+        if len(codes) > words_per_row:
+            left, some = words_per_row, []
+            for i in rng.permutation(len(cuts)):
+                if left <= 0:
+                    break
+                some.append(cuts[i])
+                left -= cuts[i][1]
+            cuts = some
+        stretches += [(labels.index(label), codes[at : at + size]) for at, size in cuts]
     known = list(vocabulary)
     slots, owners = features(known)
     by_word = np.searchsorted(owners[np.argsort(owners, kind="stable")], np.arange(len(known) + 1))
@@ -209,7 +219,7 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def sample(df: DataFrame, *, rows_per_label: int = 400, chars_per_label: int = 1_600_000) -> list[tuple[str, str]]:
+def sample(df: DataFrame, *, rows_per_label: int = 400, chars_per_label: int = 2_000_000) -> list[tuple[str, str]]:
     """At most ``rows_per_label`` (text, lang) rows of each label, the first in order of a hash of id and text, whole texts.
 
     Only rows that aren't held out.  Both parameters are the sample's bound: rows are taken as long as their characters
