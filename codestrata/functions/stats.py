@@ -26,16 +26,18 @@ def kappa(observed: Column, expected: Column) -> Column:
 
 
 def sign_test(wins: Column, losses: Column) -> Column:
-    """Exact two-sided binomial p value of unequal pairs: the tail up to the smaller side, doubled."""
-    n = wins + losses
-    start = F.struct(F.lit(1.0).alias("c"), F.lit(0.0).alias("s"))
-    tail = F.aggregate(
-        F.sequence(F.lit(0), F.least(wins, losses).cast("int")),
-        start,
-        lambda a, i: F.struct((a["c"] * (n - i) / (i + 1)).alias("c"), (a["s"] + a["c"]).alias("s")),
-        lambda a: a["s"],
-    )
-    return F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), n))
+    """Exact two-sided binomial p value of unequal pairs: the tail up to the smaller side, doubled.
+
+    The tail's last and largest term is taken by logarithms, the others as shares of it, so nothing overflows however
+    many pairs there are; a p value below the least double is 0.
+    """
+    n, k = wins + losses, F.least(wins, losses)
+    steps = F.when(k > 0, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>"))
+    largest = F.aggregate(steps, F.lit(0.0), lambda a, i: a + F.log((n - k + i) / i)) - n * F.log(F.lit(2.0))
+    start = F.struct(F.lit(1.0).alias("c"), F.lit(1.0).alias("s"))
+    # From the term of k down to that of 0.
+    shares = F.aggregate(steps, start, lambda a, i: F.struct((a["c"] * (k - i + 1) / (n - k + i)).alias("c"), (a["s"] + a["c"] * (k - i + 1) / (n - k + i)).alias("s")), lambda a: a["s"])
+    return F.least(F.lit(1.0), 2 * F.exp(largest) * shares)
 
 
 def frechet(p: Column, a: Column) -> tuple[Column, Column]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +13,11 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 SPACES = r"(?U)\s+"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def lines(text: Column) -> Column:
     """Lines without their ends; a final line end starts no further line, and an empty text has none."""
     parts = F.split(F.coalesce(text, F.lit("")), LINE_END)
@@ -52,13 +60,22 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(plain(text), F.lit(r"([\p{L}\p{N}\p{Co}]+)"), F.lit(1))
 
 
-#: The Latin letters with diacritics that are folded, and what they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
+def _folded() -> dict[str, str]:
+    """Small letters of the Latin, Greek and Cyrillic blocks that are another letter with marks, and that letter."""
+    out = {}
+    for i in [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]:
+        base = unicodedata.normalize("NFD", chr(i))
+        if len(base) > 1 and unicodedata.category(base[0]) == "Ll" and all(unicodedata.combining(c) for c in base[1:]):
+            out[chr(i)] = base[0]
+    return out
+
+
+FOLDED = _folded()
 
 
 def plain(text: Column) -> Column:
-    return F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, FOLDED)
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\p{Mn}+", "")
+    return F.translate(bare, "".join(FOLDED), "".join(FOLDED.values()))
 
 
 def without_code(text: Column) -> Column:

@@ -2,28 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def set_partitions(labels: Sequence[str], sizes: Sequence[int]) -> Iterator[list[list[str]]]:
-    """All partitions of labels into as many blocks as one of ``sizes`` says, each block and the list in label order."""
+def set_partitions(labels: Sequence[str], sizes: Sequence[int]) -> list[list[list[str]]]:
+    """All partitions of labels into as many blocks as one of ``sizes`` says, each block and the list in label order.
 
-    def grow(i: int, blocks: list[list[str]]) -> Iterator[list[list[str]]]:
-        if i == len(labels):
-            if len(blocks) in sizes:
-                yield [list(b) for b in blocks]
-            return
-        for b in blocks:
-            b.append(labels[i])
-            yield from grow(i + 1, blocks)
-            b.pop()
-        if len(blocks) < max(sizes):
-            yield from grow(i + 1, [*blocks, [labels[i]]])
-
-    yield from grow(0, [])
+    A partition is a row of block numbers in which a new number is one more than the greatest before it.
+    """
+    codes = np.zeros((1, min(len(labels), 1)), np.int64)
+    for _ in labels[1:]:
+        greatest = codes.max(axis=1)
+        codes = np.concatenate([np.column_stack([codes[greatest >= b - 1], np.full((greatest >= b - 1).sum(), b)]) for b in range(max(sizes))])
+    wanted = codes[np.isin(codes.max(axis=1, initial=-1) + 1, list(sizes))]
+    return [[[x for x, c in zip(labels, row, strict=True) if c == b] for b in range(row.max() + 1)] for row in wanted]
 
 
 def partition_accuracy(pairs: DataFrame, labels: Sequence[str], sizes: Sequence[int], truth: str, guess: str) -> DataFrame:
@@ -33,7 +29,7 @@ def partition_accuracy(pairs: DataFrame, labels: Sequence[str], sizes: Sequence[
     """
     spark = pairs.sparkSession
     counts = pairs.groupBy(F.col(truth).alias("t"), F.col(guess).alias("g")).agg(F.count("*").alias("n"))
-    every = list(set_partitions(labels, sizes))
+    every = set_partitions(labels, sizes)
     rows = [(i, len(p), "|".join("+".join(b) for b in p), {x: k for k, b in enumerate(p) for x in b}) for i, p in enumerate(every)]
     parts = spark.createDataFrame(rows, "i int, blocks int, partition string, block map<string,int>")
     # The number of partitions depends on the label list alone.

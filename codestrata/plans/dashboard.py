@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.stats import frechet, ratio, sign_test
 from codestrata.operators.aggregates import agreement, class_scores, dense_counts, duplicates, fleiss_kappa, grouping_counts, latest, majority, rate_with_bounds
+from codestrata.operators.ranking import ranked
 from codestrata.plans.registry import query
 from codestrata.sources.adapters import CASES, DELETIONS, GRADES, KINDS, RATERS, REASONS, RUNS, SOURCES, STATUSES, cases, deletions, raters, runs, table
 
@@ -205,12 +206,13 @@ _GRID_SQL = """, grid AS (SELECT * FROM (VALUES ('all'), ('no_unknown'), ('expli
 @query(_GRID_SQL, (DELETIONS, CASES))
 def agg_configuration_grid(spark, d):
     """Accuracy over subset and top share: each case goes to its subsets, is ranked there once, and counts for each share."""
-    from pyspark.sql import Window as W
-
     own = cases(spark, d)
     subsets = {"all": F.lit(True), "no_unknown": F.col("truth") != "UNK", "explicit": F.col("grade") == "EXPLICIT", "explicit_inferred": F.col("grade").isin(GRADES[:2])}
     each = own.select("doc_id", "confidence", (F.col("truth") == F.col("guess")).alias("hit"), F.explode(F.array_compact(F.array(*[F.when(c, F.lit(s)) for s, c in subsets.items()]))).alias("subset"))
-    placed = each.withColumn("place", F.row_number().over(W.partitionBy("subset").orderBy(F.desc("confidence"), "doc_id"))).withColumn("n", F.count("*").over(W.partitionBy("subset")))
+    placed = ranked(each, "subset", F.desc("confidence"), "doc_id")
+    # Four rows: where a subset begins, and its size.
+    sizes = placed.groupBy("subset").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    placed = placed.join(F.broadcast(sizes), "subset").withColumn("place", F.col("place") - F.col("first") + 1)
     tops = F.explode(F.filter(F.array(*[F.lit(t) for t in (10, 20, 50, 80, 100)]), lambda t: F.col("place") <= F.ceil(F.col("n") * t / 100)))
     return placed.select("subset", "hit", tops.alias("top")).groupBy("subset", "top").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codestrata.operators.history import candidate_score, commit_pairs, exclusion, parse_log, scale_score, size_bounded_shards
+from codestrata.operators.joins import with_next
 from codestrata.operators.mining import token_similarity
 from codestrata.operators.search import hashed_embeddings, normalised
 from codestrata.plans.registry import query
@@ -64,15 +65,15 @@ def str_urls(spark, d):
 
 @query()
 def export_size_shards(spark, d):
-    own = deletions(spark, d).select("repo", "doc_id", "n_chars")
-    return size_bounded_shards(own, "repo", "doc_id", F.col("n_chars"), 20_000)
+    rows = deletions(spark, d)
+    own = rows.select("repo", "doc_id", F.octet_length(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})).alias("n_bytes"))
+    return size_bounded_shards(own, "repo", "doc_id", F.col("n_bytes"), 1_000_000)
 
 
 @query()
 def rpl_token_similarity(spark, d):
     """Each document against the next one: likeness of their words in order."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    both = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("added")), "doc_id")
+    both = with_next(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", "added").filter("added IS NOT NULL")
     return both.select("doc_id", F.round(token_similarity(F.col("text"), F.col("added")), 6).alias("similarity"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.ids import shard_name, shard_of
 from codestrata.functions.text import first_line, line_count, neutral_cell, raw_lines, reappearing
-from codestrata.operators.joins import attach, first_rule, first_source, overlapping
+from codestrata.operators.joins import attach, first_rule, first_source, overlapping, with_next
 from codestrata.plans.registry import query
 from codestrata.sources.adapters import DELETIONS, PATHS, deletions, paths, table
 
@@ -137,15 +137,13 @@ def flt_generated(spark, d):
 
 
 @query(
-    """, x AS (SELECT doc_id, text, lead(text, 1, '') OVER (ORDER BY doc_id) AS added FROM documents WHERE doc_id < 1000000), y AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> '') AS lines,
+    """, x AS (SELECT a.doc_id, a.text, coalesce(b.text, '') AS added FROM documents a LEFT JOIN documents b ON a.doc_id + 1 = b.doc_id), y AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> '') AS lines,
     regexp_replace(replace(regexp_replace(added, '\\s+', '', 'g'), '''', '"'), ',([)\\]}])', '\\1', 'g') AS hay FROM x)
     SELECT doc_id, len(lines) AS n_lines, len(list_filter(lines, lambda l: contains(hay, regexp_replace(regexp_replace(replace(regexp_replace(l, '\\s+', '', 'g'), '''', '"'), ',([)\\]}])', '\\1', 'g'), ',$', '')))) AS reappeared FROM y""".replace(", x AS", "WITH x AS", 1)
 )
 def flt_reappearing_lines(spark, d):
     """Deleted lines that occur in added text, here the next document's: ids are dense, so the next one is met by id."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    added = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("added"))
-    both = docs.join(added, "doc_id", "left")
+    both = with_next(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", "added")
     return both.select("doc_id", F.size(raw_lines(F.col("text"))).alias("n_lines"), reappearing(F.col("text"), F.col("added")).alias("reappeared"))
 
 

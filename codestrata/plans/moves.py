@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codestrata.operators.mining import attributed_deletions, body_lines, extract_functions, move_matches, normalise_body, parse_diff
+from codestrata.operators.mining import added_ranges, added_text, attributed_deletions, body_lines, extract_functions, find_moved, match_replacement, move_matches, normalise_body, parse_diff, parse_hunks, partition_moved, same_path_hunks, without_moved
 from codestrata.plans.registry import query
 from codestrata.sources.adapters import table
 
@@ -60,3 +60,99 @@ def mov_greedy(spark, d):
     """One-to-one moves between even (deleted) and odd (added) documents of a commit, which is a language."""
     docs = table(spark, d, "documents").select(F.coalesce("lang", F.lit("")).alias("commit"), F.col("doc_id").alias("id"), body_lines(F.col("text")).alias("lines"))
     return move_matches(docs.filter("id % 2 = 0"), docs.filter("id % 2 = 1"))
+
+
+_Q = "p_partkey % 4"
+
+
+def _two_files(spark, d):
+    """A diff of two files for each part: one changed in two hunks, one renamed, added or deleted, with a quoted path."""
+    p = table(spark, d, "part")
+    n = F.col("p_partkey").cast("string")
+    kind = F.col("p_partkey") % 4
+    second = (
+        F.when(kind == 0, '--- a/old.py\n+++ "b/n\\303\\251w.py"\n')
+        .when(kind == 1, "--- /dev/null\n+++ b/made.py\n")
+        .when(kind == 2, "--- a/gone.py\n+++ /dev/null\n")
+        .otherwise("--- a/x.py\n+++ b/x.py\n")
+    )
+    body = F.when(kind == 1, "@@ -0,0 +1,2 @@\n+a\n+b\n").when(kind == 2, "@@ -1,2 +0,0 @@\n-a\n-b\n").otherwise("@@ -2 +2 @@ def f():\n-a\n+--- b\n")
+    first = F.concat(F.lit("diff --git a/m.py b/m.py\n--- a/m.py\n+++ b/m.py\n@@ -"), n, F.lit(",2 +"), n, F.lit(",1 @@\n-x\n-y\n+z\n@@ -500,1 +499,2 @@\n k\n+"), n, F.lit("\n"))
+    return p.select("p_partkey", parse_hunks(F.concat(first, F.lit("diff --git a/s b/s\n"), second, body)).alias("hunks"))
+
+
+_TWO = f"""parts AS (SELECT p_partkey, unnest([p_partkey, 499, CASE {_Q} WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE 2 END]) AS low, unnest([1, 2, CASE {_Q} WHEN 1 THEN 2 WHEN 2 THEN 0 ELSE 1 END]) AS n,
+  unnest(['m.py', 'm.py', CASE {_Q} WHEN 0 THEN 'néw.py' WHEN 1 THEN 'made.py' WHEN 2 THEN NULL ELSE 'x.py' END]) AS path, unnest([true, true, {_Q} = 3]) AS same, unnest(['z', p_partkey::VARCHAR, CASE {_Q} WHEN 1 THEN 'a' || chr(10) || 'b' WHEN 2 THEN '' ELSE '--- b' END]) AS added FROM part)"""
+
+
+@query(f"WITH {_TWO} SELECT p_partkey, path, low::INT AS low, (low + n - 1)::INT AS high FROM parts WHERE n > 0 AND path IS NOT NULL")
+def mine_added_ranges(spark, d):
+    """Lines that are added, by new path; quoted paths are read."""
+    return _two_files(spark, d).select("p_partkey", F.explode(added_ranges(F.col("hunks"))).alias("r")).select("p_partkey", "r.path", "r.low", "r.high")
+
+
+@query(f"WITH {_TWO} SELECT p_partkey, path, low::INT AS new_start, added AS added_body FROM parts WHERE same")
+def mine_same_path_hunks(spark, d):
+    """Hunks of files that keep their path; what looks like a header inside a hunk is content."""
+    found = _two_files(spark, d).select("p_partkey", F.explode(same_path_hunks(F.col("hunks"))).alias("h"))
+    return found.select("p_partkey", F.col("h.new_path").alias("path"), "h.new_start", "h.added_body")
+
+
+_CASES = 7
+
+
+def _replaced(spark, d):
+    """Deleted functions with hunks of every kind: not read, empty, at the place, elsewhere, cut short, two of a name, whole in the new file."""
+    i, n = F.col("p_partkey") % _CASES, F.col("p_partkey").cast("string")
+    whole = F.concat(F.lit("def f(a):\n    return a + "), n, F.lit("\n"))
+    hunk = lambda start, count, new, body: F.struct(F.lit(start).alias("old_start"), F.lit(count).alias("old_count"), F.lit(new).alias("new_start"), body.alias("added_body"))
+    ended = F.concat(whole, F.lit("x = 1"))
+    kind = "array<struct<old_start:int,old_count:int,new_start:int,added_body:string>>"
+    hunks = (
+        F.when(i == 0, F.lit(None).cast(kind)).when(i == 1, F.array(hunk(10, 2, 10, F.lit("  ")))).when(i == 2, F.array(hunk(10, 2, 10, ended), hunk(900, 1, 900, ended)))
+        .when(i == 3, F.array(hunk(900, 1, 900, ended))).when(i == 4, F.array(hunk(11, 1, 11, whole))).when(i == 5, F.array(hunk(300, 1, 300, F.lit("def f(z):\n    pass\ny = 2")), hunk(400, 1, 400, ended)))
+        .otherwise(F.array(hunk(12, 0, 2, F.lit("def f(a):\n    b = 1"))))
+    )
+    child = F.when(i == 6, F.concat(F.lit("import os\ndef f(a):\n    b = 1\n    return b + "), n))
+    return table(spark, d, "part").select("p_partkey", F.struct(F.lit("f").alias("name"), F.concat(F.lit("def f(a):\n    return a * "), n).alias("deleted"), F.lit(10).alias("start_line"), F.lit(11).alias("end_line"), hunks.alias("hunks"), child.alias("child")).alias("record"))
+
+
+_M = f"p_partkey % {_CASES}"
+
+
+@query(
+    f"""SELECT p_partkey, CASE {_M} WHEN 2 THEN w WHEN 3 THEN w WHEN 5 THEN w WHEN 6 THEN 'def f(a):' || chr(10) || '    b = 1' || chr(10) || '    return b + ' || p_partkey END AS code, CASE {_M} WHEN 0 THEN NULL WHEN 1 THEN 'NONE' ELSE 'SAME_LOCATION' END AS match_method,
+    CASE WHEN {_M} IN (0, 1) THEN 0.0 WHEN {_M} IN (2, 4, 6) THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM (SELECT *, 'def f(a):' || chr(10) || '    return a + ' || p_partkey AS w FROM part)"""
+)
+def rpl_matches(spark, d):
+    """What took a deleted function's place, from hunks at it, hunks elsewhere, pieces that end too early, and the new file."""
+    return _replaced(spark, d).select("p_partkey", match_replacement(F.col("record")).alias("r")).select("p_partkey", "r.*")
+
+
+@query(f"SELECT p_partkey, CASE {_M} WHEN 0 THEN 'flat' WHEN 1 THEN '  ' WHEN 6 THEN 'def f(a):' || chr(10) || '    b = 1' END AS added FROM part WHERE {_M} IN (0, 1, 6)")
+def rpl_added_text(spark, d):
+    """Added lines of all hunks, or the flat field of older rows."""
+    own = _replaced(spark, d).filter(f"{_M} IN (0, 1, 6)")
+    return own.select("p_partkey", added_text(F.col("record.hunks"), F.lit("flat")).alias("added"))
+
+
+def _moves(spark, d):
+    docs = table(spark, d, "documents").select(F.coalesce("lang", F.lit("")).alias("commit"), F.col("doc_id").alias("id"), body_lines(F.col("text")).alias("lines"))
+    deleted, added = docs.filter("id % 2 = 0"), docs.filter("id % 2 = 1")
+    return deleted, move_matches(deleted, added)
+
+
+@query()
+def mov_partition(spark, d):
+    """Deleted documents as kept or moved, with where they went."""
+    deleted, matches = _moves(spark, d)
+    found = partition_moved(deleted.select("commit", "id"), matches)
+    return found.select("commit", "id", "filter_status", "filter_evidence.destination", F.round("filter_evidence.similarity", 6).alias("similarity"))
+
+
+@query()
+def mov_sides(spark, d):
+    """How many deleted documents moved and how many stay, by commit."""
+    deleted, matches = _moves(spark, d)
+    moved, kept = find_moved(deleted.select("commit", "id"), matches), without_moved(deleted.select("commit", "id"), matches)
+    return moved.select("commit", F.lit(1).alias("m")).union(kept.select("commit", F.lit(0))).groupBy("commit").agg(F.sum("m").alias("moved"), F.sum(1 - F.col("m")).alias("kept"))

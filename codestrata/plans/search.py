@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codestrata.operators.search import bm25, dot, normalised, postings, snippet, vector_topk
+from codestrata.operators.search import dot, normalised, snippet, vector_topk
+from codestrata.plans.index import body_index
 from codestrata.plans.registry import query
 from codestrata.sources.adapters import DELETIONS, deletions, table
 
@@ -19,28 +20,32 @@ def _bm25_sql(counts: str) -> str:
     SELECT id, round(-(idf * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM f, w WHERE f0 > 0"""
 
 
+_BODY_WEIGHTS = (10.0, 2.0)
+
+
 def _scored(frame):
-    return frame.select("id", F.round("score", 6).alias("score"))
+    return frame.select(F.col("doc").cast("string").alias("id"), F.round("score", 6).alias("score"))
 
 
 @query(_bm25_sql("10 * len(list_filter(r, lambda x: x = 'worthless'))::DOUBLE + 2 * len(list_filter(b, lambda x: x = 'worthless'))::DOUBLE AS f0"), (DELETIONS,))
 def search_bm25(spark, d):
-    return _scored(bm25(deletions(spark, d), "id", "worthless"))
+    return _scored(body_index(spark, d).scores("worthless", _BODY_WEIGHTS))
 
 
 @query(_bm25_sql("10 * len(list_filter(r, lambda x: starts_with(x, 'wor')))::DOUBLE + 2 * len(list_filter(b, lambda x: starts_with(x, 'wor')))::DOUBLE AS f0"), (DELETIONS,))
 def search_prefix(spark, d):
-    return _scored(bm25(deletions(spark, d), "id", "wor*"))
+    return _scored(body_index(spark, d).scores("wor*", _BODY_WEIGHTS))
 
 
 @query(_bm25_sql("2 * len(list_filter(range(1, len(b)), lambda i: b[i] = 'general' AND b[i + 1] = 'public'))::DOUBLE AS f0"), (DELETIONS,))
 def search_phrase(spark, d):
-    return _scored(bm25(deletions(spark, d), "id", "General_Public"))
+    return _scored(body_index(spark, d).scores("General_Public", _BODY_WEIGHTS))
 
 
 @query("SELECT token, count(*) AS places, count(DISTINCT id) AS docs FROM (SELECT id, unnest(b) AS token FROM ix) GROUP BY 1 HAVING count(DISTINCT id) >= 20".replace("SELECT token", _INDEX + " SELECT token", 1), (DELETIONS,))
 def search_posting_counts(spark, d):
-    return postings(deletions(spark, d), "id", "body").groupBy("token").agg(F.count("*").alias("places"), F.countDistinct("id").alias("docs")).filter("docs >= 20")
+    own = body_index(spark, d).postings.filter("column = 1").groupBy("token", "doc").agg(F.count("*").alias("n"))
+    return own.groupBy("token").agg(F.sum("n").alias("places"), F.count("*").alias("docs")).filter("docs >= 20")
 
 
 @query("SELECT id, repo, author_year FROM deletions WHERE repo = 'src3' AND author_year BETWEEN 2012 AND 2018 AND deletion_kind = 'PARTIAL' ORDER BY doc_id LIMIT 20", (DELETIONS,))
@@ -101,6 +106,5 @@ def agg_p_at_k(spark, d):
 @query()
 def search_snippet(spark, d):
     """Snippets of one page of results only."""
-    own = deletions(spark, d)
-    shown = bm25(own, "id", "worthless").orderBy("score", "id").limit(20)
-    return shown.join(own.select("id", "body"), "id").select("id", snippet(F.col("body"), "worthless").alias("snippet"))
+    shown = body_index(spark, d).page("worthless", 20, weights=_BODY_WEIGHTS)
+    return shown.join(deletions(spark, d).select(F.col("doc_id").alias("doc"), "id", "body"), "doc").select("id", snippet(F.col("body"), "worthless").alias("snippet"))

@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from codestrata.plans.registry import query
 from codestrata.sources.adapters import DELETIONS, deletions, table
-from codestrata.sources.files import export_dataset, verify_export
+from codestrata.sources.files import export_dataset, verify_export, work_folder
 from codestrata.streaming.events import windowed_counts
 
 
-def _folder(spark) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="export-")
-
-
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")
 def star_pricing(spark, d):
     own = table(spark, d, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
@@ -42,12 +37,12 @@ def star_brand_quantity(spark, d):
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windowed_counts(spark, d):
-    return windowed_counts(spark, f"{d}/events.parquet", f"{_folder(spark)}/stream-{uuid.uuid4().hex}")
+    return windowed_counts(spark, f"{d}/events.parquet", f"{work_folder(spark)}/stream-{uuid.uuid4().hex}")
 
 
 @query("SELECT repo, count(*) AS n, true AS same FROM deletions GROUP BY 1", (DELETIONS,))
 def export_verify(spark, d):
     """Write the dataset as Parquet and JSON lines, read both back and compare."""
-    folder = f"{_folder(spark)}/export-{uuid.uuid4().hex}"
+    folder = f"{work_folder(spark)}/export-{uuid.uuid4().hex}"
     export_dataset(deletions(spark, d), folder)
     return verify_export(spark, folder)

@@ -23,14 +23,14 @@ def cls_keyword_evidence(spark, d):
 
 
 @query(
-    """SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(regexp_replace(x, '^[\\s>*#-]+', ''))), lambda x: length(x) >= 8) AS sentences
-    FROM documents WHERE NOT contains(text, '```') AND NOT contains(text, '<!--')"""
+    """SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', ' ', 'g'), '(?s)```.*?```', ' ', 'g'), '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(regexp_replace(x, '^[\\s>*#-]+', ''))), lambda x: length(x) >= 8) AS sentences
+    FROM documents"""
 )
 def cls_sentences(spark, d):
     return table(spark, d, "documents").select("doc_id", sentences(F.col("text")).alias("sentences"))
 
 
-@query("SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '#([0-9]{1,9})', 1), lambda x: x::INT))) AS issues FROM documents WHERE NOT contains(text, '`')")
+@query("SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(regexp_replace(regexp_replace(text, '(?s)```.*?```', ' ', 'g'), '`[^`\\n]*`', ' ', 'g'), '#([0-9]{1,9})', 1), lambda x: x::INT))) AS issues FROM documents")
 def issue_refs(spark, d):
     return table(spark, d, "documents").select("doc_id", issue_numbers(F.col("text")).alias("issues"))
 

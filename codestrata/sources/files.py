@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def work_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which driver and executors share.
+
+    Only a session whose executors are threads of the driver may do without: it gets a temporary folder.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="work-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whichever file system holds it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, *, strict: bool = False, glob: str | None = None) -> DataFrame:
     """JSON lines, gzipped or not; only a line feed ends a record.  ``strict`` fails on a broken line."""
     reader = spark.read.schema(schema).option("lineSep", "\n").option("mode", "FAILFAST" if strict else "PERMISSIVE")

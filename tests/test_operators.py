@@ -209,8 +209,10 @@ def test_log_and_shards(spark):
     entries = spark.createDataFrame([(raw,)], "raw string").select(F.explode(parse_log(F.col("raw"))).alias("x")).select("x.*")
     assert [(r.sha, r.parents, r.message) for r in entries.orderBy("position").collect()][:2] == [("a", ["r"], "one\x1ftwo"), ("b", ["a", "r"], "merge")]
     assert [(r.sha, r.parent) for r in commit_pairs(entries).collect()] == [("a", "r")]
-    df = spark.createDataFrame([("k", i, n) for i, n in enumerate([4, 4, 4, 20, 1])], "k string, i int, n int")
+    df = spark.createDataFrame([("k", i, n) for i, n in enumerate([4, 4, 4, 8, 1])], "k string, i int, n int")
     assert [r.shard for r in size_bounded_shards(df, "k", "i", F.col("n"), 8).orderBy("i").collect()] == [0, 0, 1, 2, 3]
+    with pytest.raises(Exception, match="larger than a shard may be"):
+        size_bounded_shards(df, "k", "i", F.col("n"), 7).collect()
 
 
 def test_token_similarity_of_all_neighbours(spark):
