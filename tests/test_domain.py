@@ -255,3 +255,36 @@ def test_errors_of_exports(spark):
     with pytest.raises(Exception, match="broken"):
         exporting.publish({"x": df.limit(1), "y": df.select(F.raise_error(F.lit("broken")).alias("z"))}, root)
     assert exporting.published(spark, root, "x").count() == 2
+
+
+def test_git_repositories(spark, tmp_path):
+    import subprocess
+
+    from codestrata.sources.git import deleted_functions, git_file, walk
+
+    def git(*words):
+        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=me", "-c", "user.email=me@example.com", *words], check=True, capture_output=True)
+
+    def commit(message, **files):
+        for name, text in files.items():
+            (tmp_path / f"{name}.py").write_text(text)
+        git("add", "-A")
+        git("commit", "-q", "-m", message)
+
+    git("init", "-q", "-b", "main")
+    commit("one", a="def f():\n    return 1\n\n\ndef g(x):\n    y = x\n    z = y\n    return z\n")
+    commit("two\x1f and more", a="def g(x):\n    y = x\n    return y\n", b="k = 1\n")
+    git("checkout", "-q", "-b", "side")
+    commit("three", b="k = 2\n")
+    git("checkout", "-q", "main")
+    git("merge", "-q", "--no-ff", "-m", "four", "side")
+    repositories = spark.createDataFrame([("me/it", str(tmp_path), "main")], "repo string, path string, ref string")
+    pairs = walk(repositories).orderBy("position").collect()
+    assert len(pairs) == 2 and pairs[0].sha == pairs[1].parent  # neither the root nor the merge
+    found = sorted((r.path, r.name, r.deletion_kind, r.deleted_body) for r in deleted_functions(repositories).collect())
+    assert found == [("a.py", "f", "FULL_FUNCTION", "def f():\n    return 1"), ("a.py", "g", "PARTIAL", "    z = y\n    return z")]
+    assert walk(repositories, since=1 << 40).count() == 0
+    read = spark.createDataFrame([("b.py",), ("none.py",)], "n string").select(git_file(F.lit(str(tmp_path)), F.lit("main"), F.col("n")).alias("t")).collect()
+    assert [r.t for r in read] == ["k = 2\n", None]
+    with pytest.raises(Exception, match="git log failed"):
+        walk(repositories.withColumn("ref", F.lit("nowhere"))).collect()
