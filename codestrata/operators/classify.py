@@ -7,31 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Own keyword rules; the first label with a match wins, so their order counts.
-KEYWORDS = (
-    ("SEC", "(secur|vulnerab|cve|xss|inject)"),
-    ("LIB", "(librar|dependenc|upstream|third.party)"),
-    ("DEAD", "(unused|dead code|obsolete|no longer)"),
-    ("FEAT", "(feature|support for|drop)"),
-    ("BUG", "(bug|fix|crash|wrong|the)"),
-    ("PERF", "(slow|faster|perform|optimi)"),
-    ("DESIGN", "(refactor|clean.?up|simplif|der)"),
-)
-
-
-def keyword_label(text: Column) -> Column:
-    out = None
-    for label, pattern in KEYWORDS:
-        hit = F.lower(text).rlike(pattern)
-        out = F.when(hit, label) if out is None else out.when(hit, label)
-    return out.otherwise("UNK")
-
-
-def evidence(text: Column, label: str) -> Column:
-    """The first match of a label's rule, or an empty text."""
-    return F.coalesce(F.regexp_extract(F.lower(text), dict(KEYWORDS)[label], 1), F.lit(""))
-
-
 def decide(scores: Column) -> Column:
     """The best of (score, place, label) entries; UNK if none is positive."""
     best = F.array_max(scores)

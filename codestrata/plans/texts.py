@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codestrata.functions.text import issue_numbers, sentences
-from codestrata.operators.classify import KEYWORDS, decide, evidence, grade, keyword_label, weaker_grade
+from codestrata.operators.classify import decide, grade, weaker_grade
+from codestrata.operators.rules import REASON_RULES, reason_keywords, reason_of
 from codestrata.plans.registry import query
 from codestrata.sources.adapters import CASES, DELETIONS, GRADES, RATERS, REASONS, cases, deletions, raters, table
 
-_LABEL_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{k}'" for k, p in KEYWORDS) + " ELSE 'UNK' END"
+_LABEL_SQL = "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){'|'.join(p)}') THEN '{k}'" for k, p in REASON_RULES.items()) + " ELSE 'UNK' END"
 
 
 @query(f"SELECT conv_id, turn, {_LABEL_SQL} AS label FROM conversations")
 def cls_keyword(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", keyword_label(F.col("text")).alias("label"))
+    """The baseline over prose: the first label with a rule that a text meets."""
+    return table(spark, d, "conversations").select("conv_id", "turn", reason_of(F.col("text")).alias("label"))
 
 
-@query("SELECT conv_id, turn, " + ", ".join(f"regexp_extract(lower(text), '{p}', 1) AS {k.lower()}" for k, p in KEYWORDS) + " FROM conversations")
+@query(
+    "SELECT conv_id, turn, " + ", ".join(f"list_filter([{', '.join(f"regexp_extract(text, '(?i){p}')" for p in ps)}], lambda x: x <> '') AS {k.lower()}" for k, ps in REASON_RULES.items()) + " FROM conversations"
+)
 def cls_keyword_evidence(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", *[evidence(F.col("text"), k).alias(k.lower()) for k, _ in KEYWORDS])
+    """The first match of each rule, by label."""
+    return table(spark, d, "conversations").select("conv_id", "turn", *[reason_keywords(F.col("text"), F.lit(k)).alias(k.lower()) for k in REASON_RULES])
 
 
 @query(
