@@ -16,6 +16,8 @@ from codestrata.llm.common import pieces
 
 #: Samples in a fingerprint and hexadecimal digits for each.
 SAMPLES, DIGITS = 64, 4
+#: Ranges by rows that are looked at for each range by bytes.
+FINE = 8
 #: Characters of text worked on at once: bounds a worker's memory.
 AT_ONCE = 2_000_000
 
@@ -85,6 +87,23 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def joined_limits(limits: list[int], sizes: list[int], n: int) -> list[int]:
+    """Of the limits between ranges of some sizes, those that cut them into at most n ranges of about equal size."""
+    share, held, out = max(1.0, sum(sizes) / n), 0.0, []
+    for limit, size in zip(limits, sizes, strict=False):
+        held += size
+        if held >= share * (len(out) + 1) and len(out) < n - 1:
+            out.append(limit)
+    return out
+
+
+def own_partitions(spark, n: int) -> list[int]:
+    """For each of n hash partitions a number that falls into it."""
+    numbers = spark.range(0, 40 * n + 400, 1, 1).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p"))
+    found = {r.p: r.id for r in numbers.groupBy("p").agg(F.min("id").alias("id")).toLocalIterator()}
+    return [found.get(p, p) for p in range(n)]
+
+
 def fingerprint_pairs(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", piece_bytes: int = 8 << 20) -> DataFrame:
     """Fingerprint each text and its edit, whose end comes from the next text in descending order of id.
 
@@ -100,8 +119,13 @@ def fingerprint_pairs(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     least = -(2**63)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = pieces(df, piece_bytes, text_col)
-    limits = sorted(set(rows.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0] or []))
+    # Limits of several times as many fine ranges by rows; those are joined to n ranges by their bytes.
+    fine = FINE * n
+    limits = sorted(set(rows.agg(F.percentile_approx("k", [i / fine for i in range(1, fine)], 20 * n)).first()[0] or []))
     spark = df.sparkSession
+    sizes = rows.select(range_of(F.col("k"), limits).alias("r"), "k", F.octet_length("text").alias("b")).groupBy("r").agg(F.sum("b").alias("b"))
+    by_bytes = dict(map(tuple, sizes.toLocalIterator()))  # one row for each fine range: their number is the parameter FINE * n
+    limits = joined_limits(limits, [by_bytes.get(r, 0) for r in range(len(limits) + 1)], n)
     by_range = rows.select("k", range_of(F.col("k"), limits).alias("r"))
     # One row for each range: their number is the parameter n.
     heads = sorted(((h.r, h.k) for h in by_range.groupBy("r").agg(F.max("k").alias("k")).toLocalIterator()), reverse=True)
@@ -115,7 +139,9 @@ def fingerprint_pairs(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .withColumn("to", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("r"), F.lit(1).alias("extra"))))))
         .select("id", "k", "text", "to.r", "to.extra")
     )
-    ordered = dealt.repartition(n, "r").sortWithinPartitions("r", "extra", F.desc("k"), F.desc("text"))
+    # Ranges are dealt by numbers whose hash gives each a partition of its own.
+    to = F.get(F.from_json(F.lit(str(own_partitions(spark, n))), "array<bigint>"), F.col("r"))
+    ordered = dealt.withColumn("p", to).repartition(n, "p").sortWithinPartitions("r", "extra", F.desc("k"), F.desc("text"))
 
     def work(texts: list[str], ids: list) -> pa.RecordBatch:
         """texts has one more than ids: the last one only follows."""
