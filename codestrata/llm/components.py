@@ -2,23 +2,57 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.llm.common import cut, spare
 
 
+#: Distinct edges that are joined in one task: some 16 MB there, against dozens of shuffles by rounds.
+AT_ONCE = 1_000_000
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
+        if not parts:
+            return
+        nodes, place = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+        x, y = place.reshape(2, -1)
+        root = np.arange(len(nodes))
+        while True:
+            # The least root of both ends goes to the roots of either, then to all below.
+            least = np.minimum(root[x], root[y])
+            new = root.copy()
+            np.minimum.at(new, root[x], least)
+            np.minimum.at(new, root[y], least)
+            while (new[new] != new).any():
+                new = new[new]
+            new = new[root]
+            if (new == root).all():
+                break
+            root = new
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
+
+    return edges.coalesce(1).mapInArrow(join, "node long, root long")
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for each node of the edges (a, b); root is the least node reachable.
 
-    Each round links every neighbour to the least one, first among larger nodes and then among smaller ones, and
-    writes the edges to the checkpoint folder, so plans stay short and a lost executor costs one round.  The number
-    of rounds is about the logarithm of the longest path; nodes without an edge other than to themselves are absent.
+    Up to AT_ONCE distinct edges, 16 bytes each, are joined in one task.  Beyond that each round links every neighbour
+    to the least one, first among larger nodes and then among smaller ones, and writes the edges to the checkpoint
+    folder, so plans stay short and a lost executor costs one round.  The number of rounds is about the logarithm of the
+    longest path.  Both ways give the same rows; nodes without an edge other than to themselves are absent.
     """
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = _state(now)
+    if seen[0] <= AT_ONCE:
+        return cut(_in_one_task(now))
     for _ in range(rounds):
         if not seen[0]:
             break

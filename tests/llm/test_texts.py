@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from codestrata.llm import language, simhash, weighted
+from codestrata.llm import components, language, simhash, weighted
 from codestrata.llm.components import connected_components
 from codestrata.llm.packing import binary_pieces, pack
 from codestrata.llm.queries import op2_simhash, op4_language, op8_fingerprint, op9_repeats, op10_pack
@@ -87,7 +87,9 @@ def test_links_of_a_dense_cloud(spark, paired, monkeypatch):
     assert len(set(zip(found.values(), wanted.values(), strict=True))) == len(set(found.values())) == len(set(wanted.values()))
 
 
-def test_components_of_a_path(spark):
+@pytest.mark.parametrize("at_once", [0, 1_000_000])
+def test_components_of_a_path(spark, at_once, monkeypatch):
+    monkeypatch.setattr(components, "AT_ONCE", at_once)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (7, 7)], "a long, b long")
     assert {r.node: r.root for r in connected_components(edges).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 200: 100}
     assert connected_components(edges.limit(0)).count() == 0
