@@ -30,7 +30,7 @@ NOISE_TAGS = frozenset("aside button canvas dialog embed footer form head iframe
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Branches that can't hold an article: one that begins inside shows that its end tag is missing.
 SHUT = frozenset("form head menu nav noscript select".split())
-#: Names that, as a whole class or id, weaken a box of the page.
+#: Names that, as a whole class or id, set a box apart as the tags above do.
 HINTS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comments cookie-banner cookie-notice cookies disqus footer menu navbar navigation newsletter promo sidebar sponsored toolbar".split())
 BOXES = frozenset("center div dl figure ol section table ul".split())
 _WORDS = re.compile(r"[a-z]+")
@@ -38,12 +38,12 @@ _NAMES = re.compile(r"[a-z]+(?:[-_][a-z]+)*")
 
 #: The base of a node's share that its content has: with l styles it is GAMMA to the power of l, the rest is presentation's.
 GAMMA = 0.9
-#: The least importance that stays, what is left of it in a weakened box, and of the lack of it in an article.
-LEAST, HINTED, TRUSTED = 0.5, 0.4, 0.4
+#: The least importance that stays, and what is left of the lack of it in an article.
+LEAST, TRUSTED = 0.5, 0.4
 
 
 class Leaf(NamedTuple):
-    """A block of text: its branch from the root down, whether its branch is weakened, and an article's, and the text."""
+    """A block of text: its branch from the root down, whether that is set apart by name, and an article's, and the text."""
 
     chain: tuple[int, ...]
     hinted: bool
@@ -138,21 +138,21 @@ DEPTH = 24
 def parsed(html: str | None) -> tuple[list[Leaf], dict[int, set[int]]]:
     """The leaves of a page outside of what HTML itself sets apart, and the styles of its branches.
 
-    Where all there is lies in weakened boxes, these are the page, and their names don't count.
+    Menus, adverts and the like that differ on every page look like content to any tree, so boxes that are called so as
+    a whole go here; where all there is lies in such boxes, these are the page, and their names don't count.
     """
     page = _Page()
     page.feed(html or "")
     page.close()
     page.flush()
     page.close_to(1)
-    if page.leaves and all(x.hinted for x in page.leaves):
-        return [Leaf(x.chain, False, x.trusted, x.text) for x in page.leaves], page.styles
-    return page.leaves, page.styles
+    kept = [x for x in page.leaves if not x.hinted]
+    return kept or page.leaves, page.styles
 
 
 def place_of(leaf: Leaf) -> int:
     """Number of a leaf's branch, with what is known of it besides its tags."""
-    return xxhash.xxh64_intdigest(f"{leaf.chain[-1] if leaf.chain else 0} {leaf.hinted} {leaf.trusted}") >> 1
+    return xxhash.xxh64_intdigest(f"{leaf.chain[-1] if leaf.chain else 0} {leaf.trusted}") >> 1
 
 
 def host_of(url: Column) -> Column:
@@ -163,7 +163,7 @@ def low_importance(nodes: DataFrame, salts: int = 16) -> DataFrame:
     """(host, place, content) of the leaves of each host's style tree that have too little importance.
 
     ``nodes`` has a row for each branch of a page: host, body, path (its last node), chain (its nodes from the root),
-    style, place, hinted, trusted, contents and lengths.  A host's pages with the same body count once, so mirrors of a
+    style, place, trusted, contents and lengths.  A host's pages with the same body count once, so mirrors of a
     page make nothing common.  With m bodies:
 
     * a leaf's content that is on k of them has the importance 1 - (1 - 1/m) log_m k: 1 if it is one page's own, 1/m if
@@ -173,18 +173,17 @@ def low_importance(nodes: DataFrame, salts: int = 16) -> DataFrame:
     * a leaf has its own importance and that of its branch (the lesser one of the last two nodes): the shorter it is, the
       more the branch decides, so a menu's one link of its own goes with the menu and a paragraph stays by itself.
 
-    A box that calls itself a menu, advert or the like keeps HINTED of its leaves' importance; in an article only
-    TRUSTED of what they lack counts.  Leaves with less than LEAST go.
+    In an article only TRUSTED of what leaves lack counts.  Leaves with less than LEAST go.
     """
-    once = nodes.groupBy("host", "body", "path", "place").agg(*[F.first(c).alias(c) for c in ("chain", "style", "hinted", "trusted", "contents", "lengths")])
+    once = nodes.groupBy("host", "body", "path", "place").agg(*[F.first(c).alias(c) for c in ("chain", "style", "trusted", "contents", "lengths")])
     pages = nodes.select("host", "body").distinct().groupBy("host").agg(F.count("*").cast("double").alias("m"))
     styles = once.groupBy("host", "path", "style").agg(F.count_distinct("body").alias("k"))
     entropy = styles.groupBy("host", "path").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.log("k")).alias("e"), F.count("*").alias("l"))
     # A row for each host and branch; few, but a host with most pages has most rows of what it is joined with.
     shown = entropy.join(pages, "host").select("host", "path", "m", "l", F.when(F.col("m") > 1, F.least(F.lit(1.0), (F.log("s") - F.col("e") / F.col("s")) / F.log("m"))).otherwise(1.0).alias("shown"))
     salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    leaves = once.select("host", "path", "place", "chain", "hinted", "trusted", F.explode(F.array_distinct(F.arrays_zip(F.col("contents").alias("content"), F.col("lengths").alias("length")))).alias("x"))
-    leaves = leaves.groupBy("host", "path", "place", F.col("x.content").alias("content")).agg(F.count("*").alias("k"), F.first("x.length").alias("length"), *[F.first(c).alias(c) for c in ("chain", "hinted", "trusted")])
+    leaves = once.select("host", "path", "place", "chain", "trusted", F.explode(F.array_distinct(F.arrays_zip(F.col("contents").alias("content"), F.col("lengths").alias("length")))).alias("x"))
+    leaves = leaves.groupBy("host", "path", "place", F.col("x.content").alias("content")).agg(F.count("*").alias("k"), F.first("x.length").alias("length"), *[F.first(c).alias(c) for c in ("chain", "trusted")])
     leaves = cut(leaves.withColumn("salt", F.pmod(F.xxhash64("content"), F.lit(salts)).cast("int")).join(salted(shown.select("host", "path", "m")), ["host", "path", "salt"]).withColumn("own", F.when(F.col("m") > 1, 1 - (1 - 1 / F.col("m")) * F.log("k") / F.log("m")).otherwise(1.0)))
     weight = F.col("length") * F.col("k")
     sums = leaves.groupBy("host", "path").agg(F.first("chain").alias("chain"), F.sum(weight * F.col("own")).alias("a"), F.sum(weight).alias("b"))
@@ -195,9 +194,9 @@ def low_importance(nodes: DataFrame, salts: int = 16) -> DataFrame:
     up = nodes_of.select("host", F.col("path").alias("up"), F.col("node").alias("over"))
     branch = above.join(nodes_of, ["host", "path"]).join(up, ["host", "up"], "left").select("host", "path", F.least("node", F.coalesce("over", "node")).alias("branch"))
     share = (F.col("length") + 20) / (F.col("length") + 60)
-    judged = lambda importance: F.when(F.col("trusted"), 1 - (1 - importance) * TRUSTED).otherwise(importance) * F.when(F.col("hinted"), HINTED).otherwise(1.0)
+    judged = lambda importance: F.when(F.col("trusted"), 1 - (1 - importance) * TRUSTED).otherwise(importance)
     # What stays even in a branch of no importance needs no look at it.
-    doubtful = leaves.filter(judged(share * F.col("own")) < LEAST).select("host", "path", "place", "content", "salt", "length", "own", "hinted", "trusted")
+    doubtful = leaves.filter(judged(share * F.col("own")) < LEAST).select("host", "path", "place", "content", "salt", "length", "own", "trusted")
     weighed = doubtful.join(salted(branch), ["host", "path", "salt"])
     return weighed.filter(judged(share * F.col("own") + (1 - share) * F.col("branch")) < LEAST).select("host", "place", "content")
 
@@ -218,7 +217,7 @@ def extract_main_text(df: DataFrame, *, id_col: str = "page_id", url_col: str =
     own = df.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("uid", F.xxhash64("page", "url", "html"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("uid", pa.int64()), ("host", pa.string()), ("body", pa.int64()), ("path", pa.int64()), ("chain", pa.list_(pa.int64())), ("style", pa.int64()), ("place", pa.int64()), ("hinted", pa.bool_()), ("trusted", pa.bool_()), ("contents", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32()))])
+        schema = pa.schema([("uid", pa.int64()), ("host", pa.string()), ("body", pa.int64()), ("path", pa.int64()), ("chain", pa.list_(pa.int64())), ("style", pa.int64()), ("place", pa.int64()), ("trusted", pa.bool_()), ("contents", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32()))])
         for batch in batches:
             out = []
             for uid, host, html in zip(*(batch.column(c).to_pylist() for c in ("uid", "host", "html")), strict=True):
@@ -229,17 +228,17 @@ def extract_main_text(df: DataFrame, *, id_col: str = "page_id", url_col: str =
                 by_place: dict[int, dict] = {}
                 for leaf, content in zip(leaves, told, strict=True):
                     path = leaf.chain[-1] if leaf.chain else 0
-                    row = by_place.setdefault(place_of(leaf), {"path": path, "chain": leaf.chain or (0,), "hinted": leaf.hinted, "trusted": leaf.trusted, "contents": [], "lengths": []})
+                    row = by_place.setdefault(place_of(leaf), {"path": path, "chain": leaf.chain or (0,), "trusted": leaf.trusted, "contents": [], "lengths": []})
                     row["contents"].append(content)
                     row["lengths"].append(len(leaf.text))
                     # Inner nodes of the branch have a row too, for their style alone.
                     for depth, node in enumerate(leaf.chain[:-1], 1):
-                        by_place.setdefault(-node, {"path": node, "chain": leaf.chain[:depth], "hinted": False, "trusted": False, "contents": [], "lengths": []})
+                        by_place.setdefault(-node, {"path": node, "chain": leaf.chain[:depth], "trusted": False, "contents": [], "lengths": []})
                 out += [{"uid": uid, "host": host, "body": body, "place": place, "style": shown.get(row["path"], 0), **row} for place, row in by_place.items()]
             yield from pa.Table.from_pylist(out, schema).to_batches()
 
     site = F.coalesce(host_of(F.col("url")), F.concat(F.lit(" "), F.col("uid").cast("string")))
-    found = own.select("uid", site.alias("host"), "html").mapInArrow(hashes, "uid long, host string, body long, path long, chain array<long>, style long, place long, hinted boolean, trusted boolean, contents array<long>, lengths array<int>")
+    found = own.select("uid", site.alias("host"), "html").mapInArrow(hashes, "uid long, host string, body long, path long, chain array<long>, style long, place long, trusted boolean, contents array<long>, lengths array<int>")
     nodes = cut(found)
     common = low_importance(nodes)
     leaf = nodes.select("uid", "host", "place", F.explode(F.array_distinct("contents")).alias("content"))
