@@ -20,9 +20,9 @@ COMMITS = f"""SELECT doc_id, CAST(doc_id AS STRING) AS id, source AS repo, coale
     WHEN 2 THEN 'Run black and isort, Black again (#' || {_A} || ')'
     WHEN 3 THEN 'See https://github.com/org/' || coalesce(source, 'x') || '/issues/' || {_A} || ' and https://github.com/other/x/issues/5. Closed org/' || coalesce(source, 'x') || '#' || {_B} || ', not a/b#3'
     WHEN 4 THEN 'Remove unused helper `old_fn`. It was never used (#' || {_A} || ')'
-    WHEN 5 THEN 'Drop support for py2! Use urllib3 Retry instead of our loop'
+    WHEN 5 THEN 'Drop support for py2! Use the standard queue instead of our loop'
     WHEN 6 THEN 'Security: sanitize input. CVE-2020-' || {_A} || ' in old_fn'
-    WHEN 7 THEN 'Speed up the parser? refactor make_thing() today <!-- please use fix #1 style -->'
+    WHEN 7 THEN 'Speed up the parser? refactor make_thing() today <!-- say which, as in fix #1 -->'
     WHEN 8 THEN 'Reformat with yapf, re-wrap' || chr(10) || 'black is the style'
     WHEN 9 THEN '* Clean up the style guide (PEP8)' || chr(10) || '- ' || {_BODY}
     WHEN 10 THEN 'Follow-up to #' || {_B} || ' and ##' || {_C} || ' x#5 resolved #' || {_A} || ' gh ' || {_C}
@@ -31,7 +31,7 @@ COMMITS = f"""SELECT doc_id, CAST(doc_id AS STRING) AS id, source AS repo, coale
     ELSE {_BODY} END AS message,
   CASE doc_id % 5 WHEN 0 THEN 'old_fn' WHEN 1 THEN 'update' WHEN 2 THEN 'make_thing' WHEN 3 THEN '__init__' ELSE 'run' END AS function_name,
   CASE doc_id % 16 WHEN 0 THEN 'src/pkg/mod.py' WHEN 1 THEN 'vendor/lib/x.py' WHEN 2 THEN 'pkg/tests/test_a.py' WHEN 3 THEN 'env/lib/python3.11/site-packages/x/y.py'
-    WHEN 4 THEN 'app/venv/bin/tool.py' WHEN 5 THEN 'proto/api_pb2.py' WHEN 6 THEN 'proto/api_pb2_grpc.py' WHEN 7 THEN 'tests.py' WHEN 8 THEN 'hatch/venv/core.py' WHEN 9 THEN 'a/Lib64/Python3.9/b.py'
+    WHEN 4 THEN 'app/venv/bin/tool.py' WHEN 5 THEN 'proto/api_pb2.py' WHEN 6 THEN 'proto/api_pb2_grpc.py' WHEN 7 THEN 'tests.py' WHEN 8 THEN 'pkg/venv/core.py' WHEN 9 THEN 'a/Lib64/Python3.9/b.py'
     WHEN 10 THEN 'x/_Vendored/y.py' WHEN 11 THEN '.venv/z.py' WHEN 12 THEN 'vendor.py' WHEN 13 THEN 'x/lib/pythonx/y.py' WHEN 14 THEN '' ELSE 'mytests/a.py' END AS file_path,
   CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 97 + 1 END AS pr_number,
   CASE WHEN doc_id % 6 = 1 THEN NULL ELSE '2020-01-0' || CAST(doc_id % 9 + 1 AS STRING) END AS merged_at,

@@ -104,7 +104,7 @@ def test_verdicts_at_the_limits(spark):
     at = lambda a, b: told(spark, labels.verdict(F.lit(a), F.lit(b)), t="")
     assert [at(120, 200), at(119, 200), at(80, 200), at(79, 200), at(0, 0)] == ["PROCEED", "TIGHTEN", "TIGHTEN", "PIVOT", "UNDECIDABLE"]
     tag = lambda note: told(spark, labels.has_tag(F.col("n"), "no-context"), n=note)
-    assert tag("no-context로") and tag("x no-context, y") and not tag("no-contexts") and not tag("x-no-context") and not tag("")
+    assert tag("no-contextで") and tag("x no-context, y") and not tag("no-contexts") and not tag("x-no-context") and not tag("")
 
 
 @pytest.mark.parametrize(("wins", "losses"), [(0, 0), (5, 0), (3, 9), (400, 500), (400, 700), (600, 600), (5000, 5300), (0, 2000)])
