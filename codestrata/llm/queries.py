@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import oracles
+from codestrata.llm import conversations, credentials, oracles
 from codestrata.llm.common import table
+from codestrata.llm.importance import importance
 from codestrata.llm.language import held_out, identify
 from codestrata.llm.mixing import mix_sources
 from codestrata.llm.neighbours import search
@@ -66,8 +67,24 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda x: x["k"] < len(credentials.BASE))
+    counts = [F.expr(f"cast(size(filter(spans, x -> x.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in credentials.BASE]
+    told = [F.transform("spans", lambda x, c=c: x[c]).alias(c) for c in ("guesses", "segments")]
+    return found.select("doc_id", *counts, F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"), *told)
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(*conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neighbours, op2_simhash, op3_main_text, op4_language, op5_shard, op6_pii, op7_mix, op8_fingerprint, op9_repeats, op10_pack)}
+    return {f.__name__: f for f in (op1_neighbours, op2_simhash, op3_main_text, op4_language, op5_shard, op6_pii, op7_mix, op8_fingerprint, op9_repeats, op10_pack, op11_secrets, op12_repair, op13_resample)}
 
 
 def oracle_sql() -> dict[str, str]:
