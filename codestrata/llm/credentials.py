@@ -20,16 +20,18 @@ BASE = KINDS[:3]
 _ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 #: Runs are taken whole, so a least length asks for the same matches as a run that is dropped if it is shorter.
 _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}")
-_NAMES = r"pass(?:word|phrase|wd|code|wort)?|pwd|kennwort|contrase(?:ñ|n)a|mot\x20de\x20passe|pin|secret|token|credentials?|(?:api|access|private|secret|client|auth|signing|encryption)[_-]?(?:key|secret|token)"
+_NAMES = r"pass(?:word|phrase|wd|code|wort)?|pwd|kennwort|contrase[ñÑn]a|mot\x20de\x20passe|pin|secret|token|credentials?|(?:api|access|private|secret|client|auth|signing|encryption)[_-]?(?:key|secret|token)"
 #: Contexts of values: a name with a sign or a verb, a scheme of an authorization header, the second part of a URL's user.
 CONTEXTS = tuple(
-    re.compile(p, re.IGNORECASE)
+    re.compile(p, re.IGNORECASE | re.ASCII)
     for p in (
         rf"(?:(?<=[_-])|\b)(?:{_NAMES})[\"'`]?(?:\x20{{0,3}}(?:[:=]>?|->)|\x20(?:is|was|ist|es|est))\x20{{0,3}}[\"'`]?([^\s\"'`<>,;]+)",
         r"\b(?:bearer|basic)\x20+([A-Za-z0-9+/_.=~-]+)",
         r"://[^\s/:@]*:([^\s/@]+)@",
     )
 )
+#: Each match of the base pattern of assignments or of a context has one of these in small letters.
+_SIGNS = ("pass", "pwd", "kennwort", "contrase", "pin", "secret", "token", "credential", "key", "bearer", "basic", "://")
 #: The least length of a value, and the least cost (log10 of guesses) of one that is a secret without a base pattern.
 LEAST_LENGTH, LEAST = 6, 10.0
 #: The dictionary: so many words, of 3 to LONGEST letters, each in so many documents at least.
@@ -169,9 +171,14 @@ def guess_cost(value: str, ranks: Mapping[str, int], repeats: bool = True) -> tu
     return cost, "+".join(reversed(told))
 
 
+def _signed(text: str) -> bool:
+    low = text.lower()
+    return any(x in low for x in _SIGNS)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
     """(start, kind, end, start and end of the value) of the base kinds; a match that is too short is passed by as a whole."""
-    found = [(m.start(), 0, m.end(), m.start(1), m.end(1)) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= LEAST_LENGTH]
+    found = [(m.start(), 0, m.end(), m.start(1), m.end(1)) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= LEAST_LENGTH] if _signed(text) else []
     return found + [(m.start(), k, m.end(), m.start(), m.end()) for k, pattern in ((1, _ACCESS), (2, _HEX)) for m in pattern.finditer(text)]
 
 
@@ -180,7 +187,7 @@ def secrets_of(text: str | None, ranks: Mapping[str, int], least: float = LEAST)
     if not text:
         return []
     spans, held = base_spans(text), []
-    for m in (m for c in CONTEXTS for m in c.finditer(text)):
+    for m in (m for c in CONTEXTS for m in c.finditer(text)) if _signed(text) else ():
         s, e = m.span(1)
         e -= len(m[1]) - len(m[1].rstrip(".!?:)]}"))
         held.append((s, 3, e, s, e))
