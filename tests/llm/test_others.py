@@ -4,6 +4,7 @@ import html
 import math
 import random
 import re
+import time
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -115,6 +116,46 @@ def test_page(spark):
     assert extracted(spark, [(None, None), ("http://x.example", None)]) == [[], []]
 
 
+def test_pages_with_missing_ends(spark):
+    """Nothing is lost where end tags are missing, where a form is around the page, and where an article lies in a box with a name."""
+    story = "The article has a good many words, more than all the rest of its page taken together, so it is what the page is about."
+    pages = {
+        f"<html><head><title>T</title><meta charset=x><body><p>{story}</p></body>": story,
+        f"<html><head><title>T<body><div><p>{story}</div>": story,
+        f"<body><form action=x><h1>Title</h1><p>{story}</p><input name=q></form></body>": f"Title\n\n{story}",
+        f"<body><nav><a href=a>Home</a><div><p>{story}</p></div>": f"Home\n\n{story}",
+        f"<body><nav><a href=a>Home</a></nav><div><p>{story}</p></div>": story,
+        f"<body><div class='post sponsored'><p>{story}</p></div><p>After.</p>": f"{story}\n\nAfter.",
+        f"<body><p>{story}</p><div class=comments-area><p>{story} So true! {story}</p></div>": story,
+        f"<body><p>{story}</p><ol class='comment-list'><li>First!</ol><div id=cookie-consent>We use them</div><div class=site-footer>All rights</div>": story,
+        f"<body><article><p>{story}</p><table class=menu><tr><td>Soup<td>Cake</table></article>": f"{story}\n\nSoup\n\nCake",
+        f"<body><p>{story}<!-- not closed <b>bold</b> a < b &amp; c &lt;</p>": f"{story}bold a < b & c <",
+        f"<body><p title='a > b' data-x=\"<p>\">{story}</p><p class='x>And more</p>": f"{story}\n\nAnd more",
+    }
+    assert extracted(spark, [(f"http://h{i}.example/", h) for i, h in enumerate(pages)]) == [x.split("\n\n") for x in pages.values()]
+
+
+@pytest.mark.parametrize("part", ["<a ", "<!--", "<!-- x>", "<a '\">", "<script>", "</", "<p class='", "&", "<div>", "<![CDATA["])
+def test_hostile_pages_take_linear_time(part):
+    from codestrata.llm.pages import parsed
+
+    began = time.process_time()
+    parsed(part * 60_000)
+    assert time.process_time() - began < 4
+
+
+def test_differing_menus_and_comments_go_by_the_tree(spark):
+    """No tag and no name tells these: menus that differ from page to page and standing remarks, whose parts a site's pages share."""
+    rng, pages, stories = random.Random(4), [], []
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    for i in range(30):
+        story = " ".join(word() for _ in range(60))
+        links = "".join(f"<li><a>{x}</a></li>" for x in [*rng.sample(["News", "Shop", "Team", "Jobs", "Press", "Help"], 4)])
+        pages.append(("http://site.example/", f"<body><div class=x1><ul>{links}</ul></div><div class=x2><p>{story}</p></div><div class=x3><p>Sign in to write</p><p>No remarks yet</p></div></body>"))
+        stories.append(story)
+    assert extracted(spark, pages) == [[x] for x in stories]
+
+
 def test_pages(spark):
     """The fixtures' pages have one article each, read here by patterns alone."""
     rows = op3_main_text(spark, DATA).collect()
