@@ -52,6 +52,17 @@ def spare(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns; those of kinds that Spark doesn't hash, such as maps, count by their JSON text."""
+    odd = [c for c, kind in df.dtypes if "map<" in kind or "variant" in kind]
+    return F.xxhash64(*[F.to_json(F.struct(quoted(c).alias("x"))) if c in odd else quoted(c) for c in df.columns])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and go on from there."""
     shared_folder(df.sparkSession)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import cut, spare
+from codestrata.llm.common import cut, quoted, row_hash, spare
 
 
 #: Distinct edges that are joined in one task: some 16 MB there, against dozens of shuffles by rounds.
@@ -77,12 +77,13 @@ def _state(edges: DataFrame) -> tuple:
 def keep_one(df: DataFrame, components: Callable[..., DataFrame], id_col: str = "doc_id") -> DataFrame:
     """One row of each component: the one with the least id, null ids last; of rows with one id that of the least hash.
 
-    ``components`` gives (mark, root) among others for each row; rows are known by a hash of all their columns, so
+    ``components`` gives (mark, root) among others for each row; rows are known by their id and a hash of all their columns, so
     reruns agree and rows that share an id but not their text are told apart.
     """
-    mark, root = spare(df, "mark", "root")
-    own = df.withColumn(mark, F.xxhash64(*df.columns))
+    mark, root, key = spare(df, "mark", "root", "key")
+    own = df.withColumn(mark, row_hash(df))
     found = components(own, mark_col=mark).select(F.col(id_col).alias("id"), "mark", "root")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("m"))
-    kept = first.select(F.col("m.mark").alias(mark), F.col("root").alias(root))
-    return own.join(kept, mark).dropDuplicates([root]).select(*[own[c] for c in df.columns])
+    kept = first.select(F.col("m.mark").alias("_mark"), F.col("m.id").alias(key), F.col("root").alias(root))
+    both = own.join(kept, (F.col(mark) == F.col("_mark")) & quoted(id_col).eqNullSafe(F.col(key)))
+    return both.dropDuplicates([root]).select(*map(quoted, df.columns))

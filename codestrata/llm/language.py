@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from codestrata.llm.common import spare
+from codestrata.llm.common import quoted, spare
 
 #: Hashed feature slots.
 SLOTS = 1 << 17
@@ -29,7 +29,11 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Runs of letters, in small letters; numbers of other scripts, fractions and the like are none."""
+    found = _WORD.findall((text or "").lower())
+    if "".join(found).isalpha() or not found:
+        return found
+    return [w for x in found for w in (x,) * x.isalpha() or "".join(c if c.isalpha() else " " for c in x).split()]
 
 
 def _slot(x: np.ndarray) -> np.ndarray:
@@ -131,12 +135,11 @@ def forward_backward(scores: np.ndarray, first: np.ndarray, moves: np.ndarray, s
     return both / both.sum(axis=1, keepdims=True), forward, backward
 
 
-def train(rows: Sequence[tuple[str, str]], *, epochs: int = 4, words_per_row: int = 300, lexicon_words: int = 2000, sequence: int = 100, batch: int = 64, rate: float = 0.2, seed: int = 7) -> Field:
-    """Fit a field to (text, label) rows by AdaGrad on the log-likelihood.
+def train(rows: Sequence[tuple[str, str]], *, epochs: int = 4, lexicon_words: int = 2000, sequence: int = 100, batch: int = 64, rate: float = 0.2, seed: int = 7) -> Field:
+    """Fit a field to (text, label) rows by AdaGrad on the log-likelihood, over whole rows.
 
     Stretches of 3 to 40 words of differently labelled texts are put in a row at random, so transitions are learned
-    from code-switched sequences.  The lexicon is counted over whole rows; of a row with more than ``words_per_row``
-    words, stretches from all over it are drawn at random until they have that many.
+    from code-switched sequences.
     """
     rows = [(words_of(t), label) for t, label in sorted(rows)]
     labels = sorted({label for w, label in rows if w})
@@ -165,14 +168,6 @@ def train(rows: Sequence[tuple[str, str]], *, epochs: int = 4, words_per_row: in
             size = int(rng.integers(3, 41))
             cuts.append((at, size))
             at += size
-        if len(codes) > words_per_row:
-            left, some = words_per_row, []
-            for i in rng.permutation(len(cuts)):
-                if left <= 0:
-                    break
-                some.append(cuts[i])
-                left -= cuts[i][1]
-            cuts = some
         stretches += [(labels.index(label), codes[at : at + size]) for at, size in cuts]
     known = list(vocabulary)
     slots, owners = features(known)
@@ -219,7 +214,7 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def sample(df: DataFrame, *, rows_per_label: int = 400, chars_per_label: int = 2_000_000) -> list[tuple[str, str]]:
+def sample(df: DataFrame, *, rows_per_label: int = 400, chars_per_label: int = 1_000_000) -> list[tuple[str, str]]:
     """At most ``rows_per_label`` (text, lang) rows of each label, the first in order of a hash of id and text, whole texts.
 
     Only rows that aren't held out.  Both parameters are the sample's bound: rows are taken as long as their characters
@@ -271,7 +266,7 @@ def annotate(df: DataFrame, field: Field, *, text_col: str = "text", names: tupl
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
+            texts = batch.column(0).field(text_col).to_pylist()
             at = 0
             while at < len(texts):
                 end, size = at, 0
@@ -280,11 +275,13 @@ def annotate(df: DataFrame, field: Field, *, text_col: str = "text", names: tupl
                     end += 1
                 told, sure = label(texts[at:end])
                 part = batch.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(told, pa.string()), pa.array(sure, pa.float64())], names=[*part.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(told, pa.string()), pa.array(sure, pa.float64())], names=["row", "label", "sure"])
                 at = end
 
-    own = df.select(columns)
-    return own.mapInArrow(walk, StructType([*own.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
+    # One struct holds the columns, so none of their names is in the way.
+    own = df.select(F.struct(*map(quoted, columns)).alias("row"))
+    told = own.mapInArrow(walk, StructType([*own.schema.fields, StructField("label", StringType()), StructField("sure", DoubleType())]))
+    return told.select(*[F.col("row").getField(c).alias(c) for c in columns], F.col("label").alias(names[0]), F.col("sure").alias(names[1]))
 
 
 def identify(df: DataFrame, **options) -> DataFrame:
@@ -301,4 +298,4 @@ def known_language(df: DataFrame, least: float = 0.5, **options) -> DataFrame:
     """
     language, score = spare(df, "lang_pred", "score")
     found = annotate(df, train(sample(df, **options)), names=(language, score))
-    return found.filter((F.col(language) != NONE) & (F.col(score) >= least)).select(df.columns)
+    return found.filter((F.col(language) != NONE) & (F.col(score) >= least)).select(*map(quoted, df.columns))
