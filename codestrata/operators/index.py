@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
@@ -12,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codestrata.functions.text import bind, plain, tokens
+from codestrata.sources.files import publish
 
 #: Fixed values of the ranking function, weights of six columns in their order, and the most hits that are counted.
 K1, B, FLOOR = 1.2, 0.75, 1e-6
@@ -19,6 +21,8 @@ WEIGHTS = (10.0, 4.0, 3.0, 3.0, 2.0, 1.0)
 COUNT_CAP = 10_000
 #: Marks around what was found, and words of a snippet.
 OPEN, CLOSE, CUT, WINDOW = "\x02", "\x03", "…", 16
+#: Bytes of text for each file of an index, and bytes of a row group, within which pages have bounds of their own.
+FILE_BYTES, GROUP_BYTES = 32 << 20, 8 << 20
 #: The column of facet tokens comes after the others.
 FACETS = 6
 
@@ -42,12 +46,18 @@ def facet(field: str, value) -> str:
     return f"year{int(value)}" if field == "year" else f"{field}={value}"
 
 
-def write_index(df: DataFrame, folder: str, *, key: str, columns: Sequence[str], facets: Sequence[str] = (), files: int = 16) -> None:
-    """Postings of the columns (weights go by their place) and of facet tokens, with a row of totals.
+def index_files(df: DataFrame, columns: Sequence[str]) -> int:
+    """How many files an index of these columns should have: one for each FILE_BYTES of text, as measured."""
+    size = df.agg(sum((F.coalesce(F.sum(F.octet_length(F.col(c).cast("string"))), F.lit(0)) for c in columns), F.lit(0))).first()[0]
+    return max(1, -(-size // FILE_BYTES))
+
+
+def write_index(df: DataFrame, folder: str, *, key: str, columns: Sequence[str], facets: Sequence[str] = (), files: int | None = None) -> None:
+    """Postings of the columns (weights go by their place) and of facet tokens, and a row of totals.
 
     A posting has its document's length, so a query joins nothing.  Postings are ranged by token and document and lie
-    sorted, so the footers of files and row groups tell which hold a token, or a prefix, and a frequent token is spread
-    over several files.  The number of files should follow the input.
+    sorted in small row groups and pages with their bounds, so a token, or a prefix, is found by skipping, and a frequent
+    token is spread over several files.  Everything is built aside and then put in place as a whole.
     """
     told = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.concat(F.lit("year" if f == "year" else f"{f}="), F.col(f).cast("string"))) for f in facets])) if facets else F.array().cast("array<string>")
     lists = [*[tokens(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns], told]
@@ -55,8 +65,11 @@ def write_index(df: DataFrame, folder: str, *, key: str, columns: Sequence[str],
     each = df.select(F.col(key).alias("doc"), F.array(*lists).alias("t")).withColumn("length", F.aggregate("t", F.lit(0), lambda n, x: n + F.size(x)))
     spread = each.select("doc", "length", F.explode(F.arrays_zip(F.col("t"), F.array(*[F.lit(i) for i in numbers]).alias("column"))).alias("x"))
     postings = spread.select("doc", "length", F.col("x.column").cast("byte").alias("column"), F.posexplode("x.t").alias("place", "token"))
-    postings.repartitionByRange(files, "token", "doc").sortWithinPartitions("token", "doc", "column", "place").write.parquet(f"{folder}/postings")
-    each.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).write.parquet(f"{folder}/totals")
+    aside = f"{folder}.{uuid.uuid4().hex}"
+    dealt = postings.repartitionByRange(files or index_files(df, columns), "token", "doc").sortWithinPartitions("token", "doc", "column", "place")
+    dealt.write.option("parquet.block.size", GROUP_BYTES).parquet(f"{aside}/postings")
+    each.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).write.parquet(f"{aside}/totals")
+    publish(df.sparkSession, aside, folder)
 
 
 class Index:

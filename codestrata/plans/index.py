@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,37 +10,36 @@ from codestrata.operators.index import COUNT_CAP, Index, best_snippet, check_fil
 from codestrata.plans.registry import query
 from codestrata.sources.adapters import deletions, table
 from codestrata.sources.domain import COMMITS_SQL, commits
-from codestrata.sources.files import work_folder
+from codestrata.sources.files import exists, version_of, work_folder
 
 COLUMNS = ("function_name", "file_path", "message", "pr_title", "pr_body", "body")
 FACET_FIELDS = ("repo", "deletion_kind", "filter_status", "year")
-#: Bytes of input for each file of an index.
-FILE_BYTES = 32 << 20
+_OPEN: dict[tuple[str, str], Index] = {}
 
-_BUILT: dict[tuple[str, str, str], Index] = {}
 
+def _stored(spark, d: str, name: str, tables: tuple[str, ...], rows, **options) -> Index:
+    """The index of that name over a directory's tables, below the shared folder, whichever application wrote it.
 
-def _stored(spark, d: str, name: str, rows, **options) -> Index:
-    """The index of that name over a directory, written to the shared folder by the first query of an application."""
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _BUILT:
-        folder = f"{work_folder(spark)}/index-{name}-{uuid.uuid4().hex}"
-        size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size, 1 << 50) // FILE_BYTES)
-        write_index(rows, folder, files=files, **options)
-        _BUILT[key] = Index(spark, folder)
-    return _BUILT[key]
+    Its folder is named after the tables' files and their times, so tables that are written anew get a new index.
+    """
+    folder = f"{work_folder(spark)}/index-{name}-{version_of(spark, *(f'{d}/{t}.parquet' for t in tables))}"
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _OPEN:
+        if not exists(spark, folder):
+            write_index(rows, folder, **options)
+        _OPEN[key] = Index(spark, folder)
+    return _OPEN[key]
 
 
 def record_index(spark, d: str) -> Index:
     """The six columns and the facets of all records."""
     rows = commits(spark, d).withColumn("year", F.expr("try_cast(substring(author_date, 1, 4) AS INT)"))
-    return _stored(spark, d, "records", rows, key="doc_id", columns=COLUMNS, facets=FACET_FIELDS)
+    return _stored(spark, d, "records", ("documents",), rows, key="doc_id", columns=COLUMNS, facets=FACET_FIELDS)
 
 
 def body_index(spark, d: str) -> Index:
     """Repositories and bodies of deletions."""
-    return _stored(spark, d, "bodies", deletions(spark, d), key="doc_id", columns=("repo", "body"))
+    return _stored(spark, d, "bodies", ("documents", "labels"), deletions(spark, d), key="doc_id", columns=("repo", "body"))
 
 
 _TOKENS = "list_filter(regexp_extract_all(translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"

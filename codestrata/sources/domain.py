@@ -10,23 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from codestrata.sources.adapters import table
 
 _A, _B, _C = "CAST(doc_id % 97 + 1 AS STRING)", "CAST(doc_id % 31 + 100 AS STRING)", "CAST(doc_id % 13 + 200 AS STRING)"
-_BODY = "substr(coalesce(text, ''), 1, 300)"
+_BODY = "coalesce(text, '')"
 
-#: Messages show every form of reference, marker and reason that the rules know; the rest is prose.
+#: Messages show every form of reference, marker and reason that the rules know, most of them before a whole text.
 COMMITS = f"""SELECT doc_id, CAST(doc_id AS STRING) AS id, source AS repo, coalesce(n_chars, 0) AS n_chars, text AS body,
   CASE doc_id % 14
     WHEN 0 THEN 'Fixes #' || {_A} || ', closes: #' || {_B} || chr(10) || 'see `#99` and' || chr(10) || '```' || chr(10) || '#77 fix it' || chr(10) || '```' || chr(10) || {_BODY}
-    WHEN 1 THEN 'Merge pull request #' || {_A} || ' from x/y' || chr(10) || chr(10) || 'Refs GH-' || {_B} || ' and resolves GH-' || {_C}
-    WHEN 2 THEN 'Run black and isort, Black again (#' || {_A} || ')'
-    WHEN 3 THEN 'See https://github.com/org/' || coalesce(source, 'x') || '/issues/' || {_A} || ' and https://github.com/other/x/issues/5. Closed org/' || coalesce(source, 'x') || '#' || {_B} || ', not a/b#3'
-    WHEN 4 THEN 'Remove unused helper `old_fn`. It was never used (#' || {_A} || ')'
-    WHEN 5 THEN 'Drop support for py2! Use the standard queue instead of our loop'
-    WHEN 6 THEN 'Security: sanitize input. CVE-2020-' || {_A} || ' in old_fn'
-    WHEN 7 THEN 'Speed up the parser? refactor make_thing() today <!-- say which, as in fix #1 -->'
-    WHEN 8 THEN 'Reformat with yapf, re-wrap' || chr(10) || 'black is the style'
+    WHEN 1 THEN 'Merge pull request #' || {_A} || ' from x/y' || chr(10) || chr(10) || 'Refs GH-' || {_B} || ' and resolves GH-' || {_C} || chr(10) || {_BODY}
+    WHEN 2 THEN 'Run black and isort, Black again (#' || {_A} || ')' || chr(10) || {_BODY}
+    WHEN 3 THEN 'See https://github.com/org/' || coalesce(source, 'x') || '/issues/' || {_A} || ' and https://github.com/other/x/issues/5. Closed org/' || coalesce(source, 'x') || '#' || {_B} || ', not a/b#3' || chr(10) || {_BODY}
+    WHEN 4 THEN 'Remove unused helper `old_fn`. It was never used (#' || {_A} || ')' || chr(10) || {_BODY}
+    WHEN 5 THEN 'Drop support for py2! Use the standard queue instead of our loop' || chr(10) || {_BODY}
+    WHEN 6 THEN 'Security: sanitize input. CVE-2020-' || {_A} || ' in old_fn' || chr(10) || {_BODY}
+    WHEN 7 THEN 'Speed up the parser? refactor make_thing() today <!-- say which, as in fix #1 -->' || chr(10) || {_BODY}
+    WHEN 8 THEN 'Reformat with yapf, re-wrap' || chr(10) || 'black is the style' || chr(10) || {_BODY}
     WHEN 9 THEN '* Clean up the style guide (PEP8)' || chr(10) || '- ' || {_BODY}
-    WHEN 10 THEN 'Follow-up to #' || {_B} || ' and ##' || {_C} || ' x#5 resolved #' || {_A} || ' gh ' || {_C}
-    WHEN 11 THEN 'Fix a crash in update and `update`: wrong exception'
+    WHEN 10 THEN 'Follow-up to #' || {_B} || ' and ##' || {_C} || ' x#5 resolved #' || {_A} || ' gh ' || {_C} || chr(10) || {_BODY}
+    WHEN 11 THEN 'Fix a crash in update and `update`: wrong exception' || chr(10) || {_BODY}
     WHEN 12 THEN ''
     ELSE {_BODY} END AS message,
   CASE doc_id % 5 WHEN 0 THEN 'old_fn' WHEN 1 THEN 'update' WHEN 2 THEN 'make_thing' WHEN 3 THEN '__init__' ELSE 'run' END AS function_name,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 from collections.abc import Sequence
@@ -29,9 +30,49 @@ def work_folder(spark: SparkSession) -> str:
 
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder in whichever file system holds it."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    fs, path = _file_system(spark, folder)
+    fs.delete(path, True)
+
+
+def _file_system(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    fs, path = _file_system(spark, folder)
+    return fs.exists(path)
+
+
+def version_of(spark: SparkSession, *paths: str) -> str:
+    """A digest of the names, lengths and times of the files below the paths: another one when any file is written anew."""
+    told = []
+    for p in paths:
+        fs, path = _file_system(spark, p)
+        found = fs.listFiles(path, True)
+        while found.hasNext():
+            one = found.next()
+            told.append(f"{one.getPath().toString()} {one.getLen()} {one.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(told)).encode()).hexdigest()[:32]
+
+
+def publish(spark: SparkSession, built: str, folder: str) -> None:
+    """Put a folder that was built aside in place of ``folder``: readers see the old one or the new one as a whole.
+
+    If the new one can't be moved, the old one comes back.
+    """
+    (fs, new), (_, place), (_, old) = (_file_system(spark, x) for x in (built, folder, f"{folder}.old"))
+    if not fs.exists(new):
+        raise FileNotFoundError(built)
+    if fs.exists(place):
+        fs.delete(old, True)
+        if not fs.rename(place, old):
+            raise OSError(f"{folder} can't be moved aside")
+    if not fs.rename(new, place):
+        if fs.exists(old):
+            fs.rename(old, place)
+        raise OSError(f"{built} can't be moved to {folder}")
+    fs.delete(old, True)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, *, strict: bool = False, glob: str | None = None) -> DataFrame:
