@@ -7,45 +7,47 @@ from pyspark.sql import functions as F
 from codestrata.operators.mining import added_ranges, added_text, attributed_deletions, body_lines, extract_functions, find_moved, match_replacement, move_matches, normalise_body, parse_diff, parse_hunks, partition_moved, same_path_hunks, without_moved
 from codestrata.plans.registry import query
 from codestrata.sources.adapters import table
+from codestrata.sources.code import DIFFS_SQL, FUNCTIONS_SQL, code_diffs, code_files
 
 
-def _sources(spark, d):
-    """One Python file for each part."""
-    p = table(spark, d, "part")
-    source = F.concat(F.lit("import os\n\n@cached\ndef size_"), "p_partkey", F.lit("(x, y=1):\n    # "), "p_brand", F.lit("\n    return x + "), F.col("p_size").cast("string"), F.lit("\n"))
-    return p.select(F.concat(F.lit("p"), "p_partkey", F.lit(".py")).alias("path"), source.alias("source"), "p_partkey", "p_size")
+_CUT = "array_to_string(list_slice(string_split(source, chr(10)), {}, {}), chr(10))"
 
 
-def _diffs(spark, d):
-    p = table(spark, d, "part")
-    name = F.concat(F.lit("p"), F.col("p_partkey"), F.lit(".py"))
-    text = F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name, F.lit("\n--- a/"), name, F.lit("\n+++ b/"), name, F.lit("\n@@ -3,4 +3,1 @@\n-@cached\n-def f():\n--- not a header\n-    return "), F.col("p_size").cast("string"), F.lit("\n+new "), "p_brand", F.lit("\n"))
-    return p.select(name.alias("path"), text.alias("diff"))
-
-
-@query("SELECT 'p' || p_partkey || '.py' AS path, 'size_' || p_partkey AS name, 'def size_' || p_partkey || '(x, y=1)' AS signature, 3 AS start_line, 6 AS end_line FROM part")
+@query(f"SELECT path, name, signature, start_line, end_line, md5({_CUT.format('start_line', 'end_line')}) AS body FROM functions", (FUNCTIONS_SQL,))
 def mine_functions(spark, d):
-    found = _sources(spark, d).select("path", F.explode(extract_functions(F.col("source"))).alias("f"))
-    return found.select("path", "f.name", "f.signature", "f.start_line", "f.end_line")
+    """Functions of all files: decorated, old, nested, beside errors, with whole texts in comments, docstrings and signatures."""
+    found = code_files(spark, d).select("path", F.explode(extract_functions(F.col("source"))).alias("f"))
+    return found.select("path", "f.name", "f.signature", "f.start_line", "f.end_line", F.md5("f.body").alias("body"))
 
 
-@query("SELECT p_partkey, ['def size_' || p_partkey || '(VAR, VAR=NUM):', '    return VAR + NUM'] AS lines FROM part")
+@query("SELECT path, name, plain AS lines FROM functions", (FUNCTIONS_SQL,))
 def mov_normalise(spark, d):
-    body = F.regexp_extract("source", r"(?s)(def .*)", 1)
-    return _sources(spark, d).select("p_partkey", normalise_body(body).alias("lines"))
+    """The normal form of each function: its text is a comment or a docstring and leaves no trace."""
+    found = code_files(spark, d).select("path", F.explode(extract_functions(F.col("source"))).alias("f"))
+    return found.select("path", "f.name", normalise_body(F.col("f.body")).alias("lines"))
+
 
+_LINES = """SELECT doc_id, path, kind, line + unnest(range(len(texts))) AS line, unnest(texts) AS text FROM (
+  SELECT doc_id, path, 'deleted' AS kind, d0 AS line, list_slice(string_split(source, chr(10)), d0, m) AS texts FROM diffs
+  UNION ALL SELECT doc_id, path, 'added', d0, string_split(body, chr(10)) FROM diffs
+  UNION ALL SELECT doc_id, CASE k WHEN 0 THEN 'old.py' WHEN 2 THEN 'gone.py' ELSE 'x.py' END, 'deleted', CASE k WHEN 2 THEN 1 ELSE 2 END, CASE k WHEN 0 THEN ['a'] ELSE string_split(body, chr(10)) END FROM diffs WHERE k <> 1
+  UNION ALL SELECT doc_id, CASE k WHEN 0 THEN 'néw.py' WHEN 1 THEN 'made.py' ELSE 'x.py' END, 'added', CASE k WHEN 1 THEN 1 ELSE 2 END, CASE k WHEN 1 THEN string_split(body, chr(10)) ELSE ['--- b'] END FROM diffs WHERE k <> 2)"""
 
-@query("SELECT 'p' || p_partkey || '.py' AS path, unnest(['deleted', 'deleted', 'deleted', 'deleted', 'added']) AS kind, unnest([3, 4, 5, 6, 3]) AS line, unnest(['@cached', 'def f():', '-- not a header', '    return ' || p_size, 'new ' || p_brand]) AS text FROM part")
+
+@query(f"SELECT doc_id, path, kind, line::INT AS line, text FROM ({_LINES})", (DIFFS_SQL,))
 def diff_parse(spark, d):
-    found = _diffs(spark, d).select("path", F.explode(parse_diff(F.col("diff"))).alias("x"))
-    return found.select("path", "x.kind", "x.line", "x.text")
+    """All removed and added lines with their numbers: a file's own lines against a whole text, and a second file."""
+    found = code_diffs(spark, d).select("doc_id", F.explode(parse_diff(F.col("diff"))).alias("x"))
+    path = F.when(F.col("x.kind") == "deleted", F.col("x.old_path")).otherwise(F.col("x.new_path"))
+    return found.select("doc_id", path.alias("path"), "x.kind", "x.line", "x.text")
 
 
-@query("SELECT 'p' || p_partkey || '.py' AS path, 'size_' || p_partkey AS name, 3 AS start_line, 6 AS end_line, 'FULL_FUNCTION' AS deletion_kind, concat_ws(chr(10), '@cached', 'def f():', '-- not a header', '    return ' || p_size) AS deleted_body FROM part")
+@query(f"SELECT path, name, start_line, end_line, CASE WHEN start_line >= d0 THEN 'FULL_FUNCTION' ELSE 'PARTIAL' END AS deletion_kind, md5({_CUT.format('greatest(start_line, d0)', 'end_line')}) AS deleted_body FROM (SELECT *, (1 + doc_id % 2)::INT AS d0 FROM functions)", (FUNCTIONS_SQL,))
 def mine_deletions(spark, d):
-    """Deleted lines of a diff attributed to the functions of the old file."""
-    lines = _diffs(spark, d).select(F.explode(parse_diff(F.col("diff"))).alias("x")).filter("x.kind = 'deleted'").select(F.col("x.old_path").alias("path"), "x.line", "x.text")
-    return attributed_deletions(mine_functions(spark, d), lines)
+    """Deleted lines of the diffs attributed to the functions of the old files: those without their first line are partial."""
+    lines = code_diffs(spark, d).select("path", F.explode(parse_diff(F.col("diff"))).alias("x")).filter("x.kind = 'deleted' AND x.old_path = path").select("path", "x.line", "x.text")
+    found = attributed_deletions(mine_functions(spark, d).select("path", "name", "start_line", "end_line"), lines)
+    return found.withColumn("deleted_body", F.md5("deleted_body"))
 
 
 @query("SELECT sha256(text) AS body_hash, count(*) FILTER (doc_id % 2 = 0) AS deleted, count(*) FILTER (doc_id % 2 = 1) AS added FROM documents GROUP BY 1 HAVING count(*) FILTER (doc_id % 2 = 0) > 0 AND count(*) FILTER (doc_id % 2 = 1) > 0")
@@ -62,49 +64,34 @@ def mov_greedy(spark, d):
     return move_matches(docs.filter("id % 2 = 0"), docs.filter("id % 2 = 1"))
 
 
-_Q = "p_partkey % 4"
-
+def _hunks(spark, d):
+    return code_diffs(spark, d).select("doc_id", parse_hunks(F.col("diff")).alias("hunks"))
 
-def _two_files(spark, d):
-    """A diff of two files for each part: one changed in two hunks, one renamed, added or deleted, with a quoted path."""
-    p = table(spark, d, "part")
-    n = F.col("p_partkey").cast("string")
-    kind = F.col("p_partkey") % 4
-    second = (
-        F.when(kind == 0, '--- a/old.py\n+++ "b/n\\303\\251w.py"\n')
-        .when(kind == 1, "--- /dev/null\n+++ b/made.py\n")
-        .when(kind == 2, "--- a/gone.py\n+++ /dev/null\n")
-        .otherwise("--- a/x.py\n+++ b/x.py\n")
-    )
-    body = F.when(kind == 1, "@@ -0,0 +1,2 @@\n+a\n+b\n").when(kind == 2, "@@ -1,2 +0,0 @@\n-a\n-b\n").otherwise("@@ -2 +2 @@ def f():\n-a\n+--- b\n")
-    first = F.concat(F.lit("diff --git a/m.py b/m.py\n--- a/m.py\n+++ b/m.py\n@@ -"), n, F.lit(",2 +"), n, F.lit(",1 @@\n-x\n-y\n+z\n@@ -500,1 +499,2 @@\n k\n+"), n, F.lit("\n"))
-    return p.select("p_partkey", parse_hunks(F.concat(first, F.lit("diff --git a/s b/s\n"), second, body)).alias("hunks"))
 
-
-_TWO = f"""parts AS (SELECT p_partkey, unnest([p_partkey, 499, CASE {_Q} WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE 2 END]) AS low, unnest([1, 2, CASE {_Q} WHEN 1 THEN 2 WHEN 2 THEN 0 ELSE 1 END]) AS n,
-  unnest(['m.py', 'm.py', CASE {_Q} WHEN 0 THEN 'néw.py' WHEN 1 THEN 'made.py' WHEN 2 THEN NULL ELSE 'x.py' END]) AS path, unnest([true, true, {_Q} = 3]) AS same, unnest(['z', p_partkey::VARCHAR, CASE {_Q} WHEN 1 THEN 'a' || chr(10) || 'b' WHEN 2 THEN '' ELSE '--- b' END]) AS added FROM part)"""
-
-
-@query(f"WITH {_TWO} SELECT p_partkey, path, low::INT AS low, (low + n - 1)::INT AS high FROM parts WHERE n > 0 AND path IS NOT NULL")
+@query("SELECT doc_id, path, min(line)::INT AS low, max(line)::INT AS high FROM lines WHERE kind = 'added' GROUP BY doc_id, path", (DIFFS_SQL, f"lines AS ({_LINES})"))
 def mine_added_ranges(spark, d):
     """Lines that are added, by new path; quoted paths are read."""
-    return _two_files(spark, d).select("p_partkey", F.explode(added_ranges(F.col("hunks"))).alias("r")).select("p_partkey", "r.path", "r.low", "r.high")
+    return _hunks(spark, d).select("doc_id", F.explode(added_ranges(F.col("hunks"))).alias("r")).select("doc_id", "r.path", "r.low", "r.high")
 
 
-@query(f"WITH {_TWO} SELECT p_partkey, path, low::INT AS new_start, added AS added_body FROM parts WHERE same")
+@query("SELECT doc_id, path, d0 AS new_start, body AS added_body FROM diffs UNION ALL SELECT doc_id, 'x.py', 2, '--- b' FROM diffs WHERE k = 3", (DIFFS_SQL,))
 def mine_same_path_hunks(spark, d):
     """Hunks of files that keep their path; what looks like a header inside a hunk is content."""
-    found = _two_files(spark, d).select("p_partkey", F.explode(same_path_hunks(F.col("hunks"))).alias("h"))
-    return found.select("p_partkey", F.col("h.new_path").alias("path"), "h.new_start", "h.added_body")
+    found = _hunks(spark, d).select("doc_id", F.explode(same_path_hunks(F.col("hunks"))).alias("h"))
+    return found.select("doc_id", F.col("h.new_path").alias("path"), "h.new_start", "h.added_body")
 
 
 _CASES = 7
 
 
 def _replaced(spark, d):
-    """Deleted functions with hunks of every kind: not read, empty, at the place, elsewhere, cut short, two of a name, whole in the new file."""
-    i, n = F.col("p_partkey") % _CASES, F.col("p_partkey").cast("string")
-    whole = F.concat(F.lit("def f(a):\n    return a + "), n, F.lit("\n"))
+    """Deleted functions with hunks of every kind: not read, empty, at the place, elsewhere, cut short, two of a name, whole in the new file.
+
+    Their code holds a document's whole text as comments.
+    """
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("    # "), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n    # ")), F.lit("\n")).alias("note"))
+    i, n = F.col("doc_id") % _CASES, F.col("doc_id").cast("string")
+    whole = F.concat(F.lit("def f(a):\n"), "note", F.lit("    return a + "), n, F.lit("\n"))
     hunk = lambda start, count, new, body: F.struct(F.lit(start).alias("old_start"), F.lit(count).alias("old_count"), F.lit(new).alias("new_start"), body.alias("added_body"))
     ended = F.concat(whole, F.lit("x = 1"))
     kind = "array<struct<old_start:int,old_count:int,new_start:int,added_body:string>>"
@@ -113,27 +100,27 @@ def _replaced(spark, d):
         .when(i == 3, F.array(hunk(900, 1, 900, ended))).when(i == 4, F.array(hunk(11, 1, 11, whole))).when(i == 5, F.array(hunk(300, 1, 300, F.lit("def f(z):\n    pass\ny = 2")), hunk(400, 1, 400, ended)))
         .otherwise(F.array(hunk(12, 0, 2, F.lit("def f(a):\n    b = 1"))))
     )
-    child = F.when(i == 6, F.concat(F.lit("import os\ndef f(a):\n    b = 1\n    return b + "), n))
-    return table(spark, d, "part").select("p_partkey", F.struct(F.lit("f").alias("name"), F.concat(F.lit("def f(a):\n    return a * "), n).alias("deleted"), F.lit(10).alias("start_line"), F.lit(11).alias("end_line"), hunks.alias("hunks"), child.alias("child")).alias("record"))
+    child = F.when(i == 6, F.concat(F.lit("import os\ndef f(a):\n    b = 1\n"), "note", F.lit("    return b + "), n))
+    return docs.select("doc_id", F.struct(F.lit("f").alias("name"), F.concat(F.lit("def f(a):\n"), "note", F.lit("    return a * "), n).alias("deleted"), F.lit(10).alias("start_line"), F.lit(11).alias("end_line"), hunks.alias("hunks"), child.alias("child")).alias("record"))
 
 
-_M = f"p_partkey % {_CASES}"
+_M = f"doc_id % {_CASES}"
+_NOTED = "(SELECT *, 'def f(a):' || chr(10) || note || '    return a + ' || doc_id AS w FROM (SELECT doc_id, '    # ' || replace(coalesce(text, ''), chr(10), chr(10) || '    # ') || chr(10) AS note FROM documents))"
 
 
 @query(
-    f"""SELECT p_partkey, CASE {_M} WHEN 2 THEN w WHEN 3 THEN w WHEN 5 THEN w WHEN 6 THEN 'def f(a):' || chr(10) || '    b = 1' || chr(10) || '    return b + ' || p_partkey END AS code, CASE {_M} WHEN 0 THEN NULL WHEN 1 THEN 'NONE' ELSE 'SAME_LOCATION' END AS match_method,
-    CASE WHEN {_M} IN (0, 1) THEN 0.0 WHEN {_M} IN (2, 4, 6) THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM (SELECT *, 'def f(a):' || chr(10) || '    return a + ' || p_partkey AS w FROM part)"""
+    f"""SELECT doc_id, md5(CASE {_M} WHEN 2 THEN w WHEN 3 THEN w WHEN 5 THEN w WHEN 6 THEN 'def f(a):' || chr(10) || '    b = 1' || chr(10) || note || '    return b + ' || doc_id END) AS code, CASE {_M} WHEN 0 THEN NULL WHEN 1 THEN 'NONE' ELSE 'SAME_LOCATION' END AS match_method,
+    CASE WHEN {_M} IN (0, 1) THEN 0.0 WHEN {_M} IN (2, 4, 6) THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence FROM {_NOTED}"""
 )
 def rpl_matches(spark, d):
     """What took a deleted function's place, from hunks at it, hunks elsewhere, pieces that end too early, and the new file."""
-    return _replaced(spark, d).select("p_partkey", match_replacement(F.col("record")).alias("r")).select("p_partkey", "r.*")
+    return _replaced(spark, d).select("doc_id", match_replacement(F.col("record")).alias("r")).select("doc_id", F.md5("r.code").alias("code"), "r.match_method", "r.confidence")
 
 
-@query(f"SELECT p_partkey, CASE {_M} WHEN 0 THEN 'flat' WHEN 1 THEN '  ' WHEN 6 THEN 'def f(a):' || chr(10) || '    b = 1' END AS added FROM part WHERE {_M} IN (0, 1, 6)")
+@query(f"SELECT doc_id, CASE {_M} WHEN 0 THEN 'flat' WHEN 1 THEN '  ' WHEN 2 THEN w || chr(10) || 'x = 1' || chr(10) || w || chr(10) || 'x = 1' WHEN 3 THEN w || chr(10) || 'x = 1' WHEN 4 THEN w || chr(10) WHEN 5 THEN 'def f(z):' || chr(10) || '    pass' || chr(10) || 'y = 2' || chr(10) || w || chr(10) || 'x = 1' ELSE 'def f(a):' || chr(10) || '    b = 1' END AS added FROM {_NOTED}")
 def rpl_added_text(spark, d):
     """Added lines of all hunks, or the flat field of older rows."""
-    own = _replaced(spark, d).filter(f"{_M} IN (0, 1, 6)")
-    return own.select("p_partkey", added_text(F.col("record.hunks"), F.lit("flat")).alias("added"))
+    return _replaced(spark, d).select("doc_id", added_text(F.col("record.hunks"), F.lit("flat")).alias("added"))
 
 
 def _moves(spark, d):

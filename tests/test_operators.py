@@ -107,16 +107,16 @@ class C:
 
 def test_functions_of_a_source():
     found = [(f["name"], f["signature"], f["start_line"], f["end_line"]) for f in mining.functions_of(SOURCE)]
-    assert found == [("outer", "def outer(a, b=(1, 2)) -> int", 2, 7), ("inner", "def inner(x)", 5, 6), ("m", "async def m(self)", 10, 10)]
+    assert found == [("outer", "def outer(a, b=(1, 2)) -> int:", 2, 7), ("inner", "def inner(x):", 5, 6), ("m", "async def m(self):", 10, 10)]
     assert [f["name"] for f in mining.functions_of("def ok():\n    pass\n\ndef broken(:\n    pass\n\ndef fine():\n    pass\n")] == ["ok", "fine"]
     assert mining.functions_of(None) == []
 
 
 def test_normal_form_ignores_names_and_literals():
     one_, other = "def f(a):\n    '''doc'''\n    b = a + 1\n    return g(b, 'x')\n", "def f(q):\n    z = q + 22  # other\n    return g(z, 'yy')\n"
-    assert mining.plain_body(one_) == mining.plain_body(other) == ["def f(VAR):", "    VAR = VAR + NUM", "    return g(VAR, STR)"]
+    assert mining.plain_body(one_) == mining.plain_body(other) == ["def f ( VAR ) :", "VAR = VAR + NUM", "return g ( VAR , STR )"]
     assert mining.plain_body(one_) != mining.plain_body(one_.replace("g(", "h("))
-    assert mining.plain_body("not python at all (") == []
+    assert mining.plain_body("") == mining.plain_body(None) == mining.plain_body("# only this\n") == []
 
 
 def test_diff_lines():
