@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codestrata.functions.text import first_line
 from codestrata.operators.index import COUNT_CAP, Index, best_snippet, check_filters, compile_query, hits, write_index
 from codestrata.plans.registry import query
-from codestrata.sources.adapters import deletions, table
+from codestrata.sources.adapters import table
 from codestrata.sources.domain import COMMITS_SQL, commits
 from codestrata.sources.files import exists, version_of, work_folder
 
@@ -38,8 +38,9 @@ def record_index(spark, d: str) -> Index:
 
 
 def body_index(spark, d: str) -> Index:
-    """Repositories and bodies of deletions."""
-    return _stored(spark, d, "bodies", ("documents", "labels"), deletions(spark, d), key="doc_id", columns=("repo", "body"))
+    """Repositories and bodies of deletions; what their labels add isn't searched, so nothing is joined."""
+    rows = table(spark, d, "documents").select("doc_id", F.col("source").alias("repo"), F.col("text").alias("body"))
+    return _stored(spark, d, "bodies", ("documents",), rows, key="doc_id", columns=("repo", "body"))
 
 
 _TOKENS = "list_filter(regexp_extract_all(translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
