@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.text import plain, tokens
+from codestrata.sources.files import work_folder
 
 #: Fixed values of the ranking function and the weights of the indexed columns.
 K1, B, FLOOR = 1.2, 0.75, 1e-6
@@ -88,3 +92,37 @@ def hashed_embeddings(df: DataFrame, key: str, text: str, width: int) -> DataFra
     own = df.select(key, F.explode_outer(tokens(F.col(text))).alias("token")).select(key, F.pmod(F.xxhash64("token"), F.lit(width)).cast("int").alias("slot"), F.col("token").isNotNull().cast("int").alias("there"))
     counts = own.groupBy(key, "slot").agg(F.sum("there").cast("double").alias("n")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"))
     return counts.select(key, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vector"))
+
+
+def merged_topk(df: DataFrame, key: str, vector: str, query: list[float], k: int, condition: Column | None = None, chunk: int = 8192) -> DataFrame:
+    """(key, score) of the k rows with the greatest dot product and of all rows that tie with the k-th.
+
+    Tasks go through their rows by chunks and keep the k best so far with their ties; the k-th score of what they kept
+    decides.  Nothing is sorted but k rows a task.  A vector that is null or of another length takes no part.
+    """
+    kind = dict(df.dtypes)[key]
+    asked = np.array(query, float)
+    own = df if condition is None else df.filter(condition)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kept, schema = None, np.zeros(0), None
+        for batch in batches:
+            schema = batch.schema
+            for at in range(0, len(batch), chunk):
+                part = batch.slice(at, chunk)
+                rows = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(asked)).astype(float)
+                scores = np.zeros(len(rows))
+                for i, q in enumerate(asked):  # in order, so equal vectors have equal scores in every chunk
+                    scores += rows[:, i] * q
+                told = part.column(0) if names is None else pa.concat_arrays([names, part.column(0)])
+                scores = np.concatenate([kept, scores])
+                least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else -np.inf
+                names, kept = told.filter(pa.array(scores >= least)), scores[scores >= least]
+        if schema is not None:
+            yield pa.RecordBatch.from_arrays([names, pa.array(kept)], ["key", "score"])
+
+    whole = own.filter(F.size(vector) == len(asked)).select(F.col(key).alias("key"), vector)
+    work_folder(df.sparkSession)
+    found = whole.mapInArrow(best, f"key {kind}, score double").checkpoint()
+    last = found.select("score").orderBy(F.desc("score")).limit(k).agg(F.min("score").alias("last"))  # one row
+    return found.join(F.broadcast(last), F.col("score") >= F.col("last")).select(F.col("key").alias(key), "score")

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from codestrata.operators import rules
 from codestrata.operators.joins import first_rule
+from codestrata.operators.reasons import fit_reasons, in_splits, probabilities, with_word
 from codestrata.operators.rules import REASON_RULES
 from codestrata.plans.registry import query
+from codestrata.sources.adapters import table
 from codestrata.sources.domain import COMMITS_SQL, commits
 
 _SQUEEZED = "regexp_replace(replace(regexp_replace({}, '[\\s\\p{{Z}}]+', '', 'g'), '''', '\"'), ',([)\\]}}])', '\\1', 'g')"
@@ -261,3 +263,49 @@ def cls_classified(spark, d):
     scores = F.create_map(*[x for k in _KEYS for x in (F.lit(k), entry(k))])
     scored = own.withColumn("label", rules.decided(scores, F.transform("sentences", lambda s: s["label"])))
     return scored.withColumn("g", rules.graded(F.col("label"), F.col("sentences"), F.col("usable"), F.col("told"))).select("doc_id", "label", "g.grade", "g.confidence", "g.evidence")
+
+
+def _read(own):
+    """What a model reads of records with their passages."""
+    shape = rules.shape_tokens(pr=F.col("pr_number").isNotNull(), review=F.col("pr_body").isNotNull(), test=rules.in_tests(F.col("file_path")))
+    return rules.feature_text(F.col("passages"), F.col("function_name"), F.col("file_path"), shape, F.lit(None))
+
+
+@query("SELECT c.doc_id, ['train', 'val', 'test'][(c.doc_id % 3 + 1)::INT] AS split FROM commits c JOIN labels l ON c.doc_id = l.doc_id WHERE c.doc_id % 3 < 2", (COMMITS_SQL,))
+def flt_splits(spark, d):
+    """Labelled records of the splits that may be learned from; asking for the third one is an error."""
+    return in_splits(_labelled(spark, d), ["train", "val"]).select("doc_id", "split")
+
+
+def _labelled(spark, d):
+    """Labelled records with their split; the reason is the rule's for the message, so that texts tell it."""
+    split = F.get(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (F.col("doc_id") % 3).cast("int"))
+    known = table(spark, d, "labels").select("doc_id")
+    return _told(spark, d).join(known, "doc_id").withColumn("split", split).withColumn("reason", rules.reason_of(F.col("message")))
+
+
+def _fitted(spark, d):
+    own = in_splits(_labelled(spark, d), ["train"])
+    return fit_reasons(own, _read(own), "reason")
+
+
+@query()
+def cls_model(spark, d):
+    """Probabilities of reasons by a model that was fitted on one split, for all records."""
+    own = _told(spark, d)
+    found = probabilities(own, _read(own), _fitted(spark, d))
+    return own.select("doc_id", *[F.coalesce(F.try_element_at(found, F.lit(k)), F.lit(0.0)).alias(k.lower()) for k in [*_KEYS, "UNK"]])
+
+
+@query()
+def cls_fitted(spark, d):
+    """Records with a fitted model's label, its grade and evidence, and whether their repository was learned from."""
+    own = _told(spark, d).withColumn("sentences", rules.reason_sentences(F.col("passages"), rules.target_name(F.col("function_name"))))
+    word = F.get(F.array(*[F.lit(k) for k in _KEYS]), (F.col("doc_id") % 7).cast("int"))
+    own = own.withColumn("told", F.when(F.col("doc_id") % 10 == 0, word)).withColumn("usable", rules.usable_replacement(F.col("pr_title"), _confidence()))
+    scored = own.withColumn("scores", with_word(probabilities(own, _read(own), _fitted(spark, d)), F.col("told"), _KEYS))
+    judged = scored.withColumn("label", rules.decided(F.col("scores"), F.transform("sentences", lambda s: s["label"])))
+    learned = in_splits(_labelled(spark, d), ["train"]).select(F.col("repo").alias("_repo")).distinct()
+    graded = judged.withColumn("g", rules.graded(F.col("label"), F.col("sentences"), F.col("usable"), F.col("told")))
+    met = graded.join(learned, F.col("repo").eqNullSafe(F.col("_repo")), "left")
+    return met.select(F.col("id").alias("record_id"), "repo", F.col("_repo").isNotNull().alias("training_repo"), "label", F.col("g.grade").alias("evidence_grade"), F.col("g.evidence").alias("evidence_text"), "g.confidence", F.lit("m1").alias("classifier_version"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codestrata.operators.search import dot, normalised, snippet, vector_topk
+from codestrata.operators.search import dot, merged_topk, normalised, snippet, vector_topk
 from codestrata.plans.index import body_index
 from codestrata.plans.registry import query
 from codestrata.sources.adapters import DELETIONS, deletions, table
@@ -81,6 +81,18 @@ def search_semantic_filtered(spark, d):
     return vector_topk(own, "vec_id", "embedding", asked[0], 10, F.col("label") == 3).select("vec_id", F.round("score", 6).alias("score"))
 
 
+_COARSE = "list_transform({}, lambda x: round(x::DOUBLE * 10))"
+_TIED = "list_sum(list_transform(range(1, 65), lambda i: v.c[i] * q.c[i]))"
+
+
+@query(f"WITH v AS (SELECT vec_id, {_COARSE.format('embedding')} AS c FROM embeddings), s AS (SELECT vec_id, {_TIED} AS score FROM v, (SELECT c FROM v WHERE vec_id = 0) q WHERE vec_id <> 0) SELECT vec_id, score FROM s WHERE score >= (SELECT min(score) FROM (SELECT score FROM s ORDER BY score DESC LIMIT 25))")
+def search_topk_ties(spark, d):
+    """The 25 nearest by coarse vectors and all that tie with the last, chunk by chunk."""
+    own = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 10)).alias("coarse"))
+    asked = own.filter("vec_id = 0").select("coarse").first()
+    return merged_topk(own, "vec_id", "coarse", asked[0], 25, F.col("vec_id") != 0)
+
+
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS square FROM embeddings")
 def search_unit_vectors(spark, d):
     unit = normalised(F.col("embedding"))
