@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,8 +25,8 @@ COUNT_CAP = 10_000
 OPEN, CLOSE, CUT, WINDOW = "\x02", "\x03", "…", 16
 #: Bytes of text for each file of an index, and bytes of a row group, within which pages have bounds of their own.
 FILE_BYTES, GROUP_BYTES = 32 << 20, 8 << 20
-#: The column of facet tokens comes after the others.
-FACETS = 6
+#: The column of facet tokens comes after the others; a column has less than PLACES tokens.
+FACETS, PLACES = 6, 1 << 40
 
 
 class FilterError(ValueError):
@@ -52,23 +54,48 @@ def index_files(df: DataFrame, columns: Sequence[str]) -> int:
     return max(1, -(-size // FILE_BYTES))
 
 
+def _postings(rows: int = 512) -> Callable:
+    """A task's part of an index: for each row and token one posting, with all places of all columns, column * PLACES + place."""
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), rows):
+                doc, lists = (batch.column(i).slice(start, rows) for i in range(2))
+                columns, words = lists.flatten(), lists.flatten().flatten()
+                per_row, per_list = (x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (lists, columns))
+                row_of_list = np.repeat(np.arange(len(lists)), per_row)
+                first = np.cumsum(per_list) - per_list
+                column = np.arange(len(columns)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
+                entry = np.repeat(column, per_list) * PLACES + np.arange(len(words)) - np.repeat(first, per_list)
+                row = np.repeat(row_of_list, per_list)
+                length = np.bincount(row, minlength=len(lists))
+                coded = words.dictionary_encode()
+                code = coded.indices.to_numpy().astype(np.int64)
+                order = np.lexsort((entry, code, row))
+                row, code, entry = row[order], code[order], entry[order]
+                heads = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])]) if len(row) else np.zeros(0, np.int64)
+                entries = pa.ListArray.from_arrays(pa.array(np.r_[heads, len(entry)].astype(np.int32)), pa.array(entry))
+                yield pa.RecordBatch.from_arrays([doc.take(pa.array(row[heads])), pa.array(length[row[heads]].astype(np.int32)), coded.dictionary.take(pa.array(code[heads])), entries], ["doc", "length", "token", "entries"])
+
+    return group
+
+
 def write_index(df: DataFrame, folder: str, *, key: str, columns: Sequence[str], facets: Sequence[str] = (), files: int | None = None) -> None:
     """Postings of the columns (weights go by their place) and of facet tokens, and a row of totals.
 
-    A posting has its document's length, so a query joins nothing.  Postings are ranged by token and document and lie
-    sorted in small row groups and pages with their bounds, so a token, or a prefix, is found by skipping, and a frequent
-    token is spread over several files.  Everything is built aside and then put in place as a whole.
+    A posting is a document's token with all its places and the document's length, so a query joins nothing and places
+    of a token are dealt once.  Postings are ranged by token and document and lie sorted in small row groups and pages
+    with their bounds, so a token, or a prefix, is found by skipping, and a frequent token is spread over several files.
+    Everything is built aside and then put in place as a whole.
     """
     told = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.concat(F.lit("year" if f == "year" else f"{f}="), F.col(f).cast("string"))) for f in facets])) if facets else F.array().cast("array<string>")
-    lists = [*[tokens(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns], told]
-    numbers = [*range(len(columns)), FACETS]
-    each = df.select(F.col(key).alias("doc"), F.array(*lists).alias("t")).withColumn("length", F.aggregate("t", F.lit(0), lambda n, x: n + F.size(x)))
-    spread = each.select("doc", "length", F.explode(F.arrays_zip(F.col("t"), F.array(*[F.lit(i) for i in numbers]).alias("column"))).alias("x"))
-    postings = spread.select("doc", "length", F.col("x.column").cast("byte").alias("column"), F.posexplode("x.t").alias("place", "token"))
+    none = [F.array().cast("array<string>")] * (FACETS - len(columns))
+    each = df.select(F.col(key).alias("doc"), F.array(*[tokens(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns], *none, told).alias("t"))
+    postings = each.mapInArrow(_postings(), f"doc {dict(each.dtypes)['doc']}, length int, token string, entries array<long>")
     aside = f"{folder}.{uuid.uuid4().hex}"
-    dealt = postings.repartitionByRange(files or index_files(df, columns), "token", "doc").sortWithinPartitions("token", "doc", "column", "place")
+    dealt = postings.repartitionByRange(files or index_files(df, columns), "token", "doc").sortWithinPartitions("token", "doc")
     dealt.write.option("parquet.block.size", GROUP_BYTES).parquet(f"{aside}/postings")
-    each.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).write.parquet(f"{aside}/totals")
+    each.agg(F.count("*").alias("n"), F.avg(F.aggregate("t", F.lit(0), lambda n, x: n + F.size(x))).alias("mean")).write.parquet(f"{aside}/totals")
     publish(df.sparkSession, aside, folder)
 
 
@@ -91,15 +118,22 @@ class Index:
                 hit = F.startswith("token", F.lit(word)) if prefix and j == len(words) - 1 else F.col("token") == word
                 tests.append(hit)
                 wanted.append(F.when(hit, F.struct(F.lit(i).alias("phrase"), F.lit(j).alias("at"), F.lit(len(words)).alias("size"))))
-        own = self.postings.filter(reduce(or_, tests))
-        own = own if within is None else own.filter(F.col("column").isin(*within))
-        weight = F.get(F.array(*[F.lit(float(w)) for w in (*weights, *[1.0] * (FACETS + 1 - len(weights)))]), F.col("column").cast("int"))
+        own = self.postings.filter(reduce(or_, tests)).withColumn("entries", self.within("entries", within))
+        table = F.array(*[F.lit(float(w)) for w in (*weights, *[1.0] * (FACETS + 1 - len(weights)))])
+        weight = lambda e: F.get(table, F.floor(e / PLACES).cast("int"))
         if all(len(words) == 1 for words, _ in phrases):
-            votes = own.select("doc", "length", weight.alias("w"), F.explode(F.array_compact(F.array(*wanted))).alias("v"))
+            w = F.aggregate("entries", F.lit(0.0), lambda x, e: x + weight(e))
+            votes = own.filter(F.size("entries") > 0).select("doc", "length", w.alias("w"), F.explode(F.array_compact(F.array(*wanted))).alias("v"))
             return votes.groupBy("doc", F.col("v.phrase").alias("phrase")).agg(F.first("length").alias("length"), F.sum("w").alias("f"))
-        votes = own.select("doc", "length", "column", weight.alias("w"), "place", F.explode(F.array_compact(F.array(*wanted))).alias("v"))
-        starts = votes.groupBy("doc", "column", "v.phrase", "v.size", (F.col("place") - F.col("v.at")).alias("start")).agg(F.count("*").alias("votes"), F.first("length").alias("length"), F.first("w").alias("w"))
-        return starts.filter("votes = size").groupBy("doc", "phrase").agg(F.first("length").alias("length"), F.sum("w").alias("f"))
+        votes = own.select("doc", "length", "entries", F.explode(F.array_compact(F.array(*wanted))).alias("v")).select("doc", "length", "v", F.explode("entries").alias("e"))
+        # A place less its place in the phrase is the phrase's start, in the same column or, before its begin, nowhere.
+        starts = votes.groupBy("doc", "v.phrase", "v.size", F.floor(F.col("e") / PLACES).alias("column"), (F.col("e") - F.col("v.at")).alias("start")).agg(F.count("*").alias("votes"), F.first("length").alias("length"))
+        return starts.filter("votes = size").withColumn("w", F.get(table, F.col("column").cast("int"))).groupBy("doc", "phrase").agg(F.first("length").alias("length"), F.sum("w").alias("f"))
+
+    @staticmethod
+    def within(entries: str, columns: Sequence[int] | None) -> Column:
+        """The entries of some columns."""
+        return F.col(entries) if columns is None else F.filter(entries, lambda e: F.floor(e / PLACES).isin(*columns))
 
     def scores(self, text: str, weights: Sequence[float] = WEIGHTS, *, facets: Sequence[tuple[str, object]] = (), years: tuple[int, int] | None = None, facet_scoring: bool = True) -> DataFrame:
         """(doc, score) of the documents with all phrases, facets and a year of the range; less is better.
@@ -112,7 +146,7 @@ class Index:
         if terms:
             listed = [(i, t) for i, group in enumerate(terms, len(phrases)) for t in group]
             number = reduce(lambda c, x: c.when(F.col("token") == x[1], x[0]), listed[1:], F.when(F.col("token") == listed[0][1], listed[0][0]))
-            own = self.postings.filter((F.col("column") == FACETS) & F.col("token").isin(*[t for _, t in listed]))
+            own = self.postings.filter(F.col("token").isin(*[t for _, t in listed]) & (F.size(self.within("entries", [FACETS])) > 0))
             # Years of a range are one condition, but each has its own rarity.
             by_facet = own.select("doc", number.alias("phrase"), "length", F.lit(1.0).alias("f"), "token")
             found = by_facet if found is None else found.withColumn("token", F.col("phrase").cast("string")).select("doc", "phrase", "length", "f", "token").unionByName(by_facet)
