@@ -26,7 +26,7 @@ OPEN, CLOSE, CUT, WINDOW = "\x02", "\x03", "…", 16
 #: Bytes of text for each file of an index, and bytes of a row group, within which pages have bounds of their own.
 FILE_BYTES, GROUP_BYTES = 32 << 20, 8 << 20
 #: The column of facet tokens comes after the others; a column has less than PLACES tokens.
-FACETS, PLACES = 6, 1 << 40
+FACETS, PLACES = 6, 1 << 28
 
 
 class FilterError(ValueError):
@@ -54,8 +54,12 @@ def index_files(df: DataFrame, columns: Sequence[str]) -> int:
     return max(1, -(-size // FILE_BYTES))
 
 
-def _postings(rows: int = 512) -> Callable:
-    """A task's part of an index: for each row and token one posting, with all places of all columns, column * PLACES + place."""
+def _postings(rows: int = 4096) -> Callable:
+    """A task's part of an index: for each token of a block of rows the documents that have it, their lengths and places.
+
+    ``entries`` has a document's places (column * PLACES + place) up to its number in ``ends``: flat arrays keep what is
+    dealt small.
+    """
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,19 +67,26 @@ def _postings(rows: int = 512) -> Callable:
                 doc, lists = (batch.column(i).slice(start, rows) for i in range(2))
                 columns, words = lists.flatten(), lists.flatten().flatten()
                 per_row, per_list = (x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (lists, columns))
-                row_of_list = np.repeat(np.arange(len(lists)), per_row)
-                first = np.cumsum(per_list) - per_list
                 column = np.arange(len(columns)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
-                entry = np.repeat(column, per_list) * PLACES + np.arange(len(words)) - np.repeat(first, per_list)
-                row = np.repeat(row_of_list, per_list)
-                length = np.bincount(row, minlength=len(lists))
+                entry = np.repeat(column * PLACES - (np.cumsum(per_list) - per_list), per_list) + np.arange(len(words))
+                row = np.repeat(np.repeat(np.arange(len(lists)), per_row), per_list)
+                length = np.bincount(row, minlength=len(lists)).astype(np.int32)
                 coded = words.dictionary_encode()
-                code = coded.indices.to_numpy().astype(np.int64)
-                order = np.lexsort((entry, code, row))
-                row, code, entry = row[order], code[order], entry[order]
-                heads = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])]) if len(row) else np.zeros(0, np.int64)
-                entries = pa.ListArray.from_arrays(pa.array(np.r_[heads, len(entry)].astype(np.int32)), pa.array(entry))
-                yield pa.RecordBatch.from_arrays([doc.take(pa.array(row[heads])), pa.array(length[row[heads]].astype(np.int32)), coded.dictionary.take(pa.array(code[heads])), entries], ["doc", "length", "token", "entries"])
+                code = coded.indices.to_numpy()
+                order = np.argsort(code, kind="stable")  # rows and places stay in order within a token
+                row, code, entry = row[order], code[order], entry[order].astype(np.int32)
+                new_token = np.r_[True, code[1:] != code[:-1]] if len(code) else np.zeros(0, bool)
+                heads = np.flatnonzero(new_token | np.r_[True, row[1:] != row[:-1]]) if len(code) else np.zeros(0, np.int64)
+                tokens_at = np.flatnonzero(new_token[heads])  # of postings
+                bounds = np.r_[tokens_at, len(heads)].astype(np.int32)
+                first = np.repeat(heads[tokens_at], np.diff(bounds))
+                ends = (np.r_[heads[1:], len(code)] - first).astype(np.int32)
+                listed = lambda at, values: pa.ListArray.from_arrays(pa.array(np.asarray(at, np.int32)), values)
+                docs = doc.take(pa.array(row[heads]))
+                yield pa.RecordBatch.from_arrays(
+                    [coded.dictionary.take(pa.array(code[heads[tokens_at]])), docs.take(pa.array(tokens_at)), listed(bounds, docs), listed(bounds, pa.array(length[row[heads]])), listed(bounds, pa.array(ends)), listed(np.r_[heads[tokens_at], len(code)], pa.array(entry))],
+                    ["token", "first", "docs", "lengths", "ends", "entries"],
+                )
 
     return group
 
@@ -83,17 +94,18 @@ def _postings(rows: int = 512) -> Callable:
 def write_index(df: DataFrame, folder: str, *, key: str, columns: Sequence[str], facets: Sequence[str] = (), files: int | None = None) -> None:
     """Postings of the columns (weights go by their place) and of facet tokens, and a row of totals.
 
-    A posting is a document's token with all its places and the document's length, so a query joins nothing and places
-    of a token are dealt once.  Postings are ranged by token and document and lie sorted in small row groups and pages
-    with their bounds, so a token, or a prefix, is found by skipping, and a frequent token is spread over several files.
+    A row has a token's documents of one block, with their places and lengths, so a query joins nothing and a token is
+    dealt once a block.  Rows are ranged by token and document and lie sorted in small row groups and pages with their
+    bounds, so a token, or a prefix, is found by skipping, and a frequent token is spread over several files.
     Everything is built aside and then put in place as a whole.
     """
     told = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.concat(F.lit("year" if f == "year" else f"{f}="), F.col(f).cast("string"))) for f in facets])) if facets else F.array().cast("array<string>")
     none = [F.array().cast("array<string>")] * (FACETS - len(columns))
     each = df.select(F.col(key).alias("doc"), F.array(*[tokens(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns], *none, told).alias("t"))
-    postings = each.mapInArrow(_postings(), f"doc {dict(each.dtypes)['doc']}, length int, token string, entries array<long>")
+    kind = dict(each.dtypes)["doc"]
+    postings = each.mapInArrow(_postings(), f"token string, first {kind}, docs array<{kind}>, lengths array<int>, ends array<int>, entries array<int>")
     aside = f"{folder}.{uuid.uuid4().hex}"
-    dealt = postings.repartitionByRange(files or index_files(df, columns), "token", "doc").sortWithinPartitions("token", "doc")
+    dealt = postings.repartitionByRange(files or index_files(df, columns), "token", "first").sortWithinPartitions("token", "first")
     dealt.write.option("parquet.block.size", GROUP_BYTES).parquet(f"{aside}/postings")
     each.agg(F.count("*").alias("n"), F.avg(F.aggregate("t", F.lit(0), lambda n, x: n + F.size(x))).alias("mean")).write.parquet(f"{aside}/totals")
     publish(df.sparkSession, aside, folder)
@@ -118,7 +130,7 @@ class Index:
                 hit = F.startswith("token", F.lit(word)) if prefix and j == len(words) - 1 else F.col("token") == word
                 tests.append(hit)
                 wanted.append(F.when(hit, F.struct(F.lit(i).alias("phrase"), F.lit(j).alias("at"), F.lit(len(words)).alias("size"))))
-        own = self.postings.filter(reduce(or_, tests)).withColumn("entries", self.within("entries", within))
+        own = self.each(reduce(or_, tests)).withColumn("entries", self.within("entries", within))
         table = F.array(*[F.lit(float(w)) for w in (*weights, *[1.0] * (FACETS + 1 - len(weights)))])
         weight = lambda e: F.get(table, F.floor(e / PLACES).cast("int"))
         if all(len(words) == 1 for words, _ in phrases):
@@ -130,6 +142,13 @@ class Index:
         starts = votes.groupBy("doc", "v.phrase", "v.size", F.floor(F.col("e") / PLACES).alias("column"), (F.col("e") - F.col("v.at")).alias("start")).agg(F.count("*").alias("votes"), F.first("length").alias("length"))
         return starts.filter("votes = size").withColumn("w", F.get(table, F.col("column").cast("int"))).groupBy("doc", "phrase").agg(F.first("length").alias("length"), F.sum("w").alias("f"))
 
+    def each(self, condition: Column | None = None) -> DataFrame:
+        """(token, doc, length, entries) of the tokens that meet a condition: a row for each document."""
+        own = self.postings if condition is None else self.postings.filter(condition)
+        begin = lambda i: F.when(i == 0, 0).otherwise(F.get("ends", i - 1))
+        posting = F.transform("docs", lambda d, i: F.struct(d.alias("doc"), F.get("lengths", i).alias("length"), F.slice("entries", begin(i) + 1, F.get("ends", i) - begin(i)).alias("entries")))
+        return own.select("token", F.explode(posting).alias("x")).select("token", "x.doc", "x.length", "x.entries")
+
     @staticmethod
     def within(entries: str, columns: Sequence[int] | None) -> Column:
         """The entries of some columns."""
@@ -146,7 +165,7 @@ class Index:
         if terms:
             listed = [(i, t) for i, group in enumerate(terms, len(phrases)) for t in group]
             number = reduce(lambda c, x: c.when(F.col("token") == x[1], x[0]), listed[1:], F.when(F.col("token") == listed[0][1], listed[0][0]))
-            own = self.postings.filter(F.col("token").isin(*[t for _, t in listed]) & (F.size(self.within("entries", [FACETS])) > 0))
+            own = self.each(F.col("token").isin(*[t for _, t in listed])).filter(F.size(self.within("entries", [FACETS])) > 0)
             # Years of a range are one condition, but each has its own rarity.
             by_facet = own.select("doc", number.alias("phrase"), "length", F.lit(1.0).alias("f"), "token")
             found = by_facet if found is None else found.withColumn("token", F.col("phrase").cast("string")).select("doc", "phrase", "length", "f", "token").unionByName(by_facet)

@@ -45,7 +45,7 @@ def search_phrase(spark, d):
 @query("SELECT token, count(*) AS places, count(DISTINCT id) AS docs FROM (SELECT id, unnest(b) AS token FROM ix) GROUP BY 1 HAVING count(DISTINCT id) >= 20".replace("SELECT token", _INDEX + " SELECT token", 1), (DELETIONS,))
 def search_posting_counts(spark, d):
     index = body_index(spark, d)
-    own = index.postings.select("token", F.size(index.within("entries", [1])).alias("n")).filter("n > 0")
+    own = index.each().select("token", F.size(index.within("entries", [1])).alias("n")).filter("n > 0")
     return own.groupBy("token").agg(F.sum("n").alias("places"), F.count("*").alias("docs")).filter("docs >= 20")
 
 
