@@ -5,6 +5,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +45,13 @@ def agreed_label(labels: Column) -> Column:
     return F.when(all_same(labels, "reason") & all_same(labels, "grade"), told)
 
 
-def chosen_rater(labels: Column, final: Column) -> Column:
-    """The one rater whose label equals a final one in reason, grade and confidence; null if there isn't exactly one."""
-    met = F.filter(labels, lambda x: x["reason"].eqNullSafe(final["reason"]) & x["grade"].eqNullSafe(final["grade"]) & x["confidence"].eqNullSafe(final["confidence"]))
+#: What a ruling takes over from one label as a whole.
+TAKEN_OVER = ("reason", "grade", "evidence_text", "evidence_source", "evidence_locator", "confidence")
+
+
+def chosen_rater(labels: Column, final: Column, fields: Sequence[str] = TAKEN_OVER) -> Column:
+    """The one rater whose label equals a final one in all ``fields``; null if there isn't exactly one."""
+    met = F.filter(labels, lambda x: reduce(and_, [x[f].eqNullSafe(final[f]) for f in fields]))
     return F.when(F.size(met) == 1, F.get(met, F.lit(0))["rater"])
 
 
@@ -116,9 +124,9 @@ def bounds(labels: Column) -> Column:
     return F.when(F.size(own) > 0, told)
 
 
-def not_meaningful(labels: Column, final: Column) -> Column:
+def not_meaningful(labels: Column, final: Column, fields: Sequence[str] = TAKEN_OVER) -> Column:
     """Whether people settled that a record is none: the chosen rater's tag, or everyone's."""
-    chosen = chosen_rater(labels, final)
+    chosen = chosen_rater(labels, final, fields)
     tagged = lambda x: has_tag(x["note"], FILTER_MISS)
     return F.when(final["method"] == "THIRD_PARTY", bind(chosen, lambda c: F.exists(labels, lambda x: (x["rater"] == c) & tagged(x)))).otherwise((F.size(labels) > 0) & F.forall(labels, tagged))
 

@@ -36,3 +36,13 @@ def partition_accuracy(pairs: DataFrame, labels: Sequence[str], sizes: Sequence[
     met = counts.join(F.broadcast(parts), F.lit(True))
     hit = (F.col("t") == F.col("g")) | (F.try_element_at("block", F.col("t")) == F.try_element_at("block", F.col("g")))
     return met.groupBy("blocks", "partition").agg(F.sum("n").alias("n"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("hits"))
+
+
+def supported_partitions(cases: DataFrame, labels: Sequence[str], sizes: Sequence[int], truth: str) -> DataFrame:
+    """(blocks, partition, supported) of each partition: whether every block has a label that some case has."""
+    spark = cases.sparkSession
+    rows = [(len(p), "|".join("+".join(b) for b in p), p) for p in set_partitions(labels, sizes)]
+    parts = spark.createDataFrame(rows, "blocks int, partition string, members array<array<string>>")
+    seen = cases.agg(F.collect_set(truth).alias("seen"))  # one row of labels
+    met = parts.join(F.broadcast(seen), F.lit(True))
+    return met.select("blocks", "partition", F.forall("members", lambda b: F.arrays_overlap(b, F.col("seen"))).alias("supported"))

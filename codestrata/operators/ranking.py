@@ -19,6 +19,20 @@ def hash_sample(df: DataFrame, keys: Sequence[str], ident: str, k: int, seed: st
     return df.withColumn("place", place).filter(F.col("place") <= k)
 
 
+def weighted_reservoir(df: DataFrame, keys: Sequence[str], ident: str, weight: Column, k: int, seed: str) -> DataFrame:
+    """At most k rows of each key, drawn without replacement by weight: ``df`` with ``place`` from 1, in the order they would be drawn.
+
+    Each row has an exponential number scaled by its weight, made of a hash of seed and ident, and the least ones stay:
+    reservoirs of parts merge by taking the least again, so tasks keep k rows a key and reruns agree.  Rows whose weight
+    is null, not positive or not finite are never drawn; equal idents count as one number, ties go by ident.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(ident).cast("string")))
+    unit = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
+    sound = (weight > 0) & ~F.isnan(weight) & (weight < float("inf"))
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("_e", ident))
+    return df.filter(sound).withColumn("_e", -F.log(unit) / weight).withColumn("place", place).filter(F.col("place") <= k).drop("_e")
+
+
 def largest_remainder(counts: DataFrame, key: str, weight: str, seats: int) -> DataFrame:
     """Seats in proportion to weights: whole shares first, the rest by the largest fraction, ties by key.
 

@@ -48,6 +48,8 @@ def lbl_disagreements(spark, d):
     return _merged(spark, d).filter(~(reason & grade)).select("record_id", F.when(~reason & ~grade, "both").when(~reason, "reason").otherwise("grade").alias("differs"))
 
 
+#: What labels have in this view.
+_RULED = ("reason", "grade", "confidence")
 _MEETS = "r{0} IS NOT DISTINCT FROM rf AND g{0} IS NOT DISTINCT FROM gf AND c{0} IS NOT DISTINCT FROM cf"
 _CHOSEN = f"CASE WHEN ({_MEETS.format('a')}) AND NOT ({_MEETS.format('b')}) THEN 'ann' WHEN ({_MEETS.format('b')}) AND NOT ({_MEETS.format('a')}) THEN 'bob' END"
 
@@ -55,7 +57,7 @@ _CHOSEN = f"CASE WHEN ({_MEETS.format('a')}) AND NOT ({_MEETS.format('b')}) THEN
 @query(f"SELECT record_id, {_CHOSEN} AS chosen, {_CHOSEN} IS NOT NULL AS valid FROM paired WHERE method = 'THIRD_PARTY'", _VIEWS)
 def lbl_rulings(spark, d):
     """Whose label a third rater took over; a ruling that mixes two labels, or is both's, is not valid."""
-    own = _merged(spark, d).filter("final.method = 'THIRD_PARTY'").withColumn("chosen", L.chosen_rater(F.col("labels"), F.col("final")))
+    own = _merged(spark, d).filter("final.method = 'THIRD_PARTY'").withColumn("chosen", L.chosen_rater(F.col("labels"), F.col("final"), _RULED))
     return own.select("record_id", "chosen", F.col("chosen").isNotNull().alias("valid"))
 
 
@@ -63,7 +65,7 @@ def lbl_rulings(spark, d):
 def lbl_adjudication_problems(spark, d):
     same = L.all_same(F.col("labels"), "reason") & L.all_same(F.col("labels"), "grade")
     how = F.col("final.method")
-    problem = F.when(how.isNull() & ~same, "open").when((how == "THIRD_PARTY") & L.chosen_rater(F.col("labels"), F.col("final")).isNull(), "no rater").when((how == "DISCUSSED") & same, "was agreed")
+    problem = F.when(how.isNull() & ~same, "open").when((how == "THIRD_PARTY") & L.chosen_rater(F.col("labels"), F.col("final"), _RULED).isNull(), "no rater").when((how == "DISCUSSED") & same, "was agreed")
     return _merged(spark, d).select(problem.alias("problem")).filter("problem IS NOT NULL").groupBy("problem").agg(F.count("*").alias("n"))
 
 
@@ -158,7 +160,7 @@ def lbl_recovery_bounds(spark, d):
 def lbl_not_meaningful(spark, d):
     """Records that people settled to be none: the tag counts as a whole word only."""
     own = _merged(spark, d).filter("final.method IS NOT NULL")
-    return own.select("record_id", F.coalesce(L.not_meaningful(F.col("labels"), F.col("final")), F.lit(False)).alias("gone"))
+    return own.select("record_id", F.coalesce(L.not_meaningful(F.col("labels"), F.col("final"), _RULED), F.lit(False)).alias("gone"))
 
 
 @query(
@@ -229,7 +231,7 @@ def agg_human_agreement(spark, d):
 @query(f"SELECT coalesce({_CHOSEN}, 'none') AS chosen, count(*) AS n FROM paired WHERE method = 'THIRD_PARTY' GROUP BY 1", _VIEWS)
 def agg_third_party(spark, d):
     own = _merged(spark, d).filter("final.method = 'THIRD_PARTY'")
-    return own.groupBy(F.coalesce(L.chosen_rater(F.col("labels"), F.col("final")), F.lit("none")).alias("chosen")).agg(F.count("*").alias("n"))
+    return own.groupBy(F.coalesce(L.chosen_rater(F.col("labels"), F.col("final"), _RULED), F.lit("none")).alias("chosen")).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT ra AS reason, count(*) AS n FROM paired WHERE {_SAME} GROUP BY 1", _VIEWS)
