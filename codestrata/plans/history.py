@@ -10,6 +10,7 @@ from codestrata.operators.mining import token_similarity
 from codestrata.operators.search import hashed_embeddings, normalised
 from codestrata.plans.registry import query
 from codestrata.sources.adapters import DELETIONS, deletions, table
+from codestrata.sources.files import work_folder
 
 
 def _logs(spark, d):
@@ -63,11 +64,20 @@ def str_urls(spark, d):
     return table(spark, d, "pages").select("page_id", F.lower(F.regexp_extract("url", "^(https?)", 1)).alias("scheme"), F.regexp_replace("url", "[?#].*$", "").alias("bare"))
 
 
-@query()
+_SHARD = 1_000_000
+
+
+@query(
+    f"""WITH RECURSIVE sized AS (SELECT source AS repo, doc_id, strlen(coalesce(text, '')) + 100 AS n_bytes FROM documents), cums AS (SELECT *, sum(n_bytes) OVER (PARTITION BY repo ORDER BY doc_id) AS c FROM sized),
+    cuts AS (SELECT repo, 0 AS shard, 0::HUGEINT AS base, max(c) AS total FROM cums GROUP BY repo UNION ALL SELECT r.repo, r.shard + 1, (SELECT max(c) FROM cums x WHERE x.repo = r.repo AND x.c <= r.base + {_SHARD}), r.total FROM cuts r WHERE (SELECT max(c) FROM cums x WHERE x.repo = r.repo AND x.c <= r.base + {_SHARD}) < r.total)
+    SELECT c.repo, c.doc_id, c.n_bytes, max(t.shard)::INT AS shard FROM cums c JOIN cuts t ON c.repo = t.repo AND t.base < c.c GROUP BY ALL"""
+)
 def export_size_shards(spark, d):
-    rows = deletions(spark, d)
-    own = rows.select("repo", "doc_id", F.octet_length(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})).alias("n_bytes"))
-    return size_bounded_shards(own, "repo", "doc_id", F.col("n_bytes"), 1_000_000)
+    """Records cut into shards of a megabyte by repository, in order of their numbers; a record has a hundred bytes besides its text."""
+    size = (F.octet_length(F.coalesce("text", F.lit(""))) + 100).cast("long")
+    work_folder(spark)
+    own = table(spark, d, "documents").select(F.col("source").alias("repo"), "doc_id", size.alias("n_bytes")).checkpoint()
+    return size_bounded_shards(own, "repo", "doc_id", F.col("n_bytes"), _SHARD)
 
 
 @query()

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codestrata.operators.mining import added_ranges, added_text, attributed_deletions, body_lines, extract_functions, find_moved, match_replacement, move_matches, normalise_body, parse_diff, parse_hunks, partition_moved, same_path_hunks, without_moved
+from codestrata.operators.mining import added_functions, added_ranges, added_text, attributed_deletions, body_lines, commit_moves, extract_functions, find_moved, match_replacement, move_matches, normalise_body, parse_diff, parse_hunks, partition_moved, same_path_hunks, without_moved
 from codestrata.plans.registry import query
 from codestrata.sources.adapters import table
-from codestrata.sources.code import DIFFS_SQL, FUNCTIONS_SQL, code_diffs, code_files
+from codestrata.sources.code import DIFFS_SQL, FUNCTIONS_SQL, code_diffs, code_files, code_moves
 
 
 _CUT = "array_to_string(list_slice(string_split(source, chr(10)), {}, {}), chr(10))"
@@ -143,3 +143,33 @@ def mov_sides(spark, d):
     deleted, matches = _moves(spark, d)
     moved, kept = find_moved(deleted.select("commit", "id"), matches), without_moved(deleted.select("commit", "id"), matches)
     return moved.select("commit", F.lit(1).alias("m")).union(kept.select("commit", F.lit(0))).groupBy("commit").agg(F.sum("m").alias("moved"), F.sum(1 - F.col("m")).alias("kept"))
+
+
+_SPAN = "array_to_string(list_slice(string_split(source, chr(10)), start_line, end_line), chr(10))"
+
+
+@query(
+    f"""SELECT doc_id, path, name, start_line, CASE WHEN k IN (0, 2) THEN 'NOISE_MOVE' ELSE 'KEPT' END AS filter_status,
+    CASE k WHEN 0 THEN CASE WHEN contains({_SPAN}, '# ') THEN 'moved/b.py' ELSE 'moved/a.py' END WHEN 2 THEN path END AS destination, CASE k WHEN 0 THEN start_line WHEN 2 THEN start_line + 50 END AS line, CASE WHEN k IN (0, 2) THEN 1.0 END::DOUBLE AS similarity FROM (SELECT *, doc_id % 4 AS k FROM functions)""",
+    (FUNCTIONS_SQL,),
+)
+def mine_commits(spark, d):
+    """From diffs and files to judged deletions: one diff of each commit serves lines, added ranges and hunks of a file.
+
+    Functions that moved say where to; of two like places the one that is written alike counts, and what is edited in
+    place has not moved.
+    """
+    own = code_moves(spark, d)
+    key = lambda path: F.concat_ws("\x1f", F.col("doc_id").cast("string"), path)
+    split = lambda df: df.withColumn("commit", F.split("path", "\x1f")[0]).withColumn("path", F.split("path", "\x1f")[1])
+    functions = lambda rows: rows.select("path", F.explode(extract_functions(F.col("source"))).alias("f")).select("path", "f.name", "f.start_line", "f.end_line", "f.body")
+    old = functions(own.select(key(F.col("path")).alias("path"), F.col("old").alias("source")))
+    new = functions(own.select(key(F.col("new_path")).alias("path"), F.col("new").alias("source")).union(own.filter("more IS NOT NULL").select(key(F.lit("moved/b.py")), "more")))
+    lines = own.select("doc_id", F.explode(parse_diff(F.col("diff"))).alias("x")).filter("x.kind = 'deleted'").select(key(F.col("x.old_path")).alias("path"), "x.line", "x.text")
+    hunks = own.select("doc_id", parse_hunks(F.col("diff")).alias("hunks"))
+    ranges = hunks.select("doc_id", F.explode(added_ranges(F.col("hunks"))).alias("r")).select(key(F.col("r.path")).alias("path"), "r.low", "r.high")
+    kept_path = hunks.select(F.col("doc_id").cast("string").alias("commit"), F.explode(same_path_hunks(F.col("hunks"))).alias("h")).groupBy("commit", F.col("h.new_path").alias("path")).agg(F.collect_list("h").alias("hunks"))
+    gone = split(attributed_deletions(old, lines)).withColumnRenamed("deleted_body", "body")
+    judged = commit_moves(gone, split(added_functions(new, ranges)), kept_path)
+    to = F.col("filter_evidence.destination")
+    return judged.select(F.col("commit").cast("long").alias("doc_id"), "path", "name", "start_line", "filter_status", to["path"].alias("destination"), to["start_line"].alias("line"), F.col("filter_evidence.similarity").alias("similarity"))
