@@ -39,9 +39,9 @@ def signed_axes(x: np.ndarray, table: int, number: int, seed: int, axes: int) ->
 
 
 def shape(dim: int, rows: int, target: int) -> list[int]:
-    """Signed axes of each hash of a table, so that about ``target`` rows share a bucket: their product follows the rows."""
+    """Signed axes of each hash of a table: all of them for the first, more hashes until ``target`` rows or fewer share a bucket."""
     whole = 2 << max(0, (dim - 1).bit_length())
-    left, out = max(1, rows // target), []
+    left, out = -(-max(1, rows // target) // whole), [whole]
     while left > 1 and len(out) < 4:
         out.append(min(whole, 1 << (left - 1).bit_length()))
         left = -(-left // out[-1])
@@ -207,8 +207,7 @@ def tuned(vectors: DataFrame, queries: DataFrame, dim: int, axes: list[int], *,
     truth = told.dropDuplicates(["i", "v"]).withColumn("place", place).filter(F.col("place") <= k).select("i", "x").collect()
     if not truth:
         return 1
-    most = int(np.prod([min(a, 64) for a in axes]))
-    most = min(most, 512)
+    most = min(int(np.prod(axes)), 512)
     need = np.full(len(truth), most)
     other, of = unit(np.array([r.x for r in truth], float)), np.array([r.i for r in truth])
     for t in range(tables):
@@ -223,8 +222,8 @@ def search(
 ) -> DataFrame:
     """The k nearest other rows found for each row for which ``asked`` holds, by Euclidean distance.
 
-    Unit vectors are turned by fast Hadamard pseudo-rotations and assigned to the nearest signed axis; the number of
-    hashes and of axes follows the rows, so that about ``target`` of them share a bucket at any size.  Each row lies in
+    Unit vectors are turned by fast Hadamard pseudo-rotations and assigned to the nearest of all signed axes; the number
+    of hashes follows the rows, so that at most about ``target`` of them share a bucket at any size.  Each row lies in
     one bucket of each table, a query looks into its ``probes`` nearest ones.  Unless given, that number is the least
     with which a sample of at most ``sample`` queries meets ``recall`` of its true neighbours: data that cluster cost few
     probes, and the share of rows a query meets falls with the table's size.
@@ -249,23 +248,23 @@ def search(
     for dim, (n, m) in sizes.items():
         axes = shape(dim, n, target)
         own = numbers.filter(F.col("dim") == dim)
-        few = 1 if not axes or not m else probes or tuned(own, own.filter("asked"), dim, axes, k=k, tables=tables, asked=sample, recall=recall, seed=seed)
-        plans[dim] = (axes, few, tables if axes else 1)
+        few = 1 if not m else probes or tuned(own, own.filter("asked"), dim, axes, k=k, tables=tables, asked=sample, recall=recall, seed=seed)
+        plans[dim] = (axes, few)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = batch.column("dim").to_numpy()
             for d in np.unique(size):
                 part = batch.take(pa.array(np.flatnonzero(size == d)))
-                axes, few, many = plans[int(d)]
+                axes, few = plans[int(d)]
                 x = _matrix(part.column("vector"))
                 codes, step, rest = sketches(x)
                 x = unit(x)
                 asks = part.column("asked").to_numpy(zero_copy_only=False)
-                homes = np.stack([(np.int64(t) << 48) + buckets(x, t, axes, 1, seed)[:, 0] for t in range(many)], axis=1)
+                homes = np.stack([(np.int64(t) << 48) + buckets(x, t, axes, 1, seed)[:, 0] for t in range(tables)], axis=1)
                 visits: list = [None] * len(x)
                 if asks.any():
-                    found = np.concatenate([(np.int64(t) << 48) + buckets(x[asks], t, axes, few, seed) for t in range(many)], axis=1)
+                    found = np.concatenate([(np.int64(t) << 48) + buckets(x[asks], t, axes, few, seed) for t in range(tables)], axis=1)
                     for i, v in zip(np.flatnonzero(asks), found, strict=True):
                         visits[i] = v.tolist()
                 arrays = [part.column("id"), part.column("dim"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(step), pa.array(rest), pa.array(homes.tolist(), pa.list_(pa.int64())), pa.array(visits, pa.list_(pa.int64()))]

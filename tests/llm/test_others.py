@@ -48,6 +48,40 @@ def test_neighbours(spark):
     assert {r.query_id for r in op1_neighbours(spark, DATA).collect()} == {i for i in vectors if i % 100 == 0}
 
 
+def visited(vectors, asked, target, probes, tables=10, seed=11):
+    """The share of rows that each query meets in the tables."""
+    ids = sorted(vectors)
+    x = neighbours.unit(np.array([vectors[i] for i in ids], float))
+    axes, own = neighbours.shape(x.shape[1], len(x), target), np.isin(ids, asked)
+    met = np.zeros((own.sum(), len(x)), bool)
+    for t in range(tables):
+        homes, seen = neighbours.buckets(x, t, axes, 1, seed)[:, 0], neighbours.buckets(x[own], t, axes, probes, seed)
+        met |= (seen[:, :, None] == homes).any(axis=1)
+    return met.mean()
+
+
+@pytest.mark.parametrize(("rows", "target"), [(5_000, 512), (5_000, 8), (20_000, 16)])
+def test_hashes_and_probes_against_brute_force(spark, rows, target):
+    """Clustered vectors, one hash of all signed axes or two: few rows are visited, and nine of ten neighbours are found."""
+    rng = np.random.default_rng(rows + target)
+    x = rng.normal(size=(rows // 20, 32))[rng.integers(0, rows // 20, rows)] + 0.2 * rng.normal(size=(rows, 32))
+    assert len(neighbours.shape(32, rows, target)) == (1 if target == 512 else 2)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found = {}
+    for r in search(df, F.col("vec_id") % 100 == 0, target=target).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    asked = np.arange(0, rows, 100)
+    near = [np.argsort(np.where(np.arange(rows) == q, np.inf, ((x - x[q]) ** 2).sum(axis=1)), kind="stable")[:10] for q in asked]
+    assert np.mean([len(set(n.tolist()) & set(found[q])) for q, n in zip(asked.tolist(), near, strict=True)]) >= 9
+    # One hash of 64 axes in each of ten tables, or two.
+    assert visited(dict(enumerate(x.tolist())), asked, target, 1) <= (0.2 if target == 512 else 0.1)
+
+
+def test_shapes():
+    assert [neighbours.shape(64, n, 512) for n in (0, 500, 60_000, 500_000, 10**9)] == [[128], [128], [128], [128, 8], [128, 128, 128]]
+    assert neighbours.shape(3, 10, 512) == [8] and neighbours.shape(1, 10, 512) == [2]
+
+
 def test_neighbours_edges(spark):
     nan, inf = float("nan"), float("inf")
     data = [(0, [1.0, 0.0, 0.0], "x"), (1, [1.0, 0.0, 0.0], "x"), (2, [1.0, 0.1, 0.0], "x"), (3, [0.0, 0.0, 0.0], "x"), (4, [nan, 1.0, 0.0], "x"), (5, [None, 1.0, 0.0], "x"), (6, None, "x"), (7, [inf, 0.0, 0.0], "x"), (8, [-5.0, 3.0, 1.0], None), (8, [-5.0, 3.0, 1.0], None), (9, [1.0, 2.0], "x"), (10, [], "x"), (None, [1.0, 1.0, 1.0], "x")]
