@@ -10,6 +10,7 @@ from operator import or_
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,13 +56,14 @@ def index_files(df: DataFrame, columns: Sequence[str]) -> int:
 
 
 def _postings(rows: int = 4096) -> Callable:
-    """A task's part of an index: for each token of a block of rows the documents that have it, their lengths and places.
+    """A task's part of an index: for each token of a block of rows those that have it, by their numbers, with their places.
 
-    ``entries`` has a document's places (column * PLACES + place) up to its number in ``ends``: flat arrays keep what is
-    dealt small.
+    ``entries`` has a row's places (column * PLACES + place) up to its number in ``ends``.  A row without a token tells the
+    documents of a block and their lengths: flat arrays of small numbers keep what is dealt small.
     """
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
             for start in range(0, len(batch), rows):
                 doc, lists = (batch.column(i).slice(start, rows) for i in range(2))
@@ -79,14 +81,15 @@ def _postings(rows: int = 4096) -> Callable:
                 heads = np.flatnonzero(new_token | np.r_[True, row[1:] != row[:-1]]) if len(code) else np.zeros(0, np.int64)
                 tokens_at = np.flatnonzero(new_token[heads])  # of postings
                 bounds = np.r_[tokens_at, len(heads)].astype(np.int32)
-                first = np.repeat(heads[tokens_at], np.diff(bounds))
-                ends = (np.r_[heads[1:], len(code)] - first).astype(np.int32)
+                ends = (np.r_[heads[1:], len(code)] - np.repeat(heads[tokens_at], np.diff(bounds))).astype(np.int32)
+                n = len(tokens_at)
                 listed = lambda at, values: pa.ListArray.from_arrays(pa.array(np.asarray(at, np.int32)), values)
-                docs = doc.take(pa.array(row[heads]))
-                yield pa.RecordBatch.from_arrays(
-                    [coded.dictionary.take(pa.array(code[heads[tokens_at]])), docs.take(pa.array(tokens_at)), listed(bounds, docs), listed(bounds, pa.array(length[row[heads]])), listed(bounds, pa.array(ends)), listed(np.r_[heads[tokens_at], len(code)], pa.array(entry))],
-                    ["token", "first", "docs", "lengths", "ends", "entries"],
-                )
+                found = [coded.dictionary.take(pa.array(code[heads[tokens_at]])), pa.array(np.full(n, block)), listed(bounds, pa.array(row[heads].astype(np.int16))), listed(bounds, pa.array(ends)), listed(np.r_[heads[tokens_at], len(code)], pa.array(entry))]
+                names = ["token", "block", "rows", "ends", "entries", "docs", "lengths"]
+                none = lambda kind: pa.nulls(n, pa.list_(kind))
+                yield pa.RecordBatch.from_arrays([*found, none(doc.type), none(pa.int32())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([block]), *[pa.nulls(1, x.type) for x in found[2:]], listed([0, len(doc)], doc), listed([0, len(doc)], pa.array(length))], names)
+                block += 1
 
     return group
 
@@ -94,19 +97,19 @@ def _postings(rows: int = 4096) -> Callable:
 def write_index(df: DataFrame, folder: str, *, key: str, columns: Sequence[str], facets: Sequence[str] = (), files: int | None = None) -> None:
     """Postings of the columns (weights go by their place) and of facet tokens, and a row of totals.
 
-    A row has a token's documents of one block, with their places and lengths, so a query joins nothing and a token is
-    dealt once a block.  Rows are ranged by token and document and lie sorted in small row groups and pages with their
-    bounds, so a token, or a prefix, is found by skipping, and a frequent token is spread over several files.
-    Everything is built aside and then put in place as a whole.
+    A row has a token's documents of one block and their places, so a token is dealt once a block.  Rows are ranged by
+    token and block and lie sorted in small row groups and pages with their bounds, so a token, or a prefix, is found by
+    skipping, and a frequent token is spread over several files.  Blocks' own rows come first.  Everything is built aside
+    and then put in place as a whole.
     """
     told = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.concat(F.lit("year" if f == "year" else f"{f}="), F.col(f).cast("string"))) for f in facets])) if facets else F.array().cast("array<string>")
     none = [F.array().cast("array<string>")] * (FACETS - len(columns))
     each = df.select(F.col(key).alias("doc"), F.array(*[tokens(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns], *none, told).alias("t"))
     kind = dict(each.dtypes)["doc"]
-    postings = each.mapInArrow(_postings(), f"token string, first {kind}, docs array<{kind}>, lengths array<int>, ends array<int>, entries array<int>")
+    postings = each.mapInArrow(_postings(), f"token string, block long, rows array<smallint>, ends array<int>, entries array<int>, docs array<{kind}>, lengths array<int>")
     aside = f"{folder}.{uuid.uuid4().hex}"
-    dealt = postings.repartitionByRange(files or index_files(df, columns), "token", "first").sortWithinPartitions("token", "first")
-    dealt.write.option("parquet.block.size", GROUP_BYTES).parquet(f"{aside}/postings")
+    dealt = postings.repartitionByRange(files or index_files(df, columns), "token", "block").sortWithinPartitions("token", "block")
+    dealt.write.option("parquet.block.size", GROUP_BYTES).option("compression", "zstd").parquet(f"{aside}/postings")
     each.agg(F.count("*").alias("n"), F.avg(F.aggregate("t", F.lit(0), lambda n, x: n + F.size(x))).alias("mean")).write.parquet(f"{aside}/totals")
     publish(df.sparkSession, aside, folder)
 
@@ -143,11 +146,16 @@ class Index:
         return starts.filter("votes = size").withColumn("w", F.get(table, F.col("column").cast("int"))).groupBy("doc", "phrase").agg(F.first("length").alias("length"), F.sum("w").alias("f"))
 
     def each(self, condition: Column | None = None) -> DataFrame:
-        """(token, doc, length, entries) of the tokens that meet a condition: a row for each document."""
-        own = self.postings if condition is None else self.postings.filter(condition)
+        """(token, doc, length, entries) of the tokens that meet a condition: a row for each document.
+
+        A block's documents, some thousand, are joined to what was found in it.
+        """
+        own = self.postings.filter(F.col("token") != "") if condition is None else self.postings.filter(condition)
+        blocks = self.postings.filter(F.col("token") == "").select("block", "docs", "lengths")
+        met = own.select("token", "block", "rows", "ends", "entries").join(blocks, "block")
         begin = lambda i: F.when(i == 0, 0).otherwise(F.get("ends", i - 1))
-        posting = F.transform("docs", lambda d, i: F.struct(d.alias("doc"), F.get("lengths", i).alias("length"), F.slice("entries", begin(i) + 1, F.get("ends", i) - begin(i)).alias("entries")))
-        return own.select("token", F.explode(posting).alias("x")).select("token", "x.doc", "x.length", "x.entries")
+        posting = F.transform("rows", lambda r, i: F.struct(F.get("docs", r.cast("int")).alias("doc"), F.get("lengths", r.cast("int")).alias("length"), F.slice("entries", begin(i) + 1, F.get("ends", i) - begin(i)).alias("entries")))
+        return met.select("token", F.explode(posting).alias("x")).select("token", "x.doc", "x.length", "x.entries")
 
     @staticmethod
     def within(entries: str, columns: Sequence[int] | None) -> Column:
