@@ -9,15 +9,14 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import pieces
+from codestrata.llm.common import cut, pieces
 
 #: Samples in a fingerprint and hexadecimal digits for each.
 SAMPLES, DIGITS = 64, 4
-#: Ranges by rows that are looked at for each range by bytes.
-FINE = 8
 #: Characters of text worked on at once: bounds a worker's memory.
 AT_ONCE = 2_000_000
 
@@ -87,28 +86,12 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def joined_limits(limits: list[int], sizes: list[int], n: int) -> list[int]:
-    """Of the limits between ranges of some sizes, those that cut them into at most n ranges of about equal size."""
-    share, held, out = max(1.0, sum(sizes) / n), 0.0, []
-    for limit, size in zip(limits, sizes, strict=False):
-        held += size
-        if held >= share * (len(out) + 1) and len(out) < n - 1:
-            out.append(limit)
-    return out
-
-
-def own_partitions(spark, n: int) -> list[int]:
-    """For each of n hash partitions a number that falls into it."""
-    numbers = spark.range(0, 40 * n + 400, 1, 1).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p"))
-    found = {r.p: r.id for r in numbers.groupBy("p").agg(F.min("id").alias("id")).toLocalIterator()}
-    return [found.get(p, p) for p in range(n)]
-
-
 def fingerprint_pairs(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", piece_bytes: int = 8 << 20) -> DataFrame:
     """Fingerprint each text and its edit, whose end comes from the next text in descending order of id.
 
-    Rows are dealt to ranges of ids at quantiles, and the first row of each range goes to the range before it too, so
-    a row's successor is always at hand: texts are shuffled once, and no task sees more than a range.
+    Rows are dealt by ranges of ids and sorted, so all successors but those of the ranges' last rows are at hand, and a
+    task streams through its range.  The first and last text of each range are kept beside the results and meet those of
+    the next range at the end: texts are shuffled once, and the driver knows the ranges' numbers alone.
 
     Nulls: a null text is empty; rows with a null id come last, and the first row follows the last.  Rows with equal
     ids go by text, so reruns agree; equal rows follow each other.  A single row follows itself; an empty table
@@ -119,29 +102,9 @@ def fingerprint_pairs(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     least = -(2**63)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = pieces(df, piece_bytes, text_col)
-    # Limits of several times as many fine ranges by rows; those are joined to n ranges by their bytes.
-    fine = FINE * n
-    limits = sorted(set(rows.agg(F.percentile_approx("k", [i / fine for i in range(1, fine)], 20 * n)).first()[0] or []))
-    spark = df.sparkSession
-    sizes = rows.select(range_of(F.col("k"), limits).alias("r"), "k", F.octet_length("text").alias("b")).groupBy("r").agg(F.sum("b").alias("b"))
-    by_bytes = dict(map(tuple, sizes.toLocalIterator()))  # one row for each fine range: their number is the parameter FINE * n
-    limits = joined_limits(limits, [by_bytes.get(r, 0) for r in range(len(limits) + 1)], n)
-    by_range = rows.select("k", range_of(F.col("k"), limits).alias("r"))
-    # One row for each range: their number is the parameter n.
-    heads = sorted(((h.r, h.k) for h in by_range.groupBy("r").agg(F.max("k").alias("k")).toLocalIterator()), reverse=True)
+    # Many rows of one id, or without one, go by the beginnings of their texts.
+    dealt = rows.withColumn("t", F.substring("text", 1, 64)).repartitionByRange(n, F.desc("k"), F.desc("t")).sortWithinPartitions(F.desc("k"), F.desc("text"))
     schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    if not heads:
-        return spark.createDataFrame([], schema).withColumnRenamed("id", id_col)
-    also = spark.createDataFrame([(k, heads[i - 1][0]) for i, (_, k) in enumerate(heads)], "head long, before int")
-    own = F.struct(range_of(F.col("k"), limits).alias("r"), F.lit(0).alias("extra"))
-    dealt = (
-        rows.join(F.broadcast(also), rows["k"] == also["head"], "left")
-        .withColumn("to", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("r"), F.lit(1).alias("extra"))))))
-        .select("id", "k", "text", "to.r", "to.extra")
-    )
-    # Ranges are dealt by numbers whose hash gives each a partition of its own.
-    to = F.get(F.from_json(F.lit(str(own_partitions(spark, n))), "array<bigint>"), F.col("r"))
-    ordered = dealt.withColumn("p", to).repartition(n, "p").sortWithinPartitions("r", "extra", F.desc("k"), F.desc("text"))
 
     def work(texts: list[str], ids: list) -> pa.RecordBatch:
         """texts has one more than ids: the last one only follows."""
@@ -158,36 +121,39 @@ def fingerprint_pairs(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
             names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 
+    border = ["part", "first", "last"]
+
+    def bordered(batch: pa.RecordBatch, part: int | None = None, first: str | None = None, last: str | None = None) -> pa.RecordBatch:
+        more = [pa.array([x] * len(batch), kind) for x, kind in ((part, pa.int32()), (first, pa.string()), (last, pa.string()))]
+        return pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *border])
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, done = None, False
         texts: list[str] = []
         ids: list = []
-        size = 0
+        size, first = 0, None
         for batch in batches:
-            for i, text, r, extra in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "r", "extra")), strict=True):
-                if r != at:
-                    at, done, texts, ids, size = r, False, [], [], 0
-                if done:
-                    continue
-                texts.append(text)
-                size += len(text)
-                if extra:
-                    done = True
-                else:
-                    ids.append(i)
-                if ids and (done or size > AT_ONCE and len(texts) > 1):
-                    yield work(texts, ids if done else ids[:-1])
+            for i, text in zip(batch.column("id"), batch.column("text"), strict=True):
+                first = text.as_py() if first is None else first
+                texts.append(text.as_py())
+                ids.append(i.as_py())
+                size += len(texts[-1])
+                if size > AT_ONCE and len(texts) > 1:
+                    yield bordered(work(texts, ids[:-1]))
                     texts, ids, size = texts[-1:], ids[-1:], len(texts[-1])
+        if len(texts) > 1:
+            yield bordered(work(texts, ids[:-1]))
+        if texts:
+            yield bordered(work(texts[-1:] * 2, ids[-1:]), TaskContext.get().partitionId(), first, texts[-1])
 
-    return ordered.select("id", "text", "r", "extra").mapInArrow(walk, schema).withColumnRenamed("id", id_col)
-
-
-def range_of(column, limits: list[int]):
-    """Number of limits at or below a value, found in two steps of about sqrt(n) comparisons."""
-    if not limits:
-        return F.lit(0)
-    step = int(len(limits) ** 0.5) + 1
-    array = lambda values: F.from_json(F.lit(str(values)), "array<bigint>")
-    block = F.size(F.filter(array(limits[::step]), lambda s: s <= column)) - 1
-    inside = F.size(F.filter(F.slice(array(limits), block * step + 1, F.lit(step)), lambda s: s <= column))
-    return F.when(block < 0, 0).otherwise(block * step + inside).cast("int")
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text, following in zip(*(batch.column(c).to_pylist() for c in ("id", "last", "following")), strict=True):
+                yield work([text, following], [i])
+
+    found = cut(dealt.select("id", "text").mapInArrow(walk, f"{schema}, part int, first string, last string"))
+    ends = found.filter("part IS NOT NULL")
+    parts = sorted(r.part for r in ends.select("part").toLocalIterator())  # one number for each range
+    links = df.sparkSession.createDataFrame([(p, parts[(i + 1) % len(parts)]) for i, p in enumerate(parts)], "part int, next int")
+    following = ends.select(F.col("part").alias("next"), F.col("first").alias("following"))
+    closed = ends.select("part", "id", "last").join(links, "part").join(following, "next").select("id", "last", "following").mapInArrow(close, schema)
+    return found.filter("part IS NULL").drop(*border).unionByName(closed).withColumnRenamed("id", id_col)
