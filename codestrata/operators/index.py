@@ -55,18 +55,23 @@ def index_files(df: DataFrame, columns: Sequence[str]) -> int:
     return max(1, -(-size // FILE_BYTES))
 
 
-def _postings(rows: int = 4096) -> Callable:
+def _postings(rows: int = 4096, most: int = 2_000_000) -> Callable:
     """A task's part of an index: for each token of a block of rows those that have it, by their numbers, with their places.
 
     ``entries`` has a row's places (column * PLACES + place) up to its number in ``ends``.  A row without a token tells the
-    documents of a block and their lengths: flat arrays of small numbers keep what is dealt small.
+    documents of a block and their lengths: flat arrays of small numbers keep what is dealt small.  A block ends after
+    ``rows`` rows or before ``most`` tokens (a longer row is one by itself), which bounds a worker's memory.
     """
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for start in range(0, len(batch), rows):
-                doc, lists = (batch.column(i).slice(start, rows) for i in range(2))
+            whole = batch.column(1)
+            before = whole.flatten().offsets.to_numpy()[np.r_[0, np.cumsum(whole.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)]
+            stop = 0
+            while stop < len(batch):
+                start, stop = stop, min(stop + rows, max(stop + 1, int(np.searchsorted(before, before[stop] + most, "right")) - 1))
+                doc, lists = (batch.column(i).slice(start, stop - start) for i in range(2))
                 columns, words = lists.flatten(), lists.flatten().flatten()
                 per_row, per_list = (x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (lists, columns))
                 column = np.arange(len(columns)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
