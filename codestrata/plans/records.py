@@ -14,7 +14,7 @@ from codestrata.plans.models import _CODES, _NAMES
 from codestrata.plans.registry import query
 from codestrata.sources.adapters import CASES, DELETIONS, REASONS, cases, table
 from codestrata.sources.domain import COMMITS_SQL, RATINGS_SQL, commits, ratings
-from codestrata.sources.files import work_folder
+from codestrata.sources.files import numbered_objects, work_folder
 
 _LATE = "coalesce(source, '') IN ('src1', 'src3') AND doc_id % 2 = 0"
 
@@ -115,3 +115,14 @@ def set_disjoint(spark, d):
     one, other = labels.filter("quality = 1 AND toxic = 0"), labels.filter("toxic = 1")
     assert_disjoint(one, other, "doc_id", "samples")
     return labels.agg(F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("one"), F.count_if(F.col("toxic") == 1).alias("other"))
+
+
+@query("SELECT coalesce(source, '') AS repo, 2 * row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) - 1 AS line, doc_id, md5(coalesce(text, '')) AS body FROM documents")
+def src_numbered(spark, d):
+    """Records of a file for each source with their line numbers; every other line is blank."""
+    folder = f"{work_folder(spark)}/numbered-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("repo"), "doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    line = F.to_json(F.struct("doc_id", "body", "repo"))
+    docs.repartition("repo").sortWithinPartitions("repo", "doc_id").select(F.concat(line, F.lit("\n")).alias("value"), F.concat(F.lit("r"), F.md5("repo")).alias("_part")).write.partitionBy("_part").text(folder)
+    found = numbered_objects(spark, f"{folder}/*", "doc_id long, body string, repo string")
+    return found.select("repo", "line", "doc_id", F.md5("body").alias("body"))

@@ -8,6 +8,7 @@ import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -81,6 +82,28 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, *, stri
     return (reader.option("pathGlobFilter", glob) if glob else reader).json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of the lines of text files, numbered from 1 within each file, however files are split.
+
+    A split tells how many lines it has, and a line's number is its place in its split after all splits before.
+    """
+    meta = F.col("_metadata")
+    rows = spark.read.option("lineSep", "\n").text(path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"))
+    splits = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = splits.select("file", "block", "first", before.alias("before"))
+    return rows.join(placed, ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+
+
+def numbered_objects(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """(file, line, and the schema's columns) of JSON lines; blank lines are passed by, a line that is no object is an error that names it."""
+    lines = numbered_lines(spark, path).filter(F.trim("value") != "")
+    place = F.concat(F.col("file"), F.lit(":"), F.col("line").cast("string"), F.lit(" is no object"))
+    read = F.from_json("value", schema)
+    sound = F.rlike("value", F.lit(r"^\s*\{")) & F.try_parse_json("value").isNotNull()
+    return lines.select("file", "line", F.when(sound, read).otherwise(F.raise_error(place)).alias("_x")).select("file", "line", "_x.*")
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, required: Sequence[str] = (), unique: str | None = None) -> DataFrame:
     """CSV with a header; a null in a required column is an error, and so is a repeated key."""
     df = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)

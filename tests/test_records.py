@@ -139,3 +139,21 @@ def test_every_block_needs_a_case(spark):
     df = spark.createDataFrame([("A",), ("C",), ("U",)], "t string")
     found = {r.partition: r.supported for r in supported_partitions(df, "ABCD", (2, 3), "t").collect()}
     assert found == {"|".join("+".join(b) for b in p): all({"A", "C"} & set(b) for b in p) for p in set_partitions("ABCD", (2, 3))}
+
+
+def test_lines_are_numbered_however_files_are_split(spark, tmp_path):
+    from codestrata.sources import files
+
+    for name, n in (("a.jsonl", 500), ("b.jsonl", 1), ("c.jsonl", 0), ("d.jsonl", 77)):
+        (tmp_path / name).write_text("".join(f'{{"x": "{name} {i} \u2028"}}\n' + "\n" * (i % 3 == 0) for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        lines = [(os.path.basename(r.file), r.line, r.value) for r in files.numbered_lines(spark, str(tmp_path)).collect()]
+        wanted = [(x.name, i, t) for x in tmp_path.iterdir() for i, t in enumerate(x.read_text().split("\n")[:-1], 1)]
+        assert sorted(lines) == sorted(wanted)
+        assert files.numbered_objects(spark, str(tmp_path), "x string").count() == 578
+        (tmp_path / "e.jsonl").write_text('{"x": 1}\n\n[1]\n')
+        with pytest.raises(Exception, match="e.jsonl:3 is no object"):
+            files.numbered_objects(spark, str(tmp_path), "x string").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
