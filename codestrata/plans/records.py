@@ -123,6 +123,8 @@ def src_numbered(spark, d):
     folder = f"{work_folder(spark)}/numbered-{uuid.uuid4().hex}"
     docs = table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("repo"), "doc_id", F.coalesce("text", F.lit("")).alias("body"))
     line = F.to_json(F.struct("doc_id", "body", "repo"))
-    docs.repartition("repo").sortWithinPartitions("repo", "doc_id").select(F.concat(line, F.lit("\n")).alias("value"), F.concat(F.lit("r"), F.md5("repo")).alias("_part")).write.partitionBy("_part").text(folder)
+    own = docs.select("doc_id", F.concat(line, F.lit("\n")).alias("value"), F.concat(F.lit("r"), F.md5("repo")).alias("_part"))
+    # Sorted by the writer's own partition first: else the writer sorts anew, by that alone, and rows lose their order.
+    own.repartition("_part").sortWithinPartitions("_part", "doc_id").select("value", "_part").write.partitionBy("_part").text(folder)
     found = numbered_objects(spark, f"{folder}/*", "doc_id long, body string, repo string")
     return found.select("repo", "line", "doc_id", F.md5("body").alias("body"))

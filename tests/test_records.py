@@ -13,6 +13,7 @@ from codestrata.operators import labels as L
 from codestrata.operators import records, vectors
 from codestrata.operators.partitions import set_partitions, supported_partitions
 from codestrata.operators.ranking import weighted_reservoir
+from codestrata.plans.records import src_numbered
 
 ROWS = [(1, "a/x", "the cat"), (2, "a/x", None), (3, "b/y", "a dog"), (4, None, "no name"), (5, "b/y", "a dog")]
 KIND = "doc_id long, repo string, text string"
@@ -157,3 +158,12 @@ def test_lines_are_numbered_however_files_are_split(spark, tmp_path):
             files.numbered_objects(spark, str(tmp_path), "x string").collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_numbered_records_lie_by_number_whatever_the_tables_order(spark, tmp_path):
+    """The writer must not sort anew: rows come from several files, the greatest numbers first."""
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), (F.col("id") % 3).cast("string"))).alias("source"))
+    docs.repartitionByRange(6, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id")).write.parquet(f"{tmp_path}/documents.parquet")
+    found = src_numbered(spark, str(tmp_path)).collect()
+    assert len(found) == 600
+    assert all(r.line == 2 * (r.doc_id // 3) + 1 and r.repo == (f"s{r.doc_id % 3}" if r.doc_id % 3 else "") for r in found)
