@@ -82,3 +82,17 @@ def test_tables_that_change_get_a_new_index(spark, tmp_path):
     spark.read.parquet(f"{DATA}/documents.parquet").limit(50).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     assert version_of(spark, f"{tmp_path}/documents.parquet") != before
     assert body_index(spark, str(tmp_path)).n == 50
+
+
+def test_like_documents_have_the_very_same_score(spark, tmp_path, monkeypatch):
+    """Parts are added phrase by phrase: sums in the order of arrival differ in the last bit and turn ties around."""
+    text = F.concat_ws(" ", *[F.repeat(F.lit(f"{w} "), (F.floor(F.col("id") / 2) % n + 1).cast("int")) for w, n in (("alpha", 2), ("beta", 3), ("gamma", 5), ("delta", 7))])
+    df = spark.range(60).select(F.col("id").alias("doc_id"), text.alias("body"), F.lit("PARTIAL").alias("kind"))
+    other = spark.range(60, 300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("zeta"), *[F.when(F.col("id") % n == 0, w) for n, w in ((7, "alpha"), (5, "beta"), (11, "gamma"), (3, "delta"))]).alias("body"), F.lit("FULL").alias("kind"))
+    ix.write_index(df.union(other), f"{tmp_path}/i", key="doc_id", columns=["body"], facets=["kind"])
+    matches = ix.Index.matches
+    order = F.when(F.col("doc") % 2 == 0, F.col("phrase")).otherwise(-F.col("phrase"))
+    monkeypatch.setattr(ix.Index, "matches", lambda self, *a: matches(self, *a).repartitionByRange(1, order).sortWithinPartitions(order))
+    found = ix.Index(spark, f"{tmp_path}/i").scores("alpha beta gamma delta", facets=(("kind", "PARTIAL"),)).collect()
+    score = dict((r.doc, r.score) for r in found)
+    assert len(score) == 60 and all(score[i] == score[i + 1] for i in range(0, 60, 2))
