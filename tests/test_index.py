@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codestrata.operators import index as ix
-from codestrata.plans.index import body_index
+from codestrata.plans.index import body_index, index_snippets
 from codestrata.sources.files import publish, version_of
 
 DATA = "/root/testdata/sf0.001"
@@ -96,3 +96,25 @@ def test_like_documents_have_the_very_same_score(spark, tmp_path, monkeypatch):
     found = ix.Index(spark, f"{tmp_path}/i").scores("alpha beta gamma delta", facets=(("kind", "PARTIAL"),)).collect()
     score = dict((r.doc, r.score) for r in found)
     assert len(score) == 60 and all(score[i] == score[i + 1] for i in range(0, 60, 2))
+
+
+def test_texts_are_cut_to_tokens_once(spark, tmp_path):
+    """Ranges and totals come from what was written, so each row is cut by one task once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        seen.add(1)
+        return text
+
+    df = rows(spark).withColumn("title", F.udf(count, "string")("title"))
+    ix.write_index(df, f"{tmp_path}/i", key="doc_id", columns=["body", "title"], files=3)
+    assert seen.value == 400
+    i = ix.Index(spark, f"{tmp_path}/i")
+    assert i.n == 400 and i.mean == (400 * 4 + 134 * 2) / 400
+    ix.write_index(rows(spark).limit(0), f"{tmp_path}/none", key="doc_id", columns=["body"])
+    assert ix.Index(spark, f"{tmp_path}/none").n == 0
+
+
+def test_snippets_are_made_for_the_page_only(spark):
+    plan = index_snippets(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert r"(\S+)" in plan[: plan.index("Join")] and r"(\S+)" not in plan[plan.index("Join") :]
