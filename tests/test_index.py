@@ -6,6 +6,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from codestrata.functions.text import tokens
 from codestrata.operators import index as ix
 from codestrata.plans.index import body_index, index_snippets
 from codestrata.sources.files import publish, version_of
@@ -115,6 +116,24 @@ def test_texts_are_cut_to_tokens_once(spark, tmp_path):
     assert ix.Index(spark, f"{tmp_path}/none").n == 0
 
 
+def test_words_are_numbered_where_texts_are_read(spark, tmp_path):
+    """Texts reach the workers whole, not as lists of words, and give the tokens of the native expression in their places."""
+    texts = ["Éa_b-c1 日本", None, "", "ÅNGSTRÖM \u0301 e\u0301\u0301x İ ΟΔΟΣ ǅ x\u00b2 \U00010400b \ue000 𝟘 a\u0301\u0302", "the The THE ٣ \u1e9e ﬁ", "plain " * 50]
+    df = spark.createDataFrame([(i, t, "k" if i % 2 else None) for i, t in enumerate(texts)], "doc_id long, body string, kind string")
+    ix.write_index(df, f"{tmp_path}/i", key="doc_id", columns=["kind", "body"], facets=["kind"], files=2)
+    own = ix.Index(spark, f"{tmp_path}/i").each().select("token", "doc", F.explode("entries").alias("e"), "length")
+    found = {(r.token, r.doc, r.e // ix.PLACES, r.e % ix.PLACES) for r in own.collect()}
+    lists = df.select("doc_id", *[tokens(F.coalesce(c, F.lit(""))).alias(c) for c in ("kind", "body")]).collect()
+    wanted = {(t, r.doc_id, i, at) for r in lists for i in range(2) for at, t in enumerate(r[i + 1])} | {("kind=k", i, ix.FACETS, 0) for i in (1, 3, 5)}
+    assert found == wanted
+    assert {r.doc: r.length for r in own.collect()} == {r.doc_id: sum(w[1] == r.doc_id for w in wanted) for r in lists if any(w[1] == r.doc_id for w in wanted)}
+    few = ix._postings(2, 60)  # two rows a block, and fewer where they have over 60 tokens
+    ix_rows = df.repartition(1).sortWithinPartitions("doc_id").select("doc_id", "body", F.array().cast("array<string>").alias("told"))
+    made = ix_rows.mapInArrow(few, "token string, block long, rows array<smallint>, ends array<int>, entries array<int>, docs array<long>, lengths array<int>")
+    blocks = [list(r.docs) for r in made.filter("token = ''").collect()]
+    assert blocks == [[0, 1], [2, 3], [4, 5]]
+
+
 def test_snippets_are_made_for_the_page_only(spark):
     plan = index_snippets(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert r"(\S+)" in plan[: plan.index("Join")] and r"(\S+)" not in plan[plan.index("Join") :]
