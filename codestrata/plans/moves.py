@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codestrata.operators.mining import added_functions, added_ranges, added_text, attributed_deletions, body_lines, commit_moves, extract_functions, find_moved, match_replacement, move_matches, normalise_body, parse_diff, parse_hunks, partition_moved, same_path_hunks, without_moved
+from codestrata.operators.mining import added_functions, added_ranges, added_text, attributed_deletions, body_lines, commit_moves, extract_functions, extract_spans, find_moved, match_replacement, move_matches, normalise_body, parse_deleted, parse_diff, parse_hunks, parse_places, partition_moved, same_path_hunks, without_moved
 from codestrata.plans.registry import query
 from codestrata.sources.adapters import table
 from codestrata.sources.code import DIFFS_SQL, FUNCTIONS_SQL, code_diffs, code_files, code_moves
+from codestrata.sources.files import work_folder
 
 
 _CUT = "array_to_string(list_slice(string_split(source, chr(10)), {}, {}), chr(10))"
@@ -162,11 +163,12 @@ def mine_commits(spark, d):
     own = code_moves(spark, d)
     key = lambda path: F.concat_ws("\x1f", F.col("doc_id").cast("string"), path)
     split = lambda df: df.withColumn("commit", F.split("path", "\x1f")[0]).withColumn("path", F.split("path", "\x1f")[1])
-    functions = lambda rows: rows.select("path", F.explode(extract_functions(F.col("source"))).alias("f")).select("path", "f.name", "f.start_line", "f.end_line", "f.body")
-    old = functions(own.select(key(F.col("path")).alias("path"), F.col("old").alias("source")))
-    new = functions(own.select(key(F.col("new_path")).alias("path"), F.col("new").alias("source")).union(own.filter("more IS NOT NULL").select(key(F.lit("moved/b.py")), "more")))
-    lines = own.select("doc_id", F.explode(parse_diff(F.col("diff"))).alias("x")).filter("x.kind = 'deleted'").select(key(F.col("x.old_path")).alias("path"), "x.line", "x.text")
-    hunks = own.select("doc_id", parse_hunks(F.col("diff")).alias("hunks"))
+    functions = lambda rows, read: rows.select("path", F.explode(read(F.col("source"))).alias("f")).select("path", "f.name", "f.start_line", "f.end_line", "f.body")
+    old = functions(own.select(key(F.col("path")).alias("path"), F.col("old").alias("source")), extract_spans).drop("body")
+    new = functions(own.select(key(F.col("new_path")).alias("path"), F.col("new").alias("source")).union(own.filter("more IS NOT NULL").select(key(F.lit("moved/b.py")), "more")), extract_functions)
+    lines = own.select("doc_id", F.explode(parse_deleted(F.col("diff"))).alias("x")).select(key(F.col("x.old_path")).alias("path"), "x.line", "x.text")
+    work_folder(spark)
+    hunks = own.select("doc_id", parse_places(F.col("diff")).alias("hunks")).checkpoint()
     ranges = hunks.select("doc_id", F.explode(added_ranges(F.col("hunks"))).alias("r")).select(key(F.col("r.path")).alias("path"), "r.low", "r.high")
     kept_path = hunks.select(F.col("doc_id").cast("string").alias("commit"), F.explode(same_path_hunks(F.col("hunks"))).alias("h")).groupBy("commit", F.col("h.new_path").alias("path")).agg(F.collect_list("h").alias("hunks"))
     gone = split(attributed_deletions(old, lines)).withColumnRenamed("deleted_body", "body")
