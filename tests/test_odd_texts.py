@@ -22,7 +22,7 @@ def odd(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["flt_trivial", "prj_first_line"])
+@pytest.mark.parametrize("name", ["flt_trivial", "prj_first_line", "ref_bare_message", "ref_pull_number", "ref_simple"])
 def test_odd_texts_give_the_rows_of_the_sql(spark, odd, name):
     connection = duckdb.connect()
     for t in ("documents", "labels"):
